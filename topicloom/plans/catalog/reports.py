@@ -161,7 +161,7 @@ ORACLES = {
     "cluster_excerpt": _BY_LABEL + _TEXTS + f""",
 found AS (SELECT k.*, t.subject, t.description,
                  row_number() OVER (PARTITION BY k.g, k.cluster_id ORDER BY k.id) AS i
-          FROM kept k JOIN t ON t.ticket_id = k.id WHERE k.r <= 5),
+          FROM kept k LEFT JOIN t ON t.ticket_id = k.id WHERE k.r <= 5),
 joined AS (SELECT g, cluster_id, string_agg(
     'Ticket ' || i || ':' || chr(10) || 'Subject: ' || coalesce(subject, '(none)') || chr(10)
     || 'Description: ' || coalesce(description, '(none)'), chr(10) || chr(10) ORDER BY i) AS raw

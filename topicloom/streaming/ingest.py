@@ -85,7 +85,13 @@ def ingest_tickets(pages: DataFrame, path: str, checkpoint: str, run_id: int, wi
 
 
 def current_tickets(spark: SparkSession, path: str) -> DataFrame | None:
-    """Tickets as of the last applied batch; None before the first."""
+    """Tickets as of the last applied batch of the last run; None before the first.
+
+    ``path`` holds one log per run. A ticket seen by several runs belongs to the
+    last of them and keeps what the first one found.
+    """
     if not path_exists(spark, path):
         return None
-    return read_change_log(spark, path, TICKET_KEYS, TICKET_ORDER, LOGGED_COLS)
+    log = spark.read.parquet(path)
+    return fold_changes(log.drop("run"), TICKET_KEYS, ("run_id", "batch", *TICKET_ORDER),
+                        (*LOGGED_COLS, "batch")).drop("batch", "position")
