@@ -24,13 +24,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -42,6 +43,7 @@ DEFAULT_THRESHOLD = 0.70
 DEFAULT_MIN_SIZE = 2
 DEFAULT_CHUNK_ROWS = 4096
 DEFAULT_LOOKAHEAD = 8
+COMPACT_AFTER = 4
 
 MEMBER, CLUSTER, DIGEST = "member", "cluster", "digest"
 
@@ -257,7 +259,11 @@ def _one_stage(rows: DataFrame, state: DataFrame | None, keys: Sequence[str],
 
 
 class _Rounds:
-    """Driver loop of the rounds; it sees counts only, tables hold the rows."""
+    """Driver loop of the rounds; it sees counts only, tables hold the rows.
+
+    A block is a few consecutive steps settled together. ``placed`` keeps every
+    round's outcome below its block; the last round of a block is the valid one.
+    """
 
     def __init__(self, hot: DataFrame, state: DataFrame | None, keys: tuple[str, ...],
                  threshold: float, chunk_rows: int, lookahead: int):
@@ -266,19 +272,24 @@ class _Rounds:
         self.work = work_path(self.spark, "leader")
         self._write_chunks(hot, chunk_rows)
         self.chunks = self._read("chunks", hot.schema.add("step", "long"))
-        self.state = None
+        self.schema = _placed_schema(self.chunks, keys)
+        self.valid: list[str] = []
+        # Sums of settled blocks: one compacted table, then the blocks since.
+        self.sums: list[DataFrame] = []
         if state is not None:
-            self.state = self._save_state(state.select(
-                *keys, "cluster_id", "vector_sum", "member_count"), "start")
+            self.sums.append(self._save(state.select(*self._sum_columns), "state-start"))
+
+    @property
+    def _sum_columns(self) -> list[str]:
+        return [*self.keys, "cluster_id", "vector_sum", "member_count"]
+
+    def _save(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.work}/{name}")
+        return self._read(name, df.schema)
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.work}/{name}")
 
-    def _save_state(self, state: DataFrame, name: str) -> DataFrame:
-        path = f"{self.work}/state-{name}"
-        state.write.parquet(path)
-        return self.spark.read.schema(state.schema).parquet(path)
-
     def _write_chunks(self, hot: DataFrame, chunk_rows: int) -> None:
         """Number runs of at most ``chunk_rows`` consecutive ids per group.
 
@@ -318,65 +329,74 @@ class _Rounds:
             last = min(first + width, steps)
             rounds = self._settle(first, last)
             # Look further ahead while guesses hold, less far when they do not.
-            halved = max(1, width // 2)
-            width = min(self.lookahead, width * 2) if rounds <= 1 + width // 2 else halved
+            held = rounds <= 1 + width // 2
+            width = min(self.lookahead, width * 2) if held else max(1, width // 2)
             first = last
-        members = self._read("members", _placed_schema(self.chunks, self.keys))
-        final = self.state.withColumn("kind", F.lit(CLUSTER))
-        return members.filter(F.col("kind") == MEMBER).unionByName(final, allowMissingColumns=True)
+        every = self.spark.read.schema(
+            T.StructType([*self.schema]).add("block", "long").add("round", "long")
+        ).parquet(f"{self.work}/placed")
+        members = every.filter(
+            F.concat_ws("-", "block", "round").isin(self.valid) & (F.col("kind") == MEMBER))
+        final = _sum_by_cluster(self._settled_sums(), self.keys).withColumn("kind", F.lit(CLUSTER))
+        return members.drop("block", "round").unionByName(final, allowMissingColumns=True)
+
+    def _settled_sums(self) -> DataFrame | None:
+        return reduce(DataFrame.unionByName, self.sums) if self.sums else None
 
     def _settle(self, first: int, last: int) -> int:
         """Run rounds until steps ``first`` to ``last - 1`` are settled."""
         block = self.chunks.filter((F.col("step") >= first) & (F.col("step") < last))
-        schema = _placed_schema(block, self.keys)
-        latest, upto, rounds = None, None, 0
-        while True:
-            pending = block if upto is None else self._after(block, upto)
-            start = self._starts(latest, upto, first, last)
-            out = _fold_chunks(pending, start, self.keys, self.threshold)
+        settled = self._settled_sums()
+        latest, upto, rounds, pending = None, None, 0, True
+        while pending:
+            todo = block if upto is None else self._after(block, upto)
+            start = self._starts(settled, latest, upto, first, last)
+            out = _fold_chunks(todo, start, self.keys, self.threshold)
             if latest is not None:
                 done = latest.join(upto, list(self.keys)).filter(F.col("step") <= F.col("upto"))
                 out = out.unionByName(done.drop("upto"))
-            name = f"round-{first}-{rounds}"
+            name = f"placed/block={first}/round={rounds}"
             out.write.partitionBy("kind").parquet(f"{self.work}/{name}")
-            current = self._read(name, schema)
-            upto = self._frontier(current, latest)
+            current = self._read(name, self.schema)
+            # A single step starts from settled sums only, so it is settled.
+            pending = last - first > 1
+            if pending:
+                upto, pending = self._frontier(current, latest, f"upto-{first}-{rounds}")
             latest, rounds = current, rounds + 1
-            if last - first == 1 or self._after(_digests(latest), upto).isEmpty():
-                break
-        members = latest.filter(F.col("kind") == MEMBER)
-        members.write.parquet(f"{self.work}/members/block={first}")
-        added = latest.filter(F.col("kind") == CLUSTER).select(
-            *self.keys, "cluster_id", "vector_sum", "member_count")
-        parts = added if self.state is None else self.state.unionByName(added)
-        self.state = self._save_state(_sum_by_cluster(parts, self.keys), str(last))
+        self.valid.append(f"{first}-{rounds - 1}")
+        self.sums.append(latest.filter(F.col("kind") == CLUSTER).select(*self._sum_columns))
+        if len(self.sums) > COMPACT_AFTER:
+            compact = _sum_by_cluster(self._settled_sums(), self.keys)
+            self.sums = [self._save(compact, f"state-{last}")]
         return rounds
 
     def _after(self, df: DataFrame, upto: DataFrame) -> DataFrame:
         return df.join(upto, list(self.keys)).filter(F.col("step") > F.col("upto")).drop("upto")
 
-    def _starts(self, latest: DataFrame | None, upto: DataFrame | None,
+    def _starts(self, settled: DataFrame | None, latest: DataFrame | None, upto: DataFrame | None,
                 first: int, last: int) -> DataFrame | None:
         """Sums each pending step begins with: settled ones and guessed ones."""
-        columns = [*self.keys, "cluster_id", "vector_sum", "member_count", "source_step"]
+        columns = [*self._sum_columns, "source_step"]
         parts = []
-        if self.state is not None:
-            parts.append(self.state.withColumn("source_step", F.lit(first - 1).cast("long")))
+        if settled is not None:
+            parts.append(settled.withColumn("source_step", F.lit(first - 1).cast("long")))
         if latest is not None:
-            parts.append(latest.filter(F.col("kind") == CLUSTER)
-                         .withColumn("source_step", F.col("step")))
+            guessed = latest.filter(F.col("kind") == CLUSTER)
+            parts.append(guessed.withColumn("source_step", F.col("step")))
         if not parts:
             return None
-        known = parts[0].select(*columns)
-        for part in parts[1:]:
-            known = known.unionByName(part.select(*columns))
+        known = reduce(DataFrame.unionByName, [part.select(*columns) for part in parts])
         known = known.filter(F.col("source_step") < last - 1)
         later = F.sequence(F.col("source_step") + 1, F.lit(last - 1).cast("long"))
         spread = known.withColumn("step", F.explode(later))
         return spread if upto is None else self._after(spread, upto)
 
-    def _frontier(self, current: DataFrame, previous: DataFrame | None) -> DataFrame:
-        """Per group the last settled step: the first that still changed, or all."""
+    def _frontier(self, current: DataFrame, previous: DataFrame | None,
+                  name: str) -> tuple[DataFrame, bool]:
+        """Per group the last settled step, and whether any step is left.
+
+        A group is settled up to the first step whose outcome still changed.
+        """
         now = _digests(current)
         if previous is None:
             changed = F.lit(True)
@@ -384,9 +404,12 @@ class _Rounds:
             before = _digests(previous).withColumnRenamed("id", "old")
             now = now.join(before, [*self.keys, "step"], "left")
             changed = ~F.col("id").eqNullSafe(F.col("old"))
-        return now.groupBy(*self.keys).agg(
-            F.coalesce(F.min(F.when(changed, F.col("step"))), F.max("step")).alias("upto")
-        )
+        upto = F.coalesce(F.min(F.when(changed, F.col("step"))), F.max("step"))
+        reached = now.groupBy(*self.keys).agg(upto.alias("upto"), F.max("step").alias("top"))
+        left = Observation()
+        watched = reached.observe(left, F.count_if(F.col("upto") < F.col("top")).alias("groups"))
+        saved = self._save(watched.drop("top"), name)
+        return saved, left.get["groups"] > 0
 
 
 def _digests(placed: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from topicloom.sources import tables
 from topicloom.streaming.leader import stream_leaders, streamed_members
 
 # Small enough that the given tables take the many-chunks path.
-CHECK_CHUNK_ROWS = 128
+CHECK_CHUNK_ROWS = 200
 
 
 def leader_clusters(spark: SparkSession, folder: str) -> DataFrame:

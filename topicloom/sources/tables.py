@@ -12,8 +12,22 @@ from topicloom.operators.leader import LeaderPass, leader_pass
 TABLE_THRESHOLD = 0.30
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Enough partitions for all cores, for costly work per row.
+
+    A file with one row group is one task however many cores there are. A table
+    of many files has partitions enough and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def first_line(text: Column) -> Column:
