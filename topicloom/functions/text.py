@@ -152,29 +152,45 @@ _UNSEEN = (
 )
 
 
-def _tag(names: str, opening: bool = True, closing: bool = True) -> str:
-    slash = "/?" if opening and closing else ("" if opening else "/")
-    return rf"(?i)<{slash}(?:{names})(?:[\s/][^>]*)?>"
-
-
-_TAG_RULES = (
-    (_tag("h[1-3]", closing=False), _BREAK3 + _HEAD_ON),
-    (_tag("h[4-6]", closing=False), _BREAK2 + _HEAD_ON),
-    (_tag("h[1-6]", opening=False), _HEAD_OFF + _BREAK2),
-    (_tag("br"), _FORCED),
-    (_tag("hr"), _BREAK2 + _RULE + _BREAK2),
-    (_tag("ol", closing=False), _BREAK2 + _NUMBERED_ON),
-    (_tag("ol", opening=False), _NUMBERED_OFF + _BREAK2),
-    (_tag("li", closing=False), _BREAK1 + _ITEM),
-    (_tag("p|pre|ul|blockquote|table"), _BREAK2),
-    (_tag("li|tr|article|aside|div|footer|form|header|main|nav|section"), _BREAK1),
-    (_tag("td|th"), " "),
-    (r"</?[a-zA-Z][^>]*>|<[!?][^>]*>", ""),
-)
+# Layout of a tag; closing tags begin with a slash, all others vanish.
+_BLOCKS = {
+    _BREAK1: "article aside div footer form header main nav section tr /li",
+    _BREAK2: "p pre ul blockquote table",
+}
+_TAGS = {
+    **{tag: mark for mark, names in _BLOCKS.items() for name in names.split()
+       for tag in ((name,) if name.startswith("/") else (name, f"/{name}"))},
+    **{f"h{n}": (_BREAK3 if n <= 3 else _BREAK2) + _HEAD_ON for n in range(1, 7)},
+    **{f"/h{n}": _HEAD_OFF + _BREAK2 for n in range(1, 7)},
+    "br": _FORCED, "/br": _FORCED,
+    "hr": _BREAK2 + _RULE + _BREAK2,
+    "li": _BREAK1 + _ITEM,
+    "ol": _BREAK2 + _NUMBERED_ON, "/ol": _NUMBERED_OFF + _BREAK2,
+    "td": " ", "/td": " ", "th": " ", "/th": " ",
+}
+_TAG_AT_START = r"^(/?[a-zA-Z][^\s/>]*|[!?])[^>]*>"
 
 _ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
+def _lay_out_tags(text: Column) -> Column:
+    """Replace every tag by its layout marks, in one walk over the tags."""
+    pairs = [F.lit(part) for tag, marks in _TAGS.items() for part in (tag, marks)]
+    layout = F.create_map(*pairs)
+
+    def piece(part: Column, index: Column) -> Column:
+        name = F.lower(F.regexp_extract(part, _TAG_AT_START, 1))
+        marks = F.coalesce(F.try_element_at(layout, name), F.lit(""))
+        rest = F.substring(part, F.instr(part, ">") + 1, F.length(part))
+        return (
+            F.when(index == 0, part)
+            .when(name == "", F.concat(F.lit("<"), part))
+            .otherwise(F.concat(marks, rest))
+        )
+
+    return F.array_join(F.transform(F.split(text, "<"), piece), "")
+
+
 def _decode_entities(text: Column) -> Column:
     """Decode in one left-to-right pass, so ``&amp;lt;`` ends as ``&lt;``."""
     pairs = []
@@ -239,16 +255,20 @@ def html_to_text(html: Column) -> Column:
     """
     text = F.regexp_replace(F.coalesce(html, F.lit("")), f"[{_MARKERS}]", "")
     text = F.regexp_replace(text, _UNSEEN, "")
-    text = F.regexp_replace(text, r"[ \t\r\n\f\u200B]+", " ")
-    for pattern, replacement in _TAG_RULES:
-        text = F.regexp_replace(text, pattern, replacement)
+    text = F.regexp_replace(text, r"[\t\r\n\f\u200B ]{2,}|[\t\r\n\f\u200B]", " ")
+    text = _lay_out_tags(text)
     text = F.regexp_replace(text, " {2,}", " ")
     text = _decode_entities(text)
     text = _upper_headings(text)
-    text = F.regexp_replace(text, f" *{_FORCED} *", _FORCED)
-    for breaks, lines in ((_BREAK3, 3), (_BREAK2, 2), (_BREAK1, 1)):
-        run = f"[ {_BREAK1}{_BREAK2}{_BREAK3}]*"
-        text = F.regexp_replace(text, f"{run}{breaks}{run}", "\n" * lines)
+    # No blank beside a break. Then a run of breaks begins with a break.
+    breaks = _BREAK1 + _BREAK2 + _BREAK3
+    text = F.regexp_replace(text, f" (?=[{breaks}{_FORCED}])", "")
+    text = F.regexp_replace(text, f"([{breaks}{_FORCED}]) ", "$1")
+    for lesser, mark, lines in (
+        (_BREAK1 + _BREAK2, _BREAK3, 3), (_BREAK1, _BREAK2, 2), ("", _BREAK1, 1),
+    ):
+        before = f"[{lesser}]*" if lesser else ""
+        text = F.regexp_replace(text, f"{before}{mark}[{breaks}]*", "\n" * lines)
     text = _number_items(text)
     text = F.replace(text, F.lit(_FORCED), F.lit("\n"))
     return js_trim(text)
