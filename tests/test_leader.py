@@ -116,3 +116,18 @@ def test_state_continues_an_earlier_pass(spark, chunk_rows):
 def test_mixed_lengths_are_an_error(spark):
     with pytest.raises(Exception, match="Vector length mismatch"):
         leader_pass(frame(spark, {"a": [(1, (1, 0)), (2, (1, 0, 0))]}), .5).members.collect()
+
+
+def test_chunks_follow_groups_across_batches(spark):
+    """Groups of uneven size, many of them hot, cut while streaming in small batches."""
+    rng = np.random.default_rng(8)
+    groups, at = {}, 0
+    for name, size in zip("abcde", (25, 10, 11, 3, 40), strict=True):
+        groups[name] = [(at + i, v) for i, v in enumerate(rng.normal(size=(size, 4)))]
+        at += size
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        result = placed(leader_pass(frame(spark, groups), .6, chunk_rows=10))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert result == {g: brute.leaders(rows, .6) for g, rows in groups.items()}

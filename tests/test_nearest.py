@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pytest
 
-from topicloom.operators.nearest import assign_to_centroids, nearest, nearest_by_cells
+from topicloom.operators.nearest import assign_to_centroids, nearest, nearest_by_cells, recall
 
 Q = "account_id string, query_id long, query_vector array<double>"
 I = "account_id string, item_id long, item_vector array<double>"
@@ -69,14 +69,25 @@ def test_cells_recall_grows_with_probes(spark):
     items = [("a", i, v) for i, v in enumerate(rng.normal(size=(200, 8)))]
     exact = expected(queries, items, 5)
 
-    def recall(probes):
-        got = found(nearest_by_cells(*frames(spark, queries, items), 5, lists=10, probes=probes))
-        return sum(len(set(got.get(key, [])) & set(ids)) for key, ids in exact.items()) / (5 * len(exact))
+    def share(probes):
+        both = frames(spark, queries, items)
+        row = recall(nearest_by_cells(*both, 5, lists=10, probes=probes), nearest(*both, 5)).first()
+        assert row.pairs == 5 * len(exact)
+        return row.recall
 
-    low, high = recall(1), recall(5)
+    low, high = share(1), share(5)
     assert 0.2 < low < high <= 1.0
 
 
+def test_ids_may_repeat_across_accounts(spark):
+    queries = [(a, 1, v) for a, v in (("a", (1, 0)), ("b", (0, 1)))]
+    items = [(a, i, v) for a in "ab" for i, v in enumerate([(1, 0), (0, 1), (1, 1)])]
+    both = frames(spark, queries, items)
+    want = {("a", 1): [0, 2, 1], ("b", 1): [1, 2, 0]}
+    assert found(nearest(*both, 3)) == want
+    assert found(nearest_by_cells(*both, 3, lists=2, probes=2)) == want
+
+
 def test_assignment(spark):
     rows = spark.createDataFrame(
         [("a", 1, 1, [1.0, 0.0]), ("a", 1, 2, [0.0, 1.0]), ("b", 1, 3, [1.0, 0.0])],

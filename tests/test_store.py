@@ -9,6 +9,7 @@ from topicloom import scope as S
 from topicloom.operators import ledger as L
 from topicloom.operators import upsert as U
 from topicloom.operators.refresh import merge_articles, refresh_counts, route_articles
+from topicloom.operators.sizes import broadcast_if_small, save_bucketed
 from topicloom.schemas import ARTICLES
 
 TICKET = "account_id string, ticket_id long, run_id long, subject string, created string, embedding string"
@@ -138,3 +139,41 @@ def test_refresh_routes_and_merges(spark):
     assert (merged[2].clean_text, merged[2].embedding) == ("body", [2.0])
     assert merged[3].embedding == [3.0] and merged[4].embedding is None
     assert merged[4].draft is True
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_tables_join_without_shuffling_the_stored_side(spark, tmp_path):
+    df = spark.range(1000).selectExpr(
+        "concat('a', id % 2) as account_id", "id as ticket_id", "cast(id as string) as subject")
+    name = "bucketed_tickets"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS shelf LOCATION '{tmp_path}/shelf'")
+        save_bucketed(df, f"shelf.{name}", ["account_id", "ticket_id"], 4)
+        members = df.select("account_id", "ticket_id").filter("ticket_id < 10")
+        joined = spark.table(f"shelf.{name}").join(members, ["account_id", "ticket_id"])
+        assert joined.count() == 10
+        assert plan(joined).count("Exchange hashpartitioning") == 1
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS shelf.{name}")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_broadcast_only_below_the_checked_size(spark):
+    big = spark.range(100000).selectExpr("id", "id % 7 as x")
+    small = spark.range(50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "BroadcastHashJoin" in plan(big.join(broadcast_if_small(small, 50), "id"))
+        assert "BroadcastHashJoin" not in plan(big.join(broadcast_if_small(small, 49), "id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_last_write_is_merged_before_the_shuffle(spark):
+    df = spark.range(1000).selectExpr("id % 3 as key", "id as version", "'v' as v")
+    text = plan(U.latest_per_key(df, ["key"], ["version"]))
+    assert "partial_max_by" in text and "Window" not in text

@@ -77,7 +77,12 @@ def text_value(custom_fields: Column, field_id: Column) -> Column:
 
 
 def with_triage(tickets: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Add the triage columns. The dimension has one row per account."""
+    """Add the triage columns. The dimension has one row per account.
+
+    Tenants are few beside their tickets, but their number is not bounded: the
+    join is left to adaptive execution unless the caller marks the dimension
+    with ``broadcast_if_small``.
+    """
     joined = tickets.join(dimension, "account_id", "left")
     for title in TRIAGE_TITLES:
         joined = joined.withColumn(title, text_value(F.col("custom_fields"), F.col(f"{title}_field")))

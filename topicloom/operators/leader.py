@@ -302,16 +302,22 @@ class _Rounds:
 
         def cut(batches):
             chunk = TaskContext.get().partitionId() << 32
-            group, used = None, 0
+            last, seen = None, 0
             for batch in batches:
-                marks = np.empty(len(batch), dtype=np.int64)
-                columns = [batch.column(key).to_pylist() for key in keys]
-                for at, row_group in enumerate(zip(*columns, strict=True)):
-                    if row_group != group or used == chunk_rows:
-                        group, used, chunk = row_group, 0, chunk + 1
-                    used += 1
-                    marks[at] = chunk
-                yield batch.append_column("chunk", pa.array(marks))
+                if not len(batch):
+                    continue
+                groups = pa.Table.from_batches([batch]).select(keys)
+                first = groups.slice(0, 1).to_pylist()[0]
+                starts = np.flatnonzero(np.r_[first != last, _changes(groups)])
+                # Place of each row in its group; the first may go on from before.
+                place = np.arange(len(batch)) + (seen if not len(starts) or starts[0] else 0)
+                runs = np.searchsorted(starts, np.arange(len(batch)), side="right")
+                fresh = runs > 0
+                place[fresh] = np.arange(len(batch))[fresh] - starts[runs[fresh] - 1]
+                marks = chunk + np.cumsum(place % chunk_rows == 0)
+                chunk, seen = int(marks[-1]), int(place[-1]) + 1
+                last = groups.slice(len(groups) - 1, 1).to_pylist()[0]
+                yield batch.append_column("chunk", pa.array(marks, pa.int64()))
 
         ordered.mapInArrow(cut, schema).write.parquet(f"{self.work}/cut")
         cut_rows = self._read("cut", schema)
@@ -412,6 +418,15 @@ class _Rounds:
         return saved, left.get["groups"] > 0
 
 
+def _changes(groups: pa.Table) -> np.ndarray:
+    """For every row but the first: does its group differ from the row before?"""
+    changed = np.zeros(max(len(groups) - 1, 0), dtype=bool)
+    for column in groups.columns:
+        codes = column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        changed |= codes[1:] != codes[:-1]
+    return changed
+
+
 def _digests(placed: DataFrame) -> DataFrame:
     return placed.filter(F.col("kind") == DIGEST).drop("kind", "cluster_id", "vector_sum", "member_count")
 

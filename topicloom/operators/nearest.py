@@ -252,9 +252,20 @@ def nearest_by_cells(
     centers = queries.sparkSession.createDataFrame(
         [(i, [float(x) for x in center]) for i, center in enumerate(model.clusterCenters())],
         "item_id int, item_vector array<double>")
-    near = nearest(queries, centers, probes, [], query_id, query_vector)
-    probed = queries.join(
-        near.select(F.col("query_id").alias(query_id), F.col("item_id").alias("cell")), query_id)
+    # Ids need only be unique within their scope.
+    keyed = queries.withColumn("_key", F.struct(*on, query_id))
+    near = nearest(keyed, centers, probes, [], "_key", query_vector)
+    probed = keyed.join(
+        near.select(F.col("query_id").alias("_key"), F.col("item_id").alias("cell")), "_key")
     found = nearest(probed, celled, k, [*on, "cell"], query_id, query_vector,
                     item_id, item_vector, **search)
     return best_per_query(found.drop("rank", "cell"), k, on)
+
+
+def recall(approximate: DataFrame, exact: DataFrame, on: Sequence[str] = ("account_id",)) -> DataFrame:
+    """Share of the exact pairs that the approximate search found, in one row."""
+    pair = [*on, "query_id", "item_id"]
+    hits = approximate.select(*pair).withColumn("hit", F.lit(1))
+    return exact.select(*pair).join(hits, pair, "left").agg(
+        F.count(F.lit(1)).alias("pairs"), F.count("hit").alias("found"),
+        (F.count("hit") / F.count(F.lit(1))).alias("recall"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from topicloom.operators.ingest import check_window
 from topicloom.operators.ledger import latest_runs, run_event
+from topicloom.operators.sizes import broadcast_if_small
 from topicloom.schemas import RUN_LEDGER
 from topicloom.session import path_exists
 from topicloom.streaming.ingest import current_tickets, ingest_tickets
@@ -63,6 +64,8 @@ class IngestRuns:
 
     def _drive(self, pages: DataFrame, run_id: int, window_days: int, as_of: datetime,
                triage: DataFrame | None) -> IngestResult:
+        if triage is not None:
+            triage = broadcast_if_small(triage)
         offsets = f"{self.root}/offsets/run={run_id}"
         self._record(run_id, window_days, as_of, "running")
         try:

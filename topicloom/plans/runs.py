@@ -29,6 +29,7 @@ from topicloom.operators.leader import (
 from topicloom.operators.ledger import failure_audit
 from topicloom.operators.models import EMBEDDING_DIMENSION, Embed, Generate, embed_texts
 from topicloom.operators.refresh import EMBEDDED, merge_articles, route_articles
+from topicloom.operators.sizes import broadcast_if_small
 from topicloom.operators.upsert import drop_run_partitions, upsert, write_runs
 from topicloom.scope import needing_embedding
 from topicloom.session import work_path
@@ -144,10 +145,13 @@ def cluster_runs(tickets: DataFrame, threshold: float = DEFAULT_THRESHOLD,
     centers = centroids(leaders, min_size)
     kept = leaders.members.join(centers.select(*CLUSTER), CLUSTER, "left_semi")
     chosen = representatives(kept, REPRESENTATIVES)
+    chosen.write.parquet(f"{work}/representatives")
+    chosen = spark.read.schema(chosen.schema).parquet(f"{work}/representatives")
     if generate is None:
         labels = extractive_summary(kept, tickets)
     else:
-        labels = label_by_model(excerpts(chosen, tickets), generate)
+        # A few rows per cluster against all texts: do not shuffle the texts.
+        labels = label_by_model(excerpts(broadcast_if_small(chosen), tickets), generate)
     # A model call must happen once, not once per result that reads its answer.
     labels.write.parquet(f"{work}/labels")
     labels = spark.read.schema(labels.schema).parquet(f"{work}/labels")
