@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -41,8 +41,8 @@ from topicloom.session import work_path
 
 DEFAULT_THRESHOLD = 0.70
 DEFAULT_MIN_SIZE = 2
-DEFAULT_CHUNK_ROWS = 4096
-DEFAULT_LOOKAHEAD = 8
+DEFAULT_CHUNK_ROWS = 16384
+LEAST_LOOKAHEAD = 8
 COMPACT_AFTER = 4
 
 MEMBER, CLUSTER, DIGEST = "member", "cluster", "digest"
@@ -67,6 +67,13 @@ class LeaderPass:
         rows = self.placed.filter(F.col("kind") == CLUSTER)
         return rows.select(*self.keys, "cluster_id", "vector_sum", "member_count")
 
+    def saved(self, path: str | None = None) -> LeaderPass:
+        """Compute once: write the placements and go on from the stored table."""
+        spark = self.placed.sparkSession
+        path = path or work_path(spark, "placed")
+        self.placed.write.partitionBy("kind").parquet(path)
+        return replace(self, placed=spark.read.schema(self.placed.schema).parquet(path))
+
 
 class _Clusters:
     """Growing (sum, count) table of one group, earliest cluster first."""
@@ -207,13 +214,18 @@ def leader_pass(
     vector_col: str = "embedding",
     state: DataFrame | None = None,
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
-    lookahead: int = DEFAULT_LOOKAHEAD,
+    lookahead: int | None = None,
 ) -> LeaderPass:
     """Cluster every group of ``df`` exactly; ``state`` continues earlier passes.
 
+    ``chunk_rows`` bounds what one task holds. ``lookahead`` is how many chunks
+    of a group are guessed side by side at most, by default one per core.
+
     Groups above ``chunk_rows`` run in rounds and are computed before this
     returns, so hand in a stored table rather than a costly unsaved plan.
     """
+    if lookahead is None:
+        lookahead = max(LEAST_LOOKAHEAD, df.sparkSession.sparkContext.defaultParallelism)
     if chunk_rows < 1 or lookahead < 1:
         raise ValueError("chunk_rows and lookahead must be at least 1")
     keys = tuple(keys)

@@ -99,7 +99,7 @@ def triage_values(spark: SparkSession, folder: str) -> DataFrame:
     first = F.parse_json(F.when(F.col("event_type") == "error", kind).otherwise(quoted))
     low = number.cast("int") < 50
     second = F.parse_json(F.when(low, F.concat(F.lit('"k'), number, F.lit('"'))).otherwise("true"))
-    rows = events.withColumnRenamed("user_id", "account_id").join(
+    rows = tables.spread(events).withColumnRenamed("user_id", "account_id").join(
         fields.withColumnRenamed("category_field", "c").withColumnRenamed("intent_field", "i")
         .select("account_id", "c", "i"), "account_id")
     rows = rows.select("event_id", "account_id", F.array(

@@ -38,7 +38,7 @@ def cluster_excerpt(spark: SparkSession, folder: str) -> DataFrame:
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
     leaders = tables.leaders(spark, folder)
     kept = leaders.members.join(centroids(leaders).select(*CLUSTER), CLUSTER, "left_semi")
-    texts = masked_ticket_text(tables.vector_tickets(spark, folder))
+    texts = masked_ticket_text(tables.spread(tables.vector_tickets(spark, folder)))
     return L.term_scores(kept.join(texts.select("account_id", "ticket_id", "text"),
                                    ["account_id", "ticket_id"]))
 

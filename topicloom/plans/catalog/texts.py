@@ -15,14 +15,15 @@ TABLE_DIMENSION = 64
 
 def pii_mask(spark: SparkSession, folder: str) -> DataFrame:
     raw = F.col("text")
-    masked = tables.table(spark, folder, "documents").withColumn("masked", T.mask_pii(raw))
+    documents = tables.spread(tables.table(spark, folder, "documents"))
+    masked = documents.withColumn("masked", T.mask_pii(raw))
     return masked.select(
         "doc_id", F.md5("masked").alias("masked_md5"), F.length("masked").alias("masked_chars"),
         T.redaction_count(raw, F.col("masked")).alias("redactions"))
 
 
 def html_to_text(spark: SparkSession, folder: str) -> DataFrame:
-    clean = tables.table(spark, folder, "pages").select(
+    clean = tables.spread(tables.table(spark, folder, "pages")).select(
         "page_id", T.html_to_text(F.col("html")).alias("clean"))
     return clean.select("page_id", F.md5("clean").alias("clean_md5"),
                         F.length("clean").alias("clean_chars"))
@@ -58,7 +59,7 @@ def tenant_from_url(spark: SparkSession, folder: str) -> DataFrame:
 
 def embed_hash(spark: SparkSession, folder: str) -> DataFrame:
     """Word hashing of whole documents, one row per non-zero entry."""
-    texts = tables.table(spark, folder, "documents").select("doc_id", "text")
+    texts = tables.spread(tables.table(spark, folder, "documents").select("doc_id", "text"))
     return _entries(embed_texts(texts, "text", hashing_embedder(TABLE_DIMENSION), TABLE_DIMENSION),
                     "doc_id")
 
@@ -66,7 +67,7 @@ def embed_hash(spark: SparkSession, folder: str) -> DataFrame:
 def embed_tickets(spark: SparkSession, folder: str) -> DataFrame:
     """Mask and embed every ticket without a vector."""
     vectors = embed_tickets_job(
-        tables.tickets(spark, folder), hashing_embedder(TABLE_DIMENSION), TABLE_DIMENSION)
+        tables.spread(tables.tickets(spark, folder)), hashing_embedder(TABLE_DIMENSION), TABLE_DIMENSION)
     return _entries(vectors, "ticket_id")
 
 

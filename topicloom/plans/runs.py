@@ -137,10 +137,7 @@ def cluster_runs(tickets: DataFrame, threshold: float = DEFAULT_THRESHOLD,
     """
     spark = tickets.sparkSession
     work = work_path(spark, "clustering")
-    leaders = leader_pass(tickets, threshold)
-    leaders.placed.write.partitionBy("kind").parquet(f"{work}/placed")
-    leaders = LeaderPass(
-        spark.read.schema(leaders.placed.schema).parquet(f"{work}/placed"), leaders.keys, leaders.id_col)
+    leaders = leader_pass(tickets, threshold).saved(f"{work}/placed")
 
     centers = centroids(leaders, min_size)
     kept = leaders.members.join(centers.select(*CLUSTER), CLUSTER, "left_semi")

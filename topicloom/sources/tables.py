@@ -12,12 +12,8 @@ from topicloom.operators.leader import LeaderPass, leader_pass
 TABLE_THRESHOLD = 0.30
 
 
-TEXT_TABLES = ("documents", "pages", "conversations")
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -73,7 +69,8 @@ def vector_tickets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def leaders(spark: SparkSession, folder: str) -> LeaderPass:
-    return leader_pass(vectors(spark, folder), TABLE_THRESHOLD)
+    """Clustered once; several views of the result are usually read."""
+    return leader_pass(vectors(spark, folder), TABLE_THRESHOLD).saved()
 
 
 def host(url: Column) -> Column:
