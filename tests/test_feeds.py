@@ -28,7 +28,7 @@ def page(folder: Path, name: str, *tickets, last=False, account="a"):
 
 
 def test_window_checks_come_first():
-    with pytest.raises(ValueError, match="Invalid window: 45"):
+    with pytest.raises(ValueError, match="window of 45 days"):
         I.check_window(45)
     assert [I.check_window(d) for d in (30, 60, 90)] == [30, 60, 90]
 
@@ -179,7 +179,7 @@ def test_failed_source_marks_the_run_and_can_resume(spark, tmp_path):
     with pytest.raises(Exception, match="feed is down"):
         runs.start(broken, 3, 30, NOW)
     assert runs.status(3) == "failed"
-    with pytest.raises(ValueError, match="Invalid window"):
+    with pytest.raises(ValueError, match="window of 45 days"):
         runs.start(broken, 4, 45, NOW)
     assert runs.status(4) is None
     with pytest.raises(ValueError, match="No run 9"):

@@ -114,7 +114,7 @@ def test_state_continues_an_earlier_pass(spark, chunk_rows):
 
 
 def test_mixed_lengths_are_an_error(spark):
-    with pytest.raises(Exception, match="Vector length mismatch"):
+    with pytest.raises(Exception, match="vectors differ in length"):
         leader_pass(frame(spark, {"a": [(1, (1, 0)), (2, (1, 0, 0))]}), .5).members.collect()
 
 

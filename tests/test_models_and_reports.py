@@ -80,7 +80,7 @@ def test_keywords_prefer_words_of_one_cluster(spark):
     df = spark.createDataFrame(
         [("a", 1, 1, "refund refund the invoice"), ("a", 1, 2, "the password the reset the the")],
         "account_id string, run_id int, cluster_id int, text string")
-    scores = L.term_scores(df)
+    scores = L.term_scores(df, df.select(*L.CLUSTER))
     best = {r.cluster_id: r.term for r in L.keywords(scores, 1).collect()}
     assert best == {1: "refund", 2: "the"}
     labels = {r.cluster_id: r.label for r in L.extractive_labels(scores).collect()}

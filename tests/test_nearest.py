@@ -102,5 +102,5 @@ def test_assignment(spark):
 
 def test_mixed_lengths_are_an_error(spark):
     left, right = frames(spark, [("a", 1, (1, 0))], [("a", 1, (1, 0, 0))])
-    with pytest.raises(Exception, match="Vector length mismatch"):
+    with pytest.raises(Exception, match="vectors differ in length"):
         nearest(left, right, 1).collect()

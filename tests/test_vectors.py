@@ -27,7 +27,7 @@ def test_zero_vector_is_unlike_everything(spark):
 
 
 def test_length_mismatch_is_an_error(spark):
-    with pytest.raises(Exception, match="Vector length mismatch: 1 vs 2"):
+    with pytest.raises(Exception, match="vectors differ in length: 1 and 2"):
         one(spark, [1.0], [1.0, 0.0], V.cosine_similarity)
 
 

@@ -13,7 +13,7 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
         column = column.combine_chunks()
     lengths = pc.unique(pc.list_value_length(column)).to_pylist()
     if len(lengths) > 1:
-        raise ValueError(f"Vector length mismatch: {sorted(lengths, key=str)}")
+        raise ValueError(f"vectors differ in length: {sorted(lengths, key=str)}")
     flat = pc.list_flatten(column).to_numpy(zero_copy_only=False)
     return flat.astype(np.float64).reshape(len(column), -1)
 

@@ -31,8 +31,8 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     lengths_differ = F.size(a) != F.size(b)
     scale = norm(a) * norm(b)
     message = F.concat(
-        F.lit("Vector length mismatch: "), F.size(a).cast("string"),
-        F.lit(" vs "), F.size(b).cast("string"),
+        F.lit("vectors differ in length: "), F.size(a).cast("string"),
+        F.lit(" and "), F.size(b).cast("string"),
     )
     return (
         F.when(lengths_differ, F.raise_error(message).cast("double"))

@@ -26,7 +26,7 @@ ARTICLE_UPDATE_COLS = (
 def check_window(days: int) -> int:
     if days not in WINDOW_DAYS:
         allowed = ", ".join(map(str, WINDOW_DAYS))
-        raise ValueError(f"Invalid window: {days} days. Must be one of {allowed}")
+        raise ValueError(f"a window of {days} days is not one of {allowed}")
     return days
 
 

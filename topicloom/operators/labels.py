@@ -67,26 +67,28 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))
 
 
-def term_scores(texts: DataFrame, text_col: str = "text", cluster: Sequence[str] = CLUSTER,
-                scope: Sequence[str] = ("account_id", "run_id"), min_length: int = 3) -> DataFrame:
+def term_scores(texts: DataFrame, clusters: DataFrame, text_col: str = "text",
+                cluster: Sequence[str] = CLUSTER, scope: Sequence[str] = ("account_id", "run_id"),
+                min_length: int = 3) -> DataFrame:
     """TF-IDF of every word of a cluster, with clusters as the documents.
 
-    Counts are merged before the shuffle, so frequent words and large clusters
-    cost one row per task.
+    ``clusters`` lists the clusters of each scope, one row each. Counts are
+    merged before the shuffle, so frequent words and large clusters cost one row
+    per task; a word's spread is then counted over at most one row per cluster.
+    The texts are read and split once.
     """
     counts = (
         texts.select(*cluster, F.explode(words(F.col(text_col))).alias("term"))
         .filter(F.length("term") >= min_length)
         .groupBy(*cluster, "term").agg(F.count(F.lit(1)).alias("tf"))
     )
-    spread = counts.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    total = texts.select(*cluster).distinct().groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
+    same_word = Window.partitionBy(*scope, "term")
+    spread = counts.withColumn("df", F.count(F.lit(1)).over(same_word))
+    total = clusters.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
-    return (
-        counts.join(spread, [*scope, "term"]).join(total, list(scope))
-        .select(*cluster, "term", "tf", "df",
-                F.round(F.col("tf") * idf, SCORE_DECIMALS).alias("score"))
-    )
+    return spread.join(total, list(scope)).select(
+        *cluster, "term", "tf", "df",
+        F.round(F.col("tf") * idf, SCORE_DECIMALS).alias("score"))
 
 
 def keywords(scores: DataFrame, count: int = 5, cluster: Sequence[str] = CLUSTER) -> DataFrame:

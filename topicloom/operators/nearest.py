@@ -43,7 +43,7 @@ def _unit_rows(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def _top_k(queries: np.ndarray, items: np.ndarray, k: int):
     """(query row, item row, distance) of the best ``k`` items; items by id."""
     if queries.shape[1] != items.shape[1]:
-        raise ValueError(f"Vector length mismatch: {queries.shape[1]} vs {items.shape[1]}")
+        raise ValueError(f"vectors differ in length: {queries.shape[1]} and {items.shape[1]}")
     k = min(k, len(items))
     slice_rows = max(1, _CELLS_AT_ONCE // len(items))
     for begin in range(0, len(queries), slice_rows):

@@ -37,10 +37,11 @@ def cluster_excerpt(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
     leaders = tables.leaders(spark, folder)
-    kept = leaders.members.join(centroids(leaders).select(*CLUSTER), CLUSTER, "left_semi")
+    kept_clusters = centroids(leaders).select(*CLUSTER)
+    kept = leaders.members.join(kept_clusters, CLUSTER, "left_semi")
     texts = masked_ticket_text(tables.spread(tables.vector_tickets(spark, folder)))
-    return L.term_scores(kept.join(texts.select("account_id", "ticket_id", "text"),
-                                   ["account_id", "ticket_id"]))
+    joined = kept.join(texts.select("account_id", "ticket_id", "text"), ["account_id", "ticket_id"])
+    return L.term_scores(joined, kept_clusters)
 
 
 def cluster_keywords(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,7 +134,7 @@ word AS (SELECT g, cluster_id,
          FROM raw WHERE regexp_matches(raw, '[^\\s\\x{{00A0}}]')),
 tf AS (SELECT g, cluster_id, term, count(*) AS tf FROM word WHERE length(term) >= 3 GROUP BY 1, 2, 3),
 df AS (SELECT g, term, count(*) AS df FROM tf GROUP BY 1, 2),
-total AS (SELECT g, count(DISTINCT cluster_id) AS n FROM raw GROUP BY 1),
+total AS (SELECT g, count(DISTINCT cluster_id) AS n FROM kept GROUP BY 1),
 score AS (SELECT g, cluster_id, term, tf, df, round(tf * (ln((n + 1) / (df + 1)) + 1), 6) AS score
           FROM tf JOIN df USING (g, term) JOIN total USING (g)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY g, cluster_id ORDER BY score DESC, term) AS rank FROM score)"""

@@ -106,9 +106,9 @@ def representative_ids(chosen: DataFrame) -> DataFrame:
 
 def extractive_summary(members: DataFrame, tickets: DataFrame) -> DataFrame:
     """Labels without a model: the words that set a cluster apart."""
-    texts = masked_ticket_text(tickets.select("account_id", "ticket_id", "subject", "description"))
-    scored = term_scores(members.join(texts, ["account_id", "ticket_id"]))
     sizes = cluster_sizes(members)
+    texts = masked_ticket_text(tickets.select("account_id", "ticket_id", "subject", "description"))
+    scored = term_scores(members.join(texts, ["account_id", "ticket_id"]), sizes)
     named = sizes.join(extractive_labels(scored), CLUSTER, "left")
     count = F.col("ticket_count").cast("string")
     return named.select(
