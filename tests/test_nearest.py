@@ -57,6 +57,17 @@ def test_ties_and_zero_vectors(spark, options):
     assert {r.distance for r in df.filter("query_id = 2").collect()} == {1.0}
 
 
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}])
+def test_scopes_of_two_columns_and_nulls(spark, options):
+    """A null scope matches nothing, as in a join."""
+    queries = [("a", 1, 1, [1.0, 0.0]), ("a", 2, 2, [1.0, 0.0]), (None, 1, 3, [1.0, 0.0])]
+    items = [("a", 1, 7, [0.0, 1.0]), ("a", 2, 8, [1.0, 0.0]), ("b", 1, 9, [1.0, 0.0]), (None, 1, 6, [1.0, 0.0])]
+    left = spark.createDataFrame(queries, "account_id string, run_id int, query_id long, query_vector array<double>")
+    right = spark.createDataFrame(items, "account_id string, run_id int, item_id long, item_vector array<double>")
+    got = nearest(left, right, 2, ["account_id", "run_id"], **options).collect()
+    assert sorted((r.query_id, r.item_id) for r in got) == [(1, 7), (2, 8)]
+
+
 def test_cells_reach_the_exact_result_when_all_are_probed(spark):
     queries, items = data(2)
     df = nearest_by_cells(*frames(spark, queries, items), 5, lists=6, probes=6)

@@ -78,17 +78,21 @@ def _pairs(queries: pa.Table, block: tuple[pa.Array, np.ndarray], k: int,
 
 def _by_scope(rows: pa.Table, on: Sequence[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Rows of each scope; nulls never match, as in an equi-join."""
+    for name in on:
+        rows = rows.filter(pc.is_valid(rows[name]))
     if not on:
         yield (), rows
-        return
-    for scope in rows.group_by(list(on)).aggregate([]).to_pylist():
-        same = None
-        for name, value in scope.items():
-            equal = pc.equal(rows[name], pa.scalar(value, rows.schema.field(name).type))
-            same = equal if same is None else pc.and_(same, equal)
-        part = rows.filter(same)
-        if len(part):
-            yield tuple(scope.values()), part
+    elif len(rows):
+        codes = [rows[name].combine_chunks().dictionary_encode().indices.to_numpy() for name in on]
+        order = np.lexsort(codes)
+        changed = np.zeros(len(rows) - 1, dtype=bool)
+        for code in codes:
+            changed |= code[order][1:] != code[order][:-1]
+        bounds = np.r_[0, np.flatnonzero(changed) + 1, len(rows)]
+        sorted_rows = rows.take(order)
+        for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+            part = sorted_rows.slice(begin, end - begin)
+            yield tuple(part[name][0].as_py() for name in on), part
 
 
 def _result_schema(queries: DataFrame, items: DataFrame, on: Sequence[str]) -> T.StructType:

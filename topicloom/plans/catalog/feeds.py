@@ -90,7 +90,7 @@ def triage_field_dim(spark: SparkSession, folder: str) -> DataFrame:
 
 def triage_values(spark: SparkSession, folder: str) -> DataFrame:
     """Events as tickets of their user; errors carry a number where text belongs."""
-    events = tables.table(spark, folder, "events")
+    events = tables.table(spark, folder, "events", heavy=True)
     fields = I.triage_dimension(_triage_feed(spark, folder))
     kind, number = F.to_json(F.struct("event_type")), F.get_json_object("props", "$.k")
     kind = F.when(F.col("event_type") == "error", number).otherwise(
@@ -99,7 +99,7 @@ def triage_values(spark: SparkSession, folder: str) -> DataFrame:
     first = F.parse_json(F.when(F.col("event_type") == "error", kind).otherwise(quoted))
     low = number.cast("int") < 50
     second = F.parse_json(F.when(low, F.concat(F.lit('"k'), number, F.lit('"'))).otherwise("true"))
-    rows = tables.spread(events).withColumnRenamed("user_id", "account_id").join(
+    rows = events.withColumnRenamed("user_id", "account_id").join(
         fields.withColumnRenamed("category_field", "c").withColumnRenamed("intent_field", "i")
         .select("account_id", "c", "i"), "account_id")
     rows = rows.select("event_id", "account_id", F.array(

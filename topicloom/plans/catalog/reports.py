@@ -39,7 +39,7 @@ def _scores(spark: SparkSession, folder: str) -> DataFrame:
     leaders = tables.leaders(spark, folder)
     kept_clusters = centroids(leaders).select(*CLUSTER)
     kept = leaders.members.join(kept_clusters, CLUSTER, "left_semi")
-    texts = masked_ticket_text(tables.spread(tables.vector_tickets(spark, folder)))
+    texts = masked_ticket_text(tables.vector_tickets(spark, folder, heavy=True))
     joined = kept.join(texts.select("account_id", "ticket_id", "text"), ["account_id", "ticket_id"])
     return L.term_scores(joined, kept_clusters)
 

@@ -70,7 +70,7 @@ def ticket_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 def article_upsert(spark: SparkSession, folder: str) -> DataFrame:
     stored = tables.stored_articles(spark, folder)
-    incoming = map_articles(tables.spread(tables.feed_articles(spark, folder))).drop("clean_text").withColumn(
+    incoming = map_articles(tables.feed_articles(spark, folder, heavy=True)).drop("clean_text").withColumn(
         "clean_text", F.col("title"))
     merged = upsert(stored, incoming, ["account_id", "article_id"], ARTICLE_UPDATE_COLS)
     return merged.select("account_id", "article_id", "title", "locale", "draft",
@@ -91,13 +91,13 @@ def embedding_update(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def article_refresh(spark: SparkSession, folder: str) -> DataFrame:
-    routed = route_articles(map_articles(tables.spread(tables.feed_articles(spark, folder))),
+    routed = route_articles(map_articles(tables.feed_articles(spark, folder, heavy=True)),
                             tables.stored_articles(spark, folder))
     return routed.select("account_id", "article_id", "action", "reason")
 
 
 def article_refresh_counts(spark: SparkSession, folder: str) -> DataFrame:
-    routed = route_articles(map_articles(tables.spread(tables.feed_articles(spark, folder))),
+    routed = route_articles(map_articles(tables.feed_articles(spark, folder, heavy=True)),
                             tables.stored_articles(spark, folder))
     return refresh_counts(routed)
 

@@ -15,7 +15,7 @@ TABLE_DIMENSION = 64
 
 def pii_mask(spark: SparkSession, folder: str) -> DataFrame:
     raw = F.col("text")
-    documents = tables.spread(tables.table(spark, folder, "documents"))
+    documents = tables.table(spark, folder, "documents", heavy=True)
     masked = documents.withColumn("masked", T.mask_pii(raw))
     return masked.select(
         "doc_id", F.md5("masked").alias("masked_md5"), F.length("masked").alias("masked_chars"),
@@ -23,7 +23,7 @@ def pii_mask(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def html_to_text(spark: SparkSession, folder: str) -> DataFrame:
-    clean = tables.spread(tables.table(spark, folder, "pages")).select(
+    clean = tables.table(spark, folder, "pages", heavy=True).select(
         "page_id", T.html_to_text(F.col("html")).alias("clean"))
     return clean.select("page_id", F.md5("clean").alias("clean_md5"),
                         F.length("clean").alias("clean_chars"))
@@ -59,7 +59,7 @@ def tenant_from_url(spark: SparkSession, folder: str) -> DataFrame:
 
 def embed_hash(spark: SparkSession, folder: str) -> DataFrame:
     """Word hashing of whole documents, one row per non-zero entry."""
-    texts = tables.spread(tables.table(spark, folder, "documents").select("doc_id", "text"))
+    texts = tables.table(spark, folder, "documents", heavy=True).select("doc_id", "text")
     return _entries(embed_texts(texts, "text", hashing_embedder(TABLE_DIMENSION), TABLE_DIMENSION),
                     "doc_id")
 
@@ -67,7 +67,7 @@ def embed_hash(spark: SparkSession, folder: str) -> DataFrame:
 def embed_tickets(spark: SparkSession, folder: str) -> DataFrame:
     """Mask and embed every ticket without a vector."""
     vectors = embed_tickets_job(
-        tables.spread(tables.tickets(spark, folder)), hashing_embedder(TABLE_DIMENSION), TABLE_DIMENSION)
+        tables.tickets(spark, folder, heavy=True), hashing_embedder(TABLE_DIMENSION), TABLE_DIMENSION)
     return _entries(vectors, "ticket_id")
 
 

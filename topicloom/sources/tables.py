@@ -12,18 +12,20 @@ from topicloom.operators.leader import LeaderPass, leader_pass
 TABLE_THRESHOLD = 0.30
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table; ``heavy`` if costly work per row follows."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return _spread(df) if heavy else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Enough partitions for all cores, for costly work per row.
+def _spread(scan: DataFrame) -> DataFrame:
+    """Enough partitions for all cores.
 
     A file with one row group is one task however many cores there are. A table
     of many files has partitions enough and is left alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
 def first_line(text: Column) -> Column:
@@ -36,20 +38,20 @@ def other_lines(text: Column) -> Column:
     return F.when(at > 0, F.substring(text, at + 1, F.length(text)))
 
 
-def ticket_texts(spark: SparkSession, folder: str) -> DataFrame:
+def ticket_texts(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     """Documents as tickets: tenant = source, run = language."""
     text = F.col("text")
-    return table(spark, folder, "documents").select(
+    return table(spark, folder, "documents", heavy).select(
         F.col("source").alias("account_id"), F.col("lang").alias("run_id"),
         F.col("doc_id").alias("ticket_id"),
         first_line(text).alias("subject"), other_lines(text).alias("description"))
 
 
-def tickets(spark: SparkSession, folder: str) -> DataFrame:
+def tickets(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     """Tickets with the vector stored for their id, if there is one."""
     vectors = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("ticket_id"), "embedding")
-    return ticket_texts(spark, folder).join(vectors, "ticket_id", "left")
+    return ticket_texts(spark, folder, heavy).join(vectors, "ticket_id", "left")
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,10 +61,10 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
         F.col("vec_id").alias("ticket_id"), "embedding")
 
 
-def vector_tickets(spark: SparkSession, folder: str) -> DataFrame:
+def vector_tickets(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     """The same with the texts of the document of that id."""
     text = F.col("text")
-    texts = table(spark, folder, "documents").select(
+    texts = table(spark, folder, "documents", heavy).select(
         F.col("doc_id").alias("ticket_id"),
         first_line(text).alias("subject"), other_lines(text).alias("description"))
     return vectors(spark, folder).join(texts, "ticket_id", "left")
@@ -90,10 +92,10 @@ def title_of(html: Column) -> Column:
     return F.regexp_extract(html, "<h1>([^<]*)</h1>", 1)
 
 
-def feed_articles(spark: SparkSession, folder: str) -> DataFrame:
+def feed_articles(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     """Pages as feed articles: tenant = host."""
     url, page_id = F.col("url"), F.col("page_id")
-    return table(spark, folder, "pages").select(
+    return table(spark, folder, "pages", heavy).select(
         host(url).alias("account_id"), page_id.alias("id"),
         title_of(F.col("html")).alias("title"), F.col("html").alias("body"),
         F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("locale"),
