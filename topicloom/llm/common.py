@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from topicloom.session import work_path
 
@@ -32,3 +33,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), offsets
+
+
+def words(text: Column) -> Column:
+    """Lower-cased runs of letters and digits; none for null."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")

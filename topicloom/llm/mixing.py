@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import saved
+from topicloom.llm.common import saved, words
 
 BUCKETS = 1 << 15
 SAMPLE_ROWS = 20_000
@@ -39,11 +39,6 @@ MIN_LIFT, MIN_Z = 2.0, 5.0
 MAX_ROUNDS, TOLERANCE = 20, 1e-3
 
 
-def words(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-
-
 def traits(text: Column, words_of: Column) -> Column:
     """What the classifier looks at: buckets of the different words and signs of a text."""
     signs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[#*$%&|<>!?]"), F.lit(0))

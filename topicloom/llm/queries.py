@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import langid, mixing, neardup, pieces, quality
+from topicloom.llm import extract, langid, licenses, mixing, neardup, neighbours, pieces, quality, urls, warc
 from topicloom.llm.common import saved, text_batches
+from topicloom.session import work_path
 
 DOMAINS = {"clean": 0.97, "toxic": 0.02, "junk": 0.01}
 
@@ -37,6 +38,25 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "_quality.base_failed", "_quality.rule", "_quality.kept")
 
 
+def op2_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged(table(spark, folder, "pages").select("page_id", "url")).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
+def op4_warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    text_batches(spark)
+    return warc.round_trip(table(spark, folder, "pages"), work_path(spark, "llm-warc")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scanned(table(spark, folder, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     text_batches(spark)
     return neardup.near_duplicates(table(spark, folder, "documents")).select(
@@ -55,6 +75,11 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", langid.held_out().alias("held_out"), "_language.lang_pred", "_language.score")
 
 
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    text_batches(spark)
+    return extract.extracted(table(spark, folder, "pages"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     stored = mixing.mixed(docs, labelled_domains(table(spark, folder, "labels")), DOMAINS, keep_text=False)
@@ -63,13 +88,30 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_learned_partitions": op2_learned_partitions,
+    "op3_url_filter": op3_url_filter,
+    "op4_warc_bundles": op4_warc_bundles,
+    "op5_license_scan": op5_license_scan,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_language_id": op8_language_id,
+    "op9_html_extraction": op9_html_extraction,
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+# The others learn, search approximately, connect groups or hash in ways that SQL lacks.
+ORACLES = {
+    "op4_warc_bundles": f"""
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+        sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+      CASE WHEN payload_bytes >= {warc.MIN_SHARED} AND page_id <> first_id THEN 'revisit' ELSE 'response' END
+        AS record_type,
+      CASE WHEN payload_bytes >= {warc.MIN_SHARED} AND page_id <> first_id THEN first_id END AS refers_to
+    FROM q""",
+    "op5_license_scan": licenses.oracle_sql(),
+}
 
 
 def queries() -> dict:
