@@ -33,7 +33,7 @@ from topicloom.llm.common import saved, words
 
 BUCKETS = 1 << 15
 SAMPLE_ROWS = 20_000
-# A trait tells if a domain has it this much more often than all have, and by so many
+# A trait tells if a domain has it this much more often than the others, and by so many
 # standard errors; others only say how long a text is.
 MIN_LIFT, MIN_Z = 2.0, 5.0
 MAX_ROUNDS, TOLERANCE = 20, 1e-3
@@ -62,8 +62,9 @@ def membership_weights(docs: DataFrame, labelled: DataFrame, domains: list[str],
         seen[row[0], row[1]] = row[2]
     have, docs_of = seen[:, :-1], seen[:, -1:]
     expected = have.sum(0) * docs_of / max(docs_of.sum(), 1)
-    telling = ((have - expected > MIN_Z * np.sqrt(expected + 1)) & (have > MIN_LIFT * expected)).any(0)
     chance = (have + 0.5) / (docs_of + 1)
+    elsewhere = (have.sum(0) - have) / np.maximum(docs_of.sum() - docs_of, 1)
+    telling = ((have - expected > MIN_Z * np.sqrt(expected + 1)) & (chance > MIN_LIFT * elsewhere)).any(0)
     absent = np.where(telling, np.log1p(-chance), 0.0)
     added = np.where(telling, np.log(chance) - absent, 0.0)
     prior = np.log((docs_of[:, 0] + 1) / (docs_of.sum() + len(domains)))

@@ -314,9 +314,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near duplicates: of each group the rows with the smallest id
-    stay, once each. Groups in which no document has an id stay as they are."""
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col)
+    """``docs`` without near duplicates: of each group the row with the smallest id
+    stays, once. Of documents without an id that are in no group with one, those with
+    different fingerprints stay."""
+    groups = saved(near_duplicates(docs, id_col=id_col, text_col=text_col), "near-duplicates")
     stay = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stay")).distinct()
-    kept = (docs.join(stay, F.col(id_col) == F.col("_stay"), "left_semi").dropDuplicates([id_col]))
-    return kept
+    kept = docs.join(stay, F.col(id_col) == F.col("_stay"), "left_semi").dropDuplicates([id_col])
+    named = groups.where("component_id is not null").select(F.col("fp").alias("_fp")).distinct()
+    nameless = docs.where(F.col(id_col).isNull()).withColumn("_print", fingerprint(F.col(text_col)))
+    nameless = nameless.join(named, F.col("_print") == F.col("_fp"), "left_anti").dropDuplicates(["_print"])
+    return kept.unionByName(nameless.drop("_print"))
