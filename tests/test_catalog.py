@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from topicloom.plans import catalog
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 from check_oracles import compare, database  # noqa: E402
@@ -24,10 +25,10 @@ def con():
 
 def test_every_sql_text_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"article_knn_ivf"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"article_knn_ivf"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_matches_its_sql(spark, con, name):
     ok, note = compare(spark, con, FOLDER, name)
     assert ok is not False, note

@@ -70,16 +70,59 @@ def test_unparsable_page_is_set_aside(spark, tmp_path):
     (tmp_path / "p2.json").write_text("{broken\n")
     pages = P.read_page_files(spark, str(tmp_path), TICKET_PAGE).cache()
     assert pages.filter(F.col("_corrupt_record").isNotNull()).count() == 1
-    assert [r.id for r in P.tickets_of(pages).collect()] == [1]
+    assert [r.reason for r in P.page_rejects(pages, "tickets").collect()] == ["a page does not parse"]
+    with pytest.raises(Exception, match="a page does not parse"):
+        P.tickets_of(pages).collect()
+
+
+@pytest.mark.parametrize("text,reason", [
+    ('{"account_id": "a", "tickets": [{"id": 2}, {"subject": "s"}]}', "one of tickets has no id"),
+    ('{"account_id": "a", "tickets": [{"id": "x1"}]}', "."),
+    ('{"account_id": "a"}', "a page has no tickets"),
+    ('{"account_id": "a", "tickets": [{"id": 3', "a page does not parse"),
+])
+def test_broken_page_fails_the_run_before_its_offset_is_committed(spark, tmp_path, text, reason):
+    feed = tmp_path / "feed"
+    page(feed, "p1", ticket(1))
+    (feed / "p2.json").write_text(text + "\n")
+    runs = runs_of(spark, tmp_path)
+    with pytest.raises(Exception, match=reason):
+        runs.start(P.stream_page_files(spark, str(feed), TICKET_PAGE), 3, 30, NOW)
+    assert runs.status(3) == "failed"
+    with pytest.raises(Exception, match=reason):
+        runs.resume(P.stream_page_files(spark, str(feed), TICKET_PAGE), 3)
+    page(feed, "p2", ticket(2))
+    assert runs.resume(P.stream_page_files(spark, str(feed), TICKET_PAGE), 3).tickets == 2
+
+
+def test_other_accounts_and_unparsable_times(spark, tmp_path):
+    page(tmp_path / "feed", "p1", ticket(1), ticket(2, "yesterday"), ticket(3, None))
+    page(tmp_path / "feed", "p2", ticket(1, subject="other"), account="b")
+    runs = runs_of(spark, tmp_path)
+    done = runs.start(P.stream_page_files(spark, str(tmp_path / "feed"), TICKET_PAGE), 1, 30, NOW)
+    assert (done.tickets, done.undated) == (1, 1)
+    assert [(r.account_id, r.subject) for r in runs.tickets().collect()] == [("a", "s")]
+
+
+def test_a_resumed_older_run_wins_as_it_writes_last(spark, tmp_path):
+    feed = tmp_path / "feed"
+    page(feed, "p1", ticket(1, subject="one"))
+    runs = runs_of(spark, tmp_path)
+    runs.start(P.stream_page_files(spark, str(feed), TICKET_PAGE), 1, 30, NOW)
+    runs.start(P.stream_page_files(spark, str(feed), TICKET_PAGE), 2, 30, NOW)
+    page(feed, "p2", ticket(1, subject="two", at=2))
+    runs.resume(P.stream_page_files(spark, str(feed), TICKET_PAGE), 1)
+    row = runs.tickets().first()
+    assert (row.run_id, row.subject) == (1, "two")
 
 
 def test_article_mapping(spark, tmp_path):
     body = {"account_id": "a", "next_page": None, "end_time": 5, "articles": [
-        {"id": 1, "title": "t", "body": "<p>Click <b>here</b> to reset.</p>", "locale": "en", "draft": False,
+        {"id": 1, "title": "t", "body": "<p>Hold the <b>red</b> button.</p>", "locale": "en", "draft": False,
          "updated_at": "2026-06-01T00:00:00Z"}, {"id": 2, "body": None}]}
     (tmp_path / "a.json").write_text(json.dumps(body))
     one, two = I.map_articles(P.read_articles(spark, str(tmp_path))).orderBy("article_id").collect()
-    assert (one.clean_text, one.updated_at) == ("Click here to reset.", datetime(2026, 6, 1))
+    assert (one.clean_text, one.updated_at) == ("Hold the red button.", datetime(2026, 6, 1))
     assert (two.clean_text, two.draft) == ("", False)
 
 

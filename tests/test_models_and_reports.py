@@ -43,7 +43,7 @@ def test_unknown_provider():
 
 def parrot():
     def answer(prompt):
-        assert "555-123-4567" not in prompt
+        assert "301-820-4477" not in prompt
         if "explode" in prompt:
             raise RuntimeError("no quota")
         if "silence" in prompt:
@@ -57,7 +57,7 @@ def test_model_labels_are_masked_and_isolated(spark):
         [("a", 1, c, t) for c, t in ((1, 1), (1, 2), (2, 3), (3, 4), (4, 5))],
         "account_id string, run_id int, cluster_id int, ticket_id int")
     tickets = spark.createDataFrame(
-        [("a", 1, "s", "My phone number is 555-123-4567, call"), ("a", 2, None, "x"),
+        [("a", 1, "s", "ring 301-820-4477, please"), ("a", 2, None, "x"),
          ("a", 3, "explode", None), ("a", 4, "silence", ""), ("a", 5, "plain", "y")],
         "account_id string, ticket_id int, subject string, description string")
     masked = L.excerpts(L.representatives(members), tickets)

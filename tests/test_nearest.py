@@ -90,6 +90,15 @@ def test_cells_recall_grows_with_probes(spark):
     assert 0.2 < low < high <= 1.0
 
 
+def test_cells_never_leave_a_query_short(spark):
+    rng = np.random.default_rng(6)
+    queries = [(a, i, v) for a in "ab" for i, v in enumerate(rng.normal(size=(30, 8)))]
+    items = [(a, i, v) for a in "ab" for i, v in enumerate(rng.normal(size=(5 if a == "a" else 60, 8)))]
+    both = frames(spark, queries, items)
+    counts = nearest_by_cells(*both, 5, lists=20, probes=2).groupBy("account_id", "query_id").count().collect()
+    assert len(counts) == 60 and {r["count"] for r in counts} == {5}
+
+
 def test_ids_may_repeat_across_accounts(spark):
     queries = [(a, 1, v) for a, v in (("a", (1, 0)), ("b", (0, 1)))]
     items = [(a, i, v) for a in "ab" for i, v in enumerate([(1, 0), (0, 1), (1, 1)])]

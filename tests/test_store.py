@@ -40,6 +40,25 @@ def test_upsert_can_set_null_and_skip_inserts(spark):
         U.upsert(stored, updates, ["account_id", "ticket_id"], ["subject"])
 
 
+def test_update_columns_need_a_place(spark):
+    stored = spark.createDataFrame([(1, "x")], "k int, a string")
+    fresh = spark.createDataFrame([(1, "y", 2)], "k int, a string, b int")
+    with pytest.raises(ValueError, match="stored table lacks the columns .'b'."):
+        U.upsert(stored, fresh, ["k"], ["a", "b"])
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from topicloom.session import is_local, shared_dir
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(
+        master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(bare)
+    assert is_local("local[8]") and is_local("local") and not is_local("local-cluster[2,1,1024]")
+
+
 def test_latest_per_key_is_last_not_first(spark):
     df = spark.createDataFrame([("k", 1, "a"), ("k", 3, "c"), ("k", 2, "b"), ("j", 1, None)],
                                "key string, version int, v string")

@@ -7,7 +7,7 @@ defaults differ, so those classes are written out here.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,8 +21,6 @@ REDACTED = "[REDACTED]"
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
 PHONE = r"\b\+?\d[\d\s().-]{7,}\d\b"
 CARD = r"\b(?:\d[ -]*?){13,19}\b"
-LABEL_LINE = r"Label:\s*(.+)"
-SUMMARY_LINE = r"Summary:\s*(.+)"
 NO_VALUE = "(none)"
 DEFAULT_LABEL = "Unlabeled topic"
 DEFAULT_SUMMARY = ""
@@ -42,6 +40,9 @@ _PHONE_JAVA = (
     rf"[0-9{JS_BLANKS}().-]{{7,}}[0-9](?![{WORD}])"
 )
 
+_CARD_DIGITS = r"[0-9](?:[ -]*+[0-9]){12}"
+_CARD_JAVA = rf"(?<![{WORD}])(?:[0-9][ -]*?){{13,19}}(?:(?<=[0-9])(?![{WORD}])|(?<=[ -])(?=[{WORD}]))"
+
 
 def js_trim(text: Column) -> Column:
     return F.btrim(text, F.lit(_BLANK_CHARS))
@@ -54,14 +55,13 @@ def is_blank(text: Column) -> Column:
 def mask_pii(text: Column) -> Column:
     """E-mail, phone and card passes, each reading what the earlier one left.
 
-    The card pass is not run, because nothing is left for it: a card match is a
-    run of digits, blanks and hyphens between word boundaries with 13 digits or
-    more, the phone pattern accepts every such run, and the phone pass, being
-    greedy, takes all of it. Masking adds no digits.
+    A costly pass runs only on texts that hold what it needs: an ``@``, or 13 digits
+    with nothing but blanks and hyphens between them.
     """
     emails = F.regexp_replace(text, _EMAIL_JAVA, REDACTED)
     no_emails = F.when(F.contains(text, F.lit("@")), emails).otherwise(text)
-    return F.regexp_replace(no_emails, _PHONE_JAVA, REDACTED)
+    no_phones = F.regexp_replace(no_emails, _PHONE_JAVA, REDACTED)
+    return F.when(no_phones.rlike(_CARD_DIGITS), F.regexp_replace(no_phones, _CARD_JAVA, REDACTED)).otherwise(no_phones)
 
 
 def _occurrences(text: Column, needle: str) -> Column:
@@ -140,8 +140,11 @@ def normalized_title(title: Column) -> Column:
 # breaks between blocks, a forced line break, heading and list bounds.
 _BREAK1, _BREAK2, _BREAK3 = "\ue001", "\ue002", "\ue003"
 _FORCED, _HEAD_ON, _HEAD_OFF = "\ue004", "\ue005", "\ue006"
-_ITEM, _NUMBERED_ON, _NUMBERED_OFF = "\ue007", "\ue008", "\ue009"
-_MARKERS = r"\uE001-\uE009"
+_ITEM, _NUMBERED_ON, _LIST_OFF, _BULLETS_ON = "\ue007", "\ue008", "\ue009", "\ue00a"
+_LISTS = _ITEM + _NUMBERED_ON + _LIST_OFF + _BULLETS_ON
+# White space of preformatted text: a blank and a tab that stay.
+_BLANK, _TAB = "\ue00b", "\ue00c"
+_MARKERS = r"\uE001-\uE00C"
 _RULE = "-" * 40
 
 _UNSEEN = (
@@ -155,7 +158,7 @@ _UNSEEN = (
 # Layout of a tag; closing tags begin with a slash, all others vanish.
 _BLOCKS = {
     _BREAK1: "article aside div footer form header main nav section tr /li",
-    _BREAK2: "p pre ul blockquote table",
+    _BREAK2: "p pre blockquote table",
 }
 _TAGS = {
     **{tag: mark for mark, names in _BLOCKS.items() for name in names.split()
@@ -165,12 +168,17 @@ _TAGS = {
     "br": _FORCED, "/br": _FORCED,
     "hr": _BREAK2 + _RULE + _BREAK2,
     "li": _BREAK1 + _ITEM,
-    "ol": _BREAK2 + _NUMBERED_ON, "/ol": _NUMBERED_OFF + _BREAK2,
+    "ol": _BREAK2 + _NUMBERED_ON, "/ol": _LIST_OFF + _BREAK2,
+    "ul": _BREAK2 + _BULLETS_ON, "/ul": _LIST_OFF + _BREAK2,
     "td": " ", "/td": " ", "th": " ", "/th": " ",
 }
-_TAG_AT_START = r"^(/?[a-zA-Z][^\s/>]*|[!?])[^>]*>"
+# A quoted value may hold a closing bracket; where quotes are unbalanced, the first one ends the tag.
+_TAG_AT_START = r"""^(/?[a-zA-Z][^\s/>]*|[!?])(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)"""
 
-_ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# Names that stand without a semicolon for historical reasons, longest first.
+_LEGACY = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+_NAMED = r"^([A-Za-z][A-Za-z0-9]*);"
+_NUMBER_OR_LEGACY = rf"^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|{'|'.join(_LEGACY)});?"
 
 
 def _lay_out_tags(text: Column) -> Column:
@@ -181,7 +189,7 @@ def _lay_out_tags(text: Column) -> Column:
     def piece(part: Column, index: Column) -> Column:
         name = F.lower(F.regexp_extract(part, _TAG_AT_START, 1))
         marks = F.coalesce(F.try_element_at(layout, name), F.lit(""))
-        rest = F.substring(part, F.instr(part, ">") + 1, F.length(part))
+        rest = F.substring(part, F.length(F.regexp_extract(part, _TAG_AT_START, 0)) + 1, F.length(part))
         return (
             F.when(index == 0, part)
             .when(name == "", F.concat(F.lit("<"), part))
@@ -194,26 +202,32 @@ def _lay_out_tags(text: Column) -> Column:
 def _decode_entities(text: Column) -> Column:
     """Decode in one left-to-right pass, so ``&amp;lt;`` ends as ``&lt;``."""
     pairs = []
-    for name, point in sorted(name2codepoint.items()):
-        pairs += [F.lit(name), F.lit(chr(point))]
+    for name in sorted(n for n in html5 if n.endswith(";")):
+        pairs += [F.lit(name[:-1]), F.lit(html5[name])]
     named = F.create_map(*pairs)
+    # References to C1 controls mean the Windows characters of those numbers.
+    windows = F.array(*[F.lit(bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n))) for n in range(128, 160)])
 
     def piece(part: Column, index: Column) -> Column:
-        ref = F.regexp_extract(part, _ENTITY, 1)
-        tail = F.substring(part, F.length(ref) + 2, F.length(part))
+        name = F.regexp_extract(part, _NAMED, 1)
+        known = F.when(name == "amp", F.lit("&")).when(name != "", F.try_element_at(named, name))
+        ref = F.regexp_extract(part, _NUMBER_OR_LEGACY, 1)
+        taken = F.when(known.isNotNull(), F.length(name) + 1).otherwise(
+            F.length(F.regexp_extract(part, _NUMBER_OR_LEGACY, 0)))
+        tail = F.substring(part, taken + 1, F.length(part))
         digits = F.when(
             ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 6), 16, 10)
         ).otherwise(F.substring(ref, 2, 7)).cast("int")
         legal = (digits > 0) & (digits <= 0x10FFFF) & ~digits.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")
+        char = F.when(digits.between(128, 159), F.get(windows, digits - 128)).otherwise(
+            F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32"))
         decoded = (
-            F.when(ref == "amp", F.lit("&"))
+            F.when(known.isNotNull(), known)
             .when(ref.startswith("#"), F.when(legal, char))
             .otherwise(F.try_element_at(named, ref))
         )
         return (
             F.when(index == 0, part)
-            .when(ref == "", F.concat(F.lit("&"), part))
             .otherwise(F.coalesce(F.concat(decoded, tail), F.concat(F.lit("&"), part)))
         )
 
@@ -230,36 +244,58 @@ def _upper_headings(text: Column) -> Column:
     return F.replace(joined, F.lit(_HEAD_OFF), F.lit(""))
 
 
-def _number_items(text: Column) -> Column:
-    def item(part: Column, index: Column) -> Column:
-        numbered = F.concat(F.lit(" "), index.cast("string"), F.lit(". "), F.ltrim(part))
-        return F.when(index == 0, part).otherwise(numbered)
+def _keep_preformatted(text: Column) -> Column:
+    """Line breaks and blanks inside ``pre`` as markers, which no clean-up touches."""
 
     def piece(part: Column, index: Column) -> Column:
-        inside = F.substring_index(part, _NUMBERED_OFF, 1)
-        rest = F.substring(part, F.length(inside) + 1, F.length(part))
-        items = F.array_join(F.transform(F.split(inside, _ITEM), item), "")
-        return F.when(index == 0, part).otherwise(F.concat(items, rest))
+        inside = F.regexp_extract(part, r"(?is)^[^>]*>\n?(.*?)(?=</pre|\z)", 1)
+        start = F.regexp_extract(part, r"(?s)^[^>]*>\n?", 0)
+        rest = F.substring(part, F.length(start) + F.length(inside) + 1, F.length(part))
+        kept = F.translate(F.replace(inside, F.lit("\r"), F.lit("")), "\n \t", _FORCED + _BLANK + _TAB)
+        return F.when(index == 0, part).otherwise(F.concat(F.lit("<pre"), start, kept, rest))
+
+    parts = F.split(text, r"(?i)<pre(?=[\s>])")
+    return F.when(F.size(parts) > 1, F.array_join(F.transform(parts, piece), "")).otherwise(text)
 
-    joined = F.array_join(F.transform(F.split(text, _NUMBERED_ON), piece), "")
-    plain = F.replace(joined, F.lit(_NUMBERED_OFF), F.lit(""))
-    return F.regexp_replace(plain, f"{_ITEM} ?", " * ")
+
+def _number_items(text: Column) -> Column:
+    """Bullets and numbers: one walk over the list marks with a stack of open lists,
+    whose entries are the last number used, or -1 for bullets."""
+    tokens = F.regexp_extract_all(text, F.lit(f"(?s)[{_LISTS}]?[^{_LISTS}]+|[{_LISTS}]"), F.lit(0))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<int>").alias("open"))
+
+    def step(state: Column, token: Column) -> Column:
+        mark, rest = F.substring(token, 1, 1), F.substring(token, 2, F.length(token))
+        lists, depth = state["open"], F.size(state["open"])
+        last = F.coalesce(F.get(lists, depth - 1), F.lit(-1))
+        below = F.slice(lists, F.lit(1), F.greatest(depth - 1, F.lit(0)))
+        number = F.concat(F.lit(_BLANK), (last + 1).cast("string"), F.lit(". "))
+        item = F.concat(F.when(last >= 0, number).otherwise(F.lit(f"{_BLANK}* ")), F.ltrim(rest))
+        opened = (F.when(mark == _NUMBERED_ON, F.array_append(lists, F.lit(0)))
+                  .when(mark == _BULLETS_ON, F.array_append(lists, F.lit(-1)))
+                  .when(mark == _LIST_OFF, below)
+                  .when((mark == _ITEM) & (last >= 0), F.array_append(below, last + 1)).otherwise(lists))
+        said = F.when(mark == _ITEM, item).when(mark.isin(*_LISTS), rest).otherwise(token)
+        return F.struct(F.array_append(state["out"], said).alias("out"), opened.alias("open"))
+
+    walked = F.array_join(F.aggregate(tokens, start, step)["out"], "")
+    return F.when(text.rlike(f"[{_LISTS}]"), walked).otherwise(text)
 
 
 def html_to_text(html: Column) -> Column:
     """Readable text of an article body; null and empty give an empty string.
 
     Scripts, styles, comments and images vanish, link text stays without its
-    address, headings are upper-cased, list items get a bullet or a number, and
-    blocks are set apart by line breaks.
+    address, headings are upper-cased, list items get a bullet or a number, blocks are
+    set apart by line breaks, and preformatted text keeps its own.
     """
     text = F.regexp_replace(F.coalesce(html, F.lit("")), f"[{_MARKERS}]", "")
-    text = F.regexp_replace(text, _UNSEEN, "")
+    text = _keep_preformatted(F.regexp_replace(text, _UNSEEN, ""))
     text = F.regexp_replace(text, r"[\t\r\n\f\u200B ]{2,}|[\t\r\n\f\u200B]", " ")
     text = _lay_out_tags(text)
     text = F.regexp_replace(text, " {2,}", " ")
     text = _decode_entities(text)
-    text = _upper_headings(text)
+    text = _number_items(_upper_headings(text))
     # No blank beside a break. Then a run of breaks begins with a break.
     breaks = _BREAK1 + _BREAK2 + _BREAK3
     text = F.regexp_replace(text, f" (?=[{breaks}{_FORCED}])", "")
@@ -269,6 +305,4 @@ def html_to_text(html: Column) -> Column:
     ):
         before = f"[{lesser}]*" if lesser else ""
         text = F.regexp_replace(text, f"{before}{mark}[{breaks}]*", "\n" * lines)
-    text = _number_items(text)
-    text = F.replace(text, F.lit(_FORCED), F.lit("\n"))
-    return js_trim(text)
+    return js_trim(F.translate(text, _FORCED + _BLANK + _TAB, "\n \t"))

@@ -69,7 +69,7 @@ def words(text: Column) -> Column:
 
 def term_scores(texts: DataFrame, clusters: DataFrame, text_col: str = "text",
                 cluster: Sequence[str] = CLUSTER, scope: Sequence[str] = ("account_id", "run_id"),
-                min_length: int = 3) -> DataFrame:
+                min_length: int = 1) -> DataFrame:
     """TF-IDF of every word of a cluster, with clusters as the documents.
 
     ``clusters`` lists the clusters of each scope, one row each. Counts are
@@ -82,8 +82,8 @@ def term_scores(texts: DataFrame, clusters: DataFrame, text_col: str = "text",
         .filter(F.length("term") >= min_length)
         .groupBy(*cluster, "term").agg(F.count(F.lit(1)).alias("tf"))
     )
-    same_word = Window.partitionBy(*scope, "term")
-    spread = counts.withColumn("df", F.count(F.lit(1)).over(same_word))
+    # Counted and joined back, not windowed: adaptive execution can split a frequent word.
+    spread = counts.join(counts.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df")), [*scope, "term"])
     total = clusters.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
     return spread.join(total, list(scope)).select(

@@ -245,7 +245,8 @@ def nearest_by_cells(
     """Approximate search: only items in the ``probes`` closest cells are scanned.
 
     The cells come from k-means over all items; within a cell the exact search
-    above is used, blocks included, so one crowded cell is still split.
+    above is used, blocks included, so one crowded cell is still split. A query that
+    finds fewer than ``k`` there, though its scope holds more, is searched exactly.
     """
     on = list(on)
     usable = items.filter(F.col(item_vector).isNotNull()).withColumn(
@@ -263,7 +264,17 @@ def nearest_by_cells(
         near.select(F.col("query_id").alias("_key"), F.col("item_id").alias("cell")), "_key")
     found = nearest(probed, celled, k, [*on, "cell"], query_id, query_vector,
                     item_id, item_vector, **search)
-    return best_per_query(found.drop("rank", "cell"), k, on)
+    close = best_per_query(found.drop("rank", "cell"), k, on)
+    # Cells that hold too few of a query's scope leave it short: those queries search all.
+    scope = items.filter(F.col(item_vector).isNotNull()).groupBy(*on).agg(F.count(F.lit(1)).alias("_held"))
+    have = close.groupBy(*on, "query_id").agg(F.count(F.lit(1)).alias("_have"))
+    asked = queries.withColumn("query_id", F.col(query_id)).join(have, [*on, "query_id"], "left").join(scope, on)
+    enough = F.coalesce("_have", F.lit(0)) >= F.least(F.col("_held"), F.lit(k))
+    short = asked.filter(~enough).select(*queries.columns)
+    full = asked.filter(enough).select(*on, "query_id")
+    rest = nearest(short, items, k, on, query_id, query_vector, item_id, item_vector, **search)
+    kept = close.join(full, [*on, "query_id"], "left_semi")
+    return kept.unionByName(rest.select(*kept.columns))
 
 
 def recall(approximate: DataFrame, exact: DataFrame, on: Sequence[str] = ("account_id",)) -> DataFrame:

@@ -35,6 +35,9 @@ def upsert(stored: DataFrame, updates: DataFrame, keys: Sequence[str],
     unknown = update_cols - set(updates.columns)
     if unknown:
         raise ValueError(f"updates lack the columns {sorted(unknown)}")
+    homeless = update_cols - set(stored.columns)
+    if homeless:
+        raise ValueError(f"the stored table lacks the columns {sorted(homeless)}")
     old = stored.withColumn("_old", F.lit(True)).alias("old")
     new = updates.withColumn("_new", F.lit(True)).alias("new")
     joined = old.join(new, keys, "full_outer" if insert else "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from topicloom.operators import ingest as I
 from topicloom.operators.upsert import latest_per_key as latest
-from topicloom.schemas import ARTICLE_PAGE
+from topicloom.schemas import ARTICLE_PAGE, TICKET_PAGE
 from topicloom.session import work_path
 from topicloom.sources import pages as P
 from topicloom.sources import tables
@@ -65,6 +65,21 @@ def article_pages(spark: SparkSession, folder: str) -> DataFrame:
         "account_id", "id", "title", "locale", "draft", F.md5("body").alias("body_md5"), "updated_at")
 
 
+def page_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of which every third is cut off and some hold a ticket without an id; what
+    a run would stop at, counted by reason."""
+    number = F.floor(F.col("id") / 10)
+    no_id = F.when(F.col("id") % 251 != 7, F.col("id"))
+    pages = _ticket_feed(spark, folder).groupBy("account_id", number.alias("page")).agg(
+        F.collect_list(F.struct(no_id.alias("id"), "subject")).alias("tickets"))
+    text = F.to_json(F.struct("account_id", "tickets"), {"ignoreNullFields": "false"})
+    cut = F.when(F.col("page") % 3 == 1, F.substring(text, F.lit(1), F.length(text) - 5)).otherwise(text)
+    path = work_path(spark, "broken-pages")
+    pages.select(cut.alias("value")).write.text(path)
+    rejects = P.page_rejects(P.read_page_files(spark, path, TICKET_PAGE), "tickets")
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("pages"))
+
+
 def ticket_mapping(spark: SparkSession, folder: str) -> DataFrame:
     mapped = I.map_tickets(_ticket_feed(spark, folder))
     return mapped.select(
@@ -101,10 +116,13 @@ def triage_values(spark: SparkSession, folder: str) -> DataFrame:
     second = F.parse_json(F.when(low, F.concat(F.lit('"k'), number, F.lit('"'))).otherwise("true"))
     rows = events.withColumnRenamed("user_id", "account_id").join(
         fields.withColumnRenamed("category_field", "c").withColumnRenamed("intent_field", "i")
-        .select("account_id", "c", "i"), "account_id")
+        .withColumnRenamed("sentiment_field", "s")
+        .select("account_id", "c", "i", "s"), "account_id", "left")
+    mood = F.parse_json(F.when(F.col("value") > 50, F.lit('"pleased"')).otherwise(F.lit("null")))
     rows = rows.select("event_id", "account_id", F.array(
         F.struct(F.col("c").alias("id"), first.alias("value")),
         F.struct(F.col("i").alias("id"), second.alias("value")),
+        F.struct(F.col("s").alias("id"), mood.alias("value")),
         F.struct(F.col("c").alias("id"), F.parse_json(F.lit('"later"')).alias("value")),
     ).alias("custom_fields"))
     return I.with_triage(rows, fields).select("event_id", "category", "intent", "sentiment")
@@ -163,6 +181,7 @@ QUERIES = {
     "ticket_mapping": ticket_mapping,
     "triage_field_dim": triage_field_dim,
     "triage_values": triage_values,
+    "page_rejects": page_rejects,
     "window_filter_30": _window("events", "event_id", "ts", EVENTS_30_AS_OF, 30),
     "window_filter_60": _window("events", "event_id", "ts", EVENTS_60_AS_OF, 60),
     "window_filter_90": _window("orders", "o_orderkey", "o_orderdate", ORDERS_90_AS_OF, 90),
@@ -210,14 +229,19 @@ WITH f AS (
   SELECT user_id,
          max(id) FILTER (event_type IN ('click', 'signup')) AS c,
          max(id) FILTER (event_type = 'view') AS i,
-         count(*) FILTER (event_type IN ('click', 'signup', 'view', 'purchase')) AS known
+         max(id) FILTER (event_type = 'purchase') AS s
   FROM (SELECT user_id, event_type, min(event_id) AS id FROM events GROUP BY 1, 2) GROUP BY 1)
 SELECT event_id,
        CASE WHEN c IS NOT NULL AND event_type <> 'error' THEN event_type END AS category,
        CASE WHEN i IS NOT NULL AND CAST(props->>'$.k' AS INTEGER) < 50
             THEN 'k' || (props->>'$.k') END AS intent,
-       CAST(NULL AS VARCHAR) AS sentiment
-FROM events JOIN f USING (user_id) WHERE known > 0""",
+       CASE WHEN s IS NOT NULL AND value > 50 THEN 'pleased' END AS sentiment
+FROM events LEFT JOIN f USING (user_id)""",
+    "page_rejects": """
+WITH p AS (SELECT source, doc_id // 10 AS page, bool_or(doc_id % 251 = 7) AS no_id FROM documents GROUP BY 1, 2),
+r AS (SELECT CASE WHEN page % 3 = 1 THEN 'a page does not parse'
+                  WHEN no_id THEN 'one of tickets has no id' END AS reason FROM p)
+SELECT reason, count(*) AS pages FROM r WHERE reason IS NOT NULL GROUP BY 1""",
     "window_filter_30": """
 SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 30 DAY""",
     "window_filter_60": """

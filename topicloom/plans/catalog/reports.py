@@ -132,7 +132,7 @@ raw AS (SELECT k.g, k.cluster_id,
 word AS (SELECT g, cluster_id,
                 unnest(regexp_extract_all(lower({sql_masked("raw")}), '[\\p{{L}}\\p{{N}}]+')) AS term
          FROM raw WHERE regexp_matches(raw, '[^\\s\\x{{00A0}}]')),
-tf AS (SELECT g, cluster_id, term, count(*) AS tf FROM word WHERE length(term) >= 3 GROUP BY 1, 2, 3),
+tf AS (SELECT g, cluster_id, term, count(*) AS tf FROM word GROUP BY 1, 2, 3),
 df AS (SELECT g, term, count(*) AS df FROM tf GROUP BY 1, 2),
 total AS (SELECT g, count(DISTINCT cluster_id) AS n FROM kept GROUP BY 1),
 score AS (SELECT g, cluster_id, term, tf, df, round(tf * (ln((n + 1) / (df + 1)) + 1), 6) AS score

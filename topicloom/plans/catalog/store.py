@@ -70,8 +70,7 @@ def ticket_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 def article_upsert(spark: SparkSession, folder: str) -> DataFrame:
     stored = tables.stored_articles(spark, folder)
-    incoming = map_articles(tables.feed_articles(spark, folder, heavy=True)).drop("clean_text").withColumn(
-        "clean_text", F.col("title"))
+    incoming = map_articles(tables.feed_articles(spark, folder, heavy=True))
     merged = upsert(stored, incoming, ["account_id", "article_id"], ARTICLE_UPDATE_COLS)
     return merged.select("account_id", "article_id", "title", "locale", "draft",
                          F.unix_seconds("updated_at").alias("updated_epoch"))
@@ -79,13 +78,14 @@ def article_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 def embedding_update(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors merged into stored articles; vectors of unknown articles are ignored."""
-    stored = tables.stored_articles(spark, folder).drop("account_id")
+    stored = tables.stored_articles(spark, folder)
+    owners = tables.feed_articles(spark, folder).select("account_id", F.col("id").alias("article_id"))
     vectors = tables.table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("article_id"), "embedding",
-        F.timestamp_seconds(F.lit(1735689600)).alias("embedded_at"))
-    merged = upsert(stored, vectors, ["article_id"], ["embedding", "embedded_at"], insert=False)
+        F.timestamp_seconds(F.lit(1735689600)).alias("embedded_at")).join(owners, "article_id")
+    merged = upsert(stored, vectors, ["account_id", "article_id"], ["embedding", "embedded_at"], insert=False)
     return merged.select(
-        "article_id", F.coalesce(F.size("embedding"), F.lit(0)).alias("dimensions"),
+        "account_id", "article_id", F.coalesce(F.size("embedding"), F.lit(0)).alias("dimensions"),
         F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first_value"),
         F.unix_seconds("embedded_at").alias("embedded_epoch"), "title")
 
@@ -205,7 +205,8 @@ SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS account_id, page_id AS art
        contains(url, '#') AS draft, 1704067200 + page_id * 60 AS updated_epoch
 FROM pages""",
     "embedding_update": """
-SELECT page_id AS article_id, CAST(coalesce(len(embedding), 0) AS INTEGER) AS dimensions,
+SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS account_id, page_id AS article_id,
+       CAST(coalesce(len(embedding), 0) AS INTEGER) AS dimensions,
        round(CAST(embedding[1] AS DOUBLE), 6) AS first_value,
        CAST(CASE WHEN embedding IS NOT NULL THEN 1735689600 END AS BIGINT) AS embedded_epoch,
        'old title' AS title

@@ -70,8 +70,8 @@ def article_knn(spark: SparkSession, folder: str) -> DataFrame:
     articles = published_and_embedded(tables.vector_articles(spark, folder))
     found = nearest(tables.vectors(spark, folder), articles, 5, ["account_id"],
                     "ticket_id", "embedding", "article_id", "embedding")
-    titles = articles.select(F.col("article_id").alias("item_id"), "title")
-    return found.join(titles, "item_id").select(
+    titles = articles.select("account_id", F.col("article_id").alias("item_id"), "title")
+    return found.join(titles, ["account_id", "item_id"]).select(
         "account_id", F.col("query_id").alias("ticket_id"), F.col("item_id").alias("article_id"),
         "title", r6(F.col("distance")).alias("distance"), "rank")
 

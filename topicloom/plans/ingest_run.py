@@ -21,6 +21,7 @@ from topicloom.streaming.ingest import current_tickets, ingest_tickets
 class IngestResult:
     run_id: int
     tickets: int
+    undated: int = 0  # tickets seen whose creation time does not parse
 
 
 class IngestRuns:
@@ -68,9 +69,10 @@ class IngestRuns:
             triage = broadcast_if_small(triage)
         offsets = f"{self.root}/offsets/run={run_id}"
         self._record(run_id, window_days, as_of, "running")
+        undated: list[int] = []
         try:
             query = ingest_tickets(pages, f"{self.root}/tickets/run={run_id}", offsets, run_id,
-                                   window_days, as_of, triage)
+                                   window_days, as_of, triage, self.account_id, undated.append)
             query.awaitTermination()
         except Exception:
             self._record(run_id, window_days, as_of, "failed")
@@ -79,8 +81,9 @@ class IngestRuns:
         cursor = f"batch {last['batchId']}" if last else None
         self._record(run_id, window_days, as_of, "completed", cursor)
         stored = self.tickets()
-        mine = 0 if stored is None else stored.filter(F.col("run_id") == run_id).count()
-        return IngestResult(run_id, mine)
+        own = (F.col("account_id") == self.account_id) & (F.col("run_id") == run_id)
+        mine = 0 if stored is None else stored.filter(own).count()
+        return IngestResult(run_id, mine, sum(undated))
 
     def _record(self, run_id: int, window_days: int, as_of: datetime, status: str,
                 cursor: str | None = None) -> None:

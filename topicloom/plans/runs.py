@@ -61,6 +61,9 @@ def embed_counts(tickets: DataFrame) -> DataFrame:
 
 
 def with_new_vectors(tickets: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Stored tickets with their vectors; a table that never had any gets the column."""
+    if "embedding" not in tickets.columns:
+        tickets = tickets.withColumn("embedding", F.lit(None).cast(vectors.schema["embedding"].dataType))
     return upsert(tickets, vectors, ["account_id", "ticket_id"], ["embedding"], insert=False)
 
 

@@ -12,7 +12,7 @@ import importlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
@@ -25,8 +25,12 @@ from pyspark.sql.datasource import (
 from topicloom.schemas import ARTICLE_PAGE, TICKET_FIELD_PAGE, TICKET_PAGE
 
 
+class BrokenPage(ValueError):
+    """A page, or a record in it, that cannot be read."""
+
+
 def read_page_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One row per page; a page that does not parse keeps its text aside."""
+    """One row per page; the text of a page that does not parse is kept aside."""
     return spark.read.schema(schema).json(path, mode="PERMISSIVE")
 
 
@@ -38,14 +42,40 @@ def stream_page_files(spark: SparkSession, path: str, schema: T.StructType,
     return reader.json(path)
 
 
+def _broken(pages: DataFrame, records: str) -> Column:
+    """Why a page cannot be applied, or null: its text does not parse, it has no list of
+    records, or a record has no id."""
+    reasons = [F.when(F.col(records).isNull(), f"a page has no {records}"),
+               F.when(F.exists(records, lambda r: r.isNull() | r["id"].isNull()), f"one of {records} has no id")]
+    if "_corrupt_record" in pages.columns:
+        reasons.insert(0, F.when(F.col("_corrupt_record").isNotNull(), "a page does not parse"))
+    return F.coalesce(*reasons)
+
+
+def page_rejects(pages: DataFrame, records: str) -> DataFrame:
+    """``account_id, reason`` of every page that ``sound_pages`` would stop at."""
+    return pages.select("account_id", _broken(pages, records).alias("reason")).filter("reason is not null")
+
+
+def sound_pages(pages: DataFrame, records: str) -> DataFrame:
+    """``pages``, failing the job that reads them at the first broken one.
+
+    A stream's batch then fails before its offset is committed, so a feed never passes
+    a page it could not apply.
+    """
+    reason = _broken(pages, records)
+    checked = F.when(reason.isNotNull(), F.raise_error(F.concat(F.lit(f"{BrokenPage.__name__}: "), reason)))
+    return pages.withColumn(records, F.when(reason.isNull(), F.col(records)).otherwise(checked))
+
+
 def tickets_of(pages: DataFrame) -> DataFrame:
     """Feed tickets of all pages (pages concatenated, duplicates kept), with their place."""
-    placed = pages.select("account_id", F.posexplode("tickets").alias("position", "t"))
+    placed = sound_pages(pages, "tickets").select("account_id", F.posexplode("tickets").alias("position", "t"))
     return placed.select("account_id", "t.*", "position")
 
 
 def articles_of(pages: DataFrame) -> DataFrame:
-    return pages.select("account_id", F.explode("articles").alias("a")).select("account_id", "a.*")
+    return sound_pages(pages, "articles").select("account_id", F.explode("articles").alias("a")).select("account_id", "a.*")
 
 
 def read_tickets(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +88,7 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ticket_fields(spark: SparkSession, path: str) -> DataFrame:
     """Field metadata with its position, so that a later equal title can win."""
-    pages = read_page_files(spark, path, TICKET_FIELD_PAGE)
+    pages = sound_pages(read_page_files(spark, path, TICKET_FIELD_PAGE), "ticket_fields")
     return pages.select("account_id", F.posexplode("ticket_fields").alias("ordinal", "f")).select(
         "account_id", "f.*", "ordinal")
 

@@ -8,9 +8,10 @@ Nothing stored is rewritten per batch; the log is folded when read, and
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -58,16 +59,24 @@ def compact(spark: SparkSession, path: str, target: str, keys: tuple[str, ...],
 
 
 def ingest_tickets(pages: DataFrame, path: str, checkpoint: str, run_id: int, window_days: int,
-                   as_of: datetime, triage: DataFrame | None = None) -> StreamingQuery:
+                   as_of: datetime, triage: DataFrame | None = None, account_id: str | None = None,
+                   on_undated: Callable[[int], None] | None = None) -> StreamingQuery:
     """Apply a page stream to the ticket log at ``path``.
 
-    A restart on the same checkpoint resumes after the last page fully applied.
-    ``as_of`` belongs to the run, so a resumed run keeps its window.
+    A restart on the same checkpoint resumes after the last page fully applied; a page
+    that cannot be read fails its batch. ``as_of`` belongs to the run, so a resumed run
+    keeps its window. Tickets of other accounts than ``account_id`` are left out, and
+    ``on_undated`` is told how many of a batch had a time that does not parse.
     """
     check_window(window_days)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         feed = tickets_of(batch)
+        if account_id is not None:
+            feed = feed.filter(F.col("account_id") == account_id)
+        undated = Observation()
+        broken_time = F.col("created_at").isNotNull() & F.try_to_timestamp("created_at").isNull()
+        feed = feed.observe(undated, F.count_if(broken_time).alias("undated"))
         if triage is not None:
             feed = with_triage(feed, triage)
         else:
@@ -78,6 +87,8 @@ def ingest_tickets(pages: DataFrame, path: str, checkpoint: str, run_id: int, wi
             "ingested_at", F.current_timestamp())
         net = fold_changes(rows, TICKET_KEYS, TICKET_ORDER, LOGGED_COLS)
         net.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if on_undated is not None:
+            on_undated(undated.get["undated"])
 
     return (pages.writeStream.foreachBatch(apply)
             .option("checkpointLocation", checkpoint)
@@ -93,5 +104,6 @@ def current_tickets(spark: SparkSession, path: str) -> DataFrame | None:
     if not path_exists(spark, path):
         return None
     log = spark.read.parquet(path)
-    return fold_changes(log.drop("run"), TICKET_KEYS, ("run_id", "batch", *TICKET_ORDER),
+    # As applied: a resumed older run writes later than the newer one it follows.
+    return fold_changes(log.drop("run"), TICKET_KEYS, ("ingested_at", "run_id", "batch", *TICKET_ORDER),
                         (*LOGGED_COLS, "batch")).drop("batch", "position")
