@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pytest
 
-from topicloom.operators.leader import LeaderPass, leader_pass, split_by_size
+from topicloom.operators.leader import LeaderPass, leader_pass, running_sums, split_by_size
 
 SCHEMA = "account_id string, run_id long, ticket_id long, embedding array<double>"
 
@@ -74,6 +74,33 @@ def test_rounds_equal_the_sequential_pass(spark, chunk_rows, lookahead):
     assert placed(result) == {g: brute.leaders(rows, .5) for g, rows in groups.items()}
 
 
+def test_cutting_changes_no_tie(spark):
+    """Mirrored clusters and rows in the middle: any other last bit would move them."""
+    rng, groups = np.random.default_rng(3), {}
+    for trial in range(60):
+        half = np.abs(rng.normal(size=(4, 3))) + [1.0, 0.3, 0.0]
+        both = [v * m for v in half for m in ((1, 1, 1), (1, -1, 1))]
+        order = rng.permutation(len(both))
+        rows = [both[k] for k in order] + [np.array([1.0, 0.0, rng.normal()]) for _ in range(3)]
+        groups[f"g{trial}"] = list(enumerate(rows))
+    df = frame(spark, groups)
+    whole = placed(leader_pass(df, .9))
+    for chunk_rows in (2, 3, 7, 3):
+        assert placed(leader_pass(df, .9, chunk_rows=chunk_rows, lookahead=4)) == whole
+    first = leader_pass(df.filter("ticket_id < 5"), .9)
+    rest = placed(leader_pass(df.filter("ticket_id >= 5"), .9, state=first.clusters))
+    assert {g: {**placed(first)[g], **rest[g]} for g in whole} == whole
+
+
+def test_starts_have_one_row_for_a_cluster_and_step(spark):
+    parts = spark.createDataFrame(
+        [("a", 1, [1.0, 0.0], 1, -1), ("a", 1, [0.5, 1.0], 2, 1), ("a", 2, [0.0, 1.0], 1, 0), ("a", 1, [1.0, 1.0], 1, 1)],
+        "account_id string, cluster_id long, vector_sum array<double>, member_count long, source_step long")
+    got = {(r.cluster_id, r.step): (r.vector_sum, r.member_count) for r in running_sums(parts, ["account_id"], 4).collect()}
+    assert got == {(1, 0): ([1.0, 0.0], 1), (1, 1): ([1.0, 0.0], 1), (1, 2): ([2.5, 2.0], 4), (1, 3): ([2.5, 2.0], 4),
+                   (2, 1): ([0.0, 1.0], 1), (2, 2): ([0.0, 1.0], 1), (2, 3): ([0.0, 1.0], 1)}
+
+
 def test_one_group_with_most_rows_and_real_topics(spark):
     vectors = brute.planted(8, 600, 16, 0.25, seed=5)
     groups = {"hot": list(enumerate(vectors[:450])),

@@ -44,6 +44,13 @@ DEFAULT_MIN_SIZE = 2
 DEFAULT_CHUNK_ROWS = 16384
 LEAST_LOOKAHEAD = 8
 COMPACT_AFTER = 4
+# Components are taken as multiples of this. Sums of such numbers are exact doubles up
+# to two million, whatever the order they are added in, so cutting changes nothing.
+GRID = 2.0**-32
+# Similarities equal at this many decimals are ties and go to the earliest cluster.
+SIMILARITY_DECIMALS = 12
+# Bytes of guessed sums that a block of steps may start from, for the look-ahead.
+START_BYTES = 1 << 30
 
 MEMBER, CLUSTER, DIGEST = "member", "cluster", "digest"
 
@@ -106,6 +113,7 @@ class _Clusters:
         scale = self.norms[: self.size] * np.linalg.norm(vector)
         dots = self.sums[: self.size] @ vector
         similarity = np.divide(dots, scale, out=np.zeros(self.size), where=scale > 0)
+        similarity = np.round(similarity, SIMILARITY_DECIMALS)
         at = int(np.argmax(similarity))
         return at if similarity[at] >= self.threshold else None
 
@@ -132,7 +140,7 @@ def _part(rows: int, **columns: object) -> pa.Table:
 def _fold_chunk(rows: pa.Table, start: pa.Table | None, threshold: float) -> pa.Table:
     """Sequential pass over one chunk; returns placements and the sums it added."""
     rows = rows.sort_by("id")
-    vectors = matrix(rows["vector"])
+    vectors = np.round(matrix(rows["vector"]) / GRID) * GRID
     ids = rows["id"].to_numpy()
     clusters = _Clusters(threshold, vectors.shape[1])
     if start is not None and len(start):
@@ -348,7 +356,7 @@ class _Rounds:
             rounds = self._settle(first, last)
             # Look further ahead while guesses hold, less far when they do not.
             held = rounds <= 1 + width // 2
-            width = min(self.lookahead, width * 2) if held else max(1, width // 2)
+            width = min(self._affordable(), width * 2) if held else max(1, width // 2)
             first = last
         every = self.spark.read.schema(
             T.StructType([*self.schema]).add("block", "long").add("round", "long")
@@ -358,6 +366,11 @@ class _Rounds:
         final = _sum_by_cluster(self._settled_sums(), self.keys).withColumn("kind", F.lit(CLUSTER))
         return members.drop("block", "round").unionByName(final, allowMissingColumns=True)
 
+    def _affordable(self) -> int:
+        """Steps side by side: no more than asked for, and than their starts may weigh."""
+        row = self._settled_sums().agg(F.sum(F.size("vector_sum") * 8)).first()
+        return max(1, min(self.lookahead, START_BYTES // max(row[0] or 1, 1)))
+
     def _settled_sums(self) -> DataFrame | None:
         return reduce(DataFrame.unionByName, self.sums) if self.sums else None
 
@@ -405,8 +418,7 @@ class _Rounds:
             return None
         known = reduce(DataFrame.unionByName, [part.select(*columns) for part in parts])
         known = known.filter(F.col("source_step") < last - 1)
-        later = F.sequence(F.col("source_step") + 1, F.lit(last - 1).cast("long"))
-        spread = known.withColumn("step", F.explode(later))
+        spread = running_sums(known, self.keys, last)
         return spread if upto is None else self._after(spread, upto)
 
     def _frontier(self, current: DataFrame, previous: DataFrame | None,
@@ -430,6 +442,27 @@ class _Rounds:
         return saved, left.get["groups"] > 0
 
 
+def running_sums(parts: DataFrame, keys: Sequence[str], last: int) -> DataFrame:
+    """What each cluster holds at the start of every step before ``last``: one row for a
+    cluster and step, so at most steps x clusters rows."""
+    schema = T.StructType([*parts.schema]).add("step", "long")
+    names = schema.names
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("source_step")
+        source = table["source_step"].to_numpy()
+        steps = np.arange(source[0] + 1, last)
+        upto = np.searchsorted(source, steps) - 1
+        first = table.slice(0, 1).take(pa.array(np.zeros(len(steps), np.int64)))
+        columns = {name: first[name] for name in [*keys, "cluster_id"]} | {
+            "vector_sum": list_array(np.cumsum(matrix(table["vector_sum"]), axis=0)[upto]),
+            "member_count": pa.array(np.cumsum(table["member_count"].to_numpy())[upto]),
+            "source_step": pa.array(steps - 1), "step": pa.array(steps)}
+        return pa.table({name: columns[name] for name in names})
+
+    return parts.groupBy(*keys, "cluster_id").applyInArrow(run, schema)
+
+
 def _changes(groups: pa.Table) -> np.ndarray:
     """For every row but the first: does its group differ from the row before?"""
     changed = np.zeros(max(len(groups) - 1, 0), dtype=bool)
