@@ -53,15 +53,45 @@ def test_failed_labels_keep_the_cluster_and_are_audited(spark, tmp_path):
     for _ in range(2):
         run = R.cluster_runs(sample(spark), 0.9, generate=failing, at=AT)
         R.save_clustering(run, path)
-    (cluster,) = spark.read.parquet(f"{path}/ticket_clusters").collect()
+    (cluster,) = R.stored_clustering(spark, path, R.CLUSTERS).collect()
     assert cluster.label == "Unlabeled cluster"
-    assert spark.read.parquet(f"{path}/ticket_cluster_members").count() == 2
-    audit = spark.read.parquet(f"{path}/audit_logs").collect()
+    assert R.stored_clustering(spark, path, R.MEMBERS).count() == 2
+    audit = R.stored_clustering(spark, path, R.AUDIT).collect()
     assert len(audit) == 2 and '"error":"down"' in audit[0].detail_json
 
     # With a stricter threshold nothing groups: the stored run empties.
     R.save_clustering(R.cluster_runs(sample(spark), 0.99999, at=AT), path)
-    assert spark.read.schema("cluster_id long").parquet(f"{path}/ticket_clusters").count() == 0
+    assert R.stored_clustering(spark, path, R.CLUSTERS).count() == 0
+
+
+def test_readers_see_one_version_at_a_time(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    R.save_clustering(R.cluster_runs(sample(spark), 0.9, at=AT), path)
+    seen = lambda: [sorted(map(str, R.stored_clustering(spark, path, name).collect())) for name in (R.CLUSTERS, R.MEMBERS)]
+    before = seen()
+    broken = R.cluster_runs(sample(spark), 0.99999, at=AT)
+    with monkeypatch.context() as patched:
+        patched.setattr(R, "COMMITS", "\0")  # the commit itself cannot be written
+        with pytest.raises(Exception):
+            R.save_clustering(broken, path)
+    assert seen() == before
+    gone = spark.createDataFrame([("a", 1)], sample(spark).select("account_id", "run_id").schema)
+    none_left = R.cluster_runs(sample(spark).filter("account_id = 'b'"), 0.9, at=AT)
+    R.save_clustering(none_left, path, gone)
+    assert R.stored_clustering(spark, path, R.CLUSTERS).count() == 0
+
+
+def test_one_job_from_tickets_to_totals(spark, tmp_path):
+    tickets = spark.createDataFrame(
+        [("a", 1, 1, "late parcel", "where is my parcel"), ("a", 1, 2, "late parcel", "where is the parcel"),
+         ("a", 1, 3, "password", "cannot log in"), ("a", 1, 4, None, " ")],
+        "account_id string, run_id long, ticket_id long, subject string, description string")
+    runs = spark.createDataFrame([("a", 1), ("a", 2)], "account_id string, run_id long")
+    path = str(tmp_path / "store")
+    rows = R.run_clustering(tickets, hashing_embedder(256), path, runs=runs, dimension=256, threshold=0.6, at=AT).collect()
+    totals = {r.run_id: (r.clusters_created, r.tickets_clustered, r.tickets_unclustered, r.tickets_without_vector) for r in rows}
+    assert totals == {1: (1, 2, 1, 1), 2: (0, 0, 0, 0)}
+    assert [r.ticket_count for r in R.stored_clustering(spark, path, R.CLUSTERS).collect()] == [2]
 
 
 def test_embedding_job(spark):

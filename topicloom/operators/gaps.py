@@ -46,9 +46,15 @@ def prioritize(gaps: DataFrame, weights: Mapping[str, float] = DEFAULT_WEIGHTS)
     weight = F.lit(0.0)
     for name, value in weights.items():
         weight = F.when(F.col("classification") == name, F.lit(float(value))).otherwise(weight)
-    order = Window.partitionBy("account_id", "run_id").orderBy("priority_score")
     scored = gaps.withColumn("priority_score", F.col("ticket_count") * weight)
-    return scored.withColumn("priority_rank", F.percent_rank().over(order))
+    # Ranked by distinct scores, so that a run with most topics is no single task's sort.
+    run = ["account_id", "run_id"]
+    scores = scored.groupBy(*run, "priority_score").agg(F.count(F.lit(1)).alias("_same"))
+    lower = Window.partitionBy(*run).orderBy("priority_score").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("_same").over(lower), F.lit(0))
+    others = F.sum("_same").over(Window.partitionBy(*run)) - 1
+    ranks = scores.select(*run, "priority_score", F.when(others > 0, below / others).otherwise(0.0).alias("priority_rank"))
+    return scored.join(ranks, [*run, "priority_score"]).select(*scored.columns, "priority_rank")
 
 
 def dashboard_lists(gaps: DataFrame, count: int = 10) -> DataFrame:

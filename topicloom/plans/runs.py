@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import is_blank, mask_pii, ticket_text
@@ -30,7 +31,7 @@ from topicloom.operators.ledger import failure_audit
 from topicloom.operators.models import EMBEDDING_DIMENSION, Embed, Generate, embed_texts
 from topicloom.operators.refresh import EMBEDDED, merge_articles, route_articles
 from topicloom.operators.sizes import broadcast_if_small
-from topicloom.operators.upsert import drop_run_partitions, upsert, write_runs
+from topicloom.operators.upsert import upsert
 from topicloom.scope import needing_embedding
 from topicloom.session import work_path
 
@@ -38,6 +39,10 @@ RUN = ["account_id", "run_id"]
 CLUSTER = [*RUN, "cluster_id"]
 
 
+# Names of the stored tables.
+MEMBERS, CLUSTERS, AUDIT, COMMITS = "ticket_cluster_members", "ticket_clusters", "audit_logs", "commits"
+
+
 def masked_ticket_text(tickets: DataFrame) -> DataFrame:
     """Masked text of the tickets that have any: what a model may see."""
     text = ticket_text(F.col("subject"), F.col("description"))
@@ -175,18 +180,59 @@ def cluster_runs(tickets: DataFrame, threshold: float = DEFAULT_THRESHOLD,
     )
 
 
-def save_clustering(run: ClusteringRun, path: str) -> None:
-    """Replace the runs' stored clusters: members first, clusters as the last word.
+def save_clustering(run: ClusteringRun, path: str, runs: DataFrame | None = None) -> int:
+    """Store a clustering as one commit; returns its version.
 
-    Readers list clusters, so a run without its cluster rows is not visible yet.
+    Members, clusters and audit rows go to folders of a fresh version. The last write is
+    one small table of commits, a row for each run: until it is there readers see the
+    former version, after it the new one, never parts of both. ``runs`` lists the runs
+    that were asked for, so that one left without tickets is emptied too.
     """
-    tables = {name: f"{path}/{name}" for name in ("ticket_cluster_members", "ticket_clusters")}
-    empty = run.summary.filter(F.col("clusters_created") == 0)
-    for table in tables.values():
-        drop_run_partitions(run.summary.sparkSession, table, empty)
-    write_runs(run.members, tables["ticket_cluster_members"])
-    write_runs(run.clusters, tables["ticket_clusters"])
-    run.audit.write.mode("append").parquet(f"{path}/audit_logs")
+    version = time.time_ns()
+    asked = run.summary.select(*RUN) if runs is None else runs.select(*RUN).union(run.summary.select(*RUN))
+    for name, table in ((MEMBERS, run.members), (CLUSTERS, run.clusters), (AUDIT, run.audit)):
+        table.write.parquet(f"{path}/{name}/version={version}")
+    commits = asked.distinct().withColumns({"version": F.lit(version), "committed_at": F.current_timestamp()})
+    commits.coalesce(1).write.mode("append").parquet(f"{path}/{COMMITS}")
+    return version
+
+
+def stored_clustering(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Rows of ``MEMBERS`` or ``CLUSTERS`` in the last committed version of each run, all
+    rows of ``AUDIT`` that were committed."""
+    commits = spark.read.parquet(f"{path}/{COMMITS}")
+    rows = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+    if name == AUDIT:
+        return rows.join(commits.select("version").distinct(), "version", "left_semi").drop("version")
+    last = commits.groupBy(*RUN).agg(F.max("version").alias("version"))
+    return rows.join(last, [*RUN, "version"], "left_semi").drop("version")
+
+
+def run_clustering(tickets: DataFrame, build: Callable[[], Embed], path: str, *, runs: DataFrame | None = None,
+                   dimension: int = EMBEDDING_DIMENSION, threshold: float = DEFAULT_THRESHOLD,
+                   min_size: int = DEFAULT_MIN_SIZE, generate: Callable[[], Generate] | None = None,
+                   at: datetime | None = None) -> DataFrame:
+    """The whole job on stored tickets: vectors for those that lack one, clusters, labels,
+    one commit below ``path``. Returns each run's totals; ``tickets_without_vector`` are
+    the blank ones, which no cluster can hold.
+
+    Tickets with their vectors are stored too, as ``path/tickets`` of the same version,
+    for the next job to start from.
+    """
+    spark = tickets.sparkSession
+    vectors = embed_tickets(tickets if "embedding" in tickets.columns else tickets.withColumn(
+        "embedding", F.lit(None).cast("array<float>")), build, dimension)
+    # The new vectors are computed once, by the write below.
+    stored = f"{path}/tickets/{time.time_ns()}"
+    with_new_vectors(tickets, vectors).write.parquet(stored)
+    complete = spark.read.parquet(stored)
+    done = cluster_runs(complete, threshold, min_size, generate, at)
+    save_clustering(done, path, runs)
+    bare = needing_embedding(complete).groupBy(*RUN).agg(F.count(F.lit(1)).alias("tickets_without_vector"))
+    totals = done.summary.join(bare, RUN, "full")
+    if runs is not None:
+        totals = totals.join(runs.select(*RUN).distinct(), RUN, "full")
+    return totals.na.fill(0)
 
 
 def cluster_list(clusters: DataFrame) -> DataFrame:
