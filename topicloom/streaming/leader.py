@@ -1,9 +1,11 @@
 """Online leader clustering: arrivals join the clusters of earlier batches.
 
-State is a versioned table: batch ``n`` reads version ``n - 1`` and writes
-version ``n``. Replaying a batch rewrites its own version only. Within a batch
-rows count in id order; with arrivals in id order the outcome equals the batch
-job's.
+State is a table of versions, one per batch, that holds the clusters of the groups
+with arrivals in that batch; ``heads`` tells which groups. A batch reads the last
+version of the groups it has arrivals for, so idle groups cost nothing. Replaying a
+batch rewrites its own version only. A ticket that was placed before, or comes twice in
+a batch, counts once. Within a batch rows count in id order; with arrivals in id order
+the outcome equals the batch job's.
 """
 
 from __future__ import annotations
@@ -30,6 +32,30 @@ def _clusters_schema(keys: Sequence[str], rows: DataFrame) -> T.StructType:
         "vector_sum", T.ArrayType(T.DoubleType())).add("member_count", "long")
 
 
+def _members(spark: SparkSession, path: str, like: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
+    fields = [like.schema[key] for key in keys]
+    schema = T.StructType(fields).add(id_col, "long").add("cluster_id", "long").add("batch", "long")
+    return spark.read.schema(schema).parquet(f"{path}/members")
+
+
+def _current(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], before: int,
+             groups: DataFrame | None = None) -> DataFrame:
+    """Clusters as of the last version below ``before`` of each group (of ``groups``)."""
+    heads = T.StructType([schema[key] for key in keys]).add("version", "long")
+    known = spark.read.schema(heads).parquet(f"{path}/heads").filter(F.col("version") < before)
+    if groups is not None:
+        known = known.join(groups, list(keys), "left_semi")
+    last = known.groupBy(*keys).agg(F.max("version").alias("version"))
+    every = spark.read.schema(T.StructType([*schema]).add("version", "long")).parquet(f"{path}/clusters")
+    return every.join(last, [*keys, "version"], "left_semi").drop("version")
+
+
+def streamed_clusters(spark: SparkSession, path: str, rows: DataFrame,
+                      keys: Sequence[str] = ("account_id", "run_id")) -> DataFrame:
+    """Sum and count of every cluster now; ``rows`` has the key columns' types."""
+    return _current(spark, path, _clusters_schema(keys, rows), keys, 1 << 62)
+
+
 def stream_leaders(tickets: DataFrame, path: str, checkpoint: str,
                    threshold: float = DEFAULT_THRESHOLD,
                    keys: Sequence[str] = ("account_id", "run_id"),
@@ -41,13 +67,18 @@ def stream_leaders(tickets: DataFrame, path: str, checkpoint: str,
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = None
+        fresh = batch.select(*keys, id_col, vector_col).dropDuplicates([*keys, id_col])
         if batch_id > 0:
-            state = spark.read.schema(schema).parquet(f"{path}/clusters/version={batch_id - 1}")
+            placed_before = _members(spark, path, fresh, keys, id_col).filter(F.col("batch") < batch_id)
+            fresh = fresh.join(placed_before.drop("cluster_id", "batch"), [*keys, id_col], "left_anti")
         # The batch is read more than once below; a table keeps that cheap.
         arrived_path = f"{path}/arrived/batch={batch_id}"
-        batch.select(*keys, id_col, vector_col).write.mode("overwrite").parquet(arrived_path)
-        arrived = spark.read.schema(batch.select(*keys, id_col, vector_col).schema).parquet(arrived_path)
+        fresh.write.mode("overwrite").parquet(arrived_path)
+        arrived = spark.read.schema(fresh.schema).parquet(arrived_path)
+        groups = arrived.select(*keys).distinct()
+        state = None
+        if batch_id > 0:
+            state = _current(spark, path, schema, keys, batch_id, groups)
         result = leader_pass(arrived, threshold, keys, id_col, vector_col, state, chunk_rows)
         placed_path = f"{path}/placed/batch={batch_id}"
         result.placed.write.mode("overwrite").partitionBy("kind").parquet(placed_path)
@@ -58,6 +89,7 @@ def stream_leaders(tickets: DataFrame, path: str, checkpoint: str,
         clusters = placed.filter(F.col("kind") == CLUSTER).select(
             *keys, "cluster_id", "vector_sum", "member_count")
         clusters.write.mode("overwrite").parquet(f"{path}/clusters/version={batch_id}")
+        groups.write.mode("overwrite").parquet(f"{path}/heads/version={batch_id}")
 
     return (tickets.writeStream.foreachBatch(apply)
             .option("checkpointLocation", checkpoint)
