@@ -62,7 +62,7 @@ def test_model_labels_are_masked_and_isolated(spark):
         "account_id string, ticket_id int, subject string, description string")
     masked = L.excerpts(L.representatives(members), tickets)
     first = {r.cluster_id: r.masked_excerpts for r in masked.collect()}[1]
-    assert first == ("Ticket 1:\nSubject: s\nDescription: My phone number is [REDACTED], call\n\n"
+    assert first == ("Ticket 1:\nSubject: s\nDescription: ring [REDACTED], please\n\n"
                      "Ticket 2:\nSubject: (none)\nDescription: x")
     got = {r.cluster_id: (r.label, r.summary, r.error) for r in L.label_by_model(masked, parrot).collect()}
     assert got == {1: ("Test", "A test.", None), 2: ("Unlabeled cluster", "", "no quota"),

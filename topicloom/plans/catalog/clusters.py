@@ -9,7 +9,7 @@ from topicloom.functions.vectors import mean_by
 from topicloom.operators.leader import DEFAULT_MIN_SIZE, leader_pass, split_by_size
 from topicloom.operators.labels import representatives as first_members
 from topicloom.plans.catalog.vectors import r6
-from topicloom.plans.runs import CLUSTER, centroids, cluster_runs, member_distances
+from topicloom.plans.runs import CLUSTER, centroids, member_distances, run_totals
 from topicloom.session import work_path
 from topicloom.sources import tables
 from topicloom.streaming.leader import stream_leaders, streamed_members
@@ -74,8 +74,8 @@ def representatives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clustering_summary(spark: SparkSession, folder: str) -> DataFrame:
-    run = cluster_runs(tables.vector_tickets(spark, folder), tables.TABLE_THRESHOLD)
-    return run.summary.select("account_id", "clusters_created", "tickets_clustered",
+    leaders = leader_pass(tables.vector_tickets(spark, folder), tables.TABLE_THRESHOLD)
+    return run_totals(leaders).select("account_id", "clusters_created", "tickets_clustered",
                               "tickets_unclustered")
 
 

@@ -135,6 +135,16 @@ class ClusteringRun:
     summary: DataFrame
 
 
+def run_totals(leaders: LeaderPass, min_size: int = DEFAULT_MIN_SIZE) -> DataFrame:
+    """Totals of every run; only the sizes of clusters are read."""
+    size = F.col("member_count")
+    kept = size >= min_size
+    return leaders.clusters.groupBy(*RUN).agg(
+        F.count_if(kept).alias("clusters_created"),
+        F.coalesce(F.sum(F.when(kept, size)), F.lit(0)).alias("tickets_clustered"),
+        F.coalesce(F.sum(F.when(~kept, size)), F.lit(0)).alias("tickets_unclustered"))
+
+
 def cluster_runs(tickets: DataFrame, threshold: float = DEFAULT_THRESHOLD,
                  min_size: int = DEFAULT_MIN_SIZE, generate: Callable[[], Generate] | None = None,
                  at: datetime | None = None) -> ClusteringRun:
@@ -163,20 +173,12 @@ def cluster_runs(tickets: DataFrame, threshold: float = DEFAULT_THRESHOLD,
 
     clusters = centers.join(labels, CLUSTER, "left").join(representative_ids(chosen), CLUSTER, "left")
     stamped = F.lit(at) if at is not None else F.current_timestamp()
-    placed_counts = leaders.members.groupBy(*RUN).agg(F.count(F.lit(1)).alias("tickets"))
-    kept_counts = centers.groupBy(*RUN).agg(
-        F.count(F.lit(1)).alias("clusters_created"), F.sum("ticket_count").alias("tickets_clustered"))
-    clustered = F.coalesce("tickets_clustered", F.lit(0))
-    summary = placed_counts.join(kept_counts, RUN, "left").select(
-        *RUN, F.coalesce("clusters_created", F.lit(0)).alias("clusters_created"),
-        clustered.alias("tickets_clustered"),
-        (F.col("tickets") - clustered).alias("tickets_unclustered"))
     return ClusteringRun(
         clusters=clusters.select(*CLUSTER, "label", "summary", "ticket_count", "centroid",
                                  "representative_ids"),
         members=member_distances(kept, tickets, centers),
         audit=failure_audit(clusters, stamped),
-        summary=summary,
+        summary=run_totals(leaders, min_size),
     )
 
 
