@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Sequence
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,27 +20,36 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from topicloom.functions.arrow import list_array
 
 EMBEDDING_DIMENSION = 1536
+# Texts handed to a provider at a time; also bounds the matrix a task holds.
+EMBED_ROWS = 256
 
 Embed = Callable[[Sequence[str]], np.ndarray]
 Generate = Callable[[str], str]
 
 
+class _WordCodes(dict):
+    """First 32 bits of a word's MD5, computed once per word; emptied when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = code = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        return code
+
+
 def hashing_embedder(dimension: int = EMBEDDING_DIMENSION) -> Callable[[], Embed]:
     """Offline default: signed feature hashing of lower-cased words."""
 
     def build() -> Embed:
-        @lru_cache(maxsize=1 << 16)
-        def slot(word: str) -> tuple[int, int]:
-            code = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
-            return code % dimension, 1 if code < 1 << 31 else -1
+        code_of, words_of = _WordCodes(), re.compile(r"[^\W_]+").findall
 
         def embed(texts: Sequence[str]) -> np.ndarray:
-            rows = np.zeros((len(texts), dimension))
-            for row, text in zip(rows, texts, strict=True):
-                for word in re.findall(r"[^\W_]+", text.lower()):
-                    index, sign = slot(word)
-                    row[index] += sign
-            return rows
+            words = [words_of(text.lower()) for text in texts]
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            codes = np.fromiter(map(code_of.__getitem__, chain.from_iterable(words)), np.int64, sizes.sum())
+            place = np.repeat(np.arange(len(texts)) * dimension, sizes) + codes % dimension
+            signs = np.where(codes < 1 << 31, 1.0, -1.0)
+            return np.bincount(place, signs, len(texts) * dimension).reshape(len(texts), dimension)
 
         return embed
 
@@ -78,9 +87,8 @@ def embed_texts(df: DataFrame, text_col: str, build: Callable[[], Embed],
 
     def stage(batches):
         embed = build()
-        for batch in batches:
-            if not len(batch):
-                continue
+        pieces = (batch.slice(at, EMBED_ROWS) for batch in batches for at in range(0, len(batch), EMBED_ROWS))
+        for batch in pieces:
             texts = batch.column(text_col).to_pylist()
             units = _checked_units(embed(texts), len(texts), dimension)
             columns = [batch.column(c).cast(arrow_schema.field(c).type) for c in kept]
