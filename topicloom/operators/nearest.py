@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from topicloom.functions.arrow import constant, matrix
+from topicloom.session import work_path
 
 DEFAULT_K = 5
 BROADCAST_BYTES = 64 << 20
@@ -248,15 +249,35 @@ def nearest_by_cells(
     above is used, blocks included, so one crowded cell is still split. A query that
     finds fewer than ``k`` there, though its scope holds more, is searched exactly.
     """
-    on = list(on)
-    usable = items.filter(F.col(item_vector).isNotNull()).withColumn(
+    celled, centers = build_cells(items, lists, item_vector, seed)
+    return search_cells(queries, celled, centers, k, probes, on, query_id, query_vector, item_id, item_vector, **search)
+
+
+def build_cells(items: DataFrame, lists: int = 100, item_vector: str = "item_vector",
+                seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Items with their cell, stored, and the centres of the cells; for many searches."""
+    usable = _stored(items.filter(F.col(item_vector).isNotNull()), "cell-items").withColumn(
         "_features", array_to_vector(item_vector))
     model = KMeans(k=lists, seed=seed, distanceMeasure="cosine", maxIter=10,
                    featuresCol="_features", predictionCol="cell").fit(usable)
-    celled = model.transform(usable).drop("_features")
-    centers = queries.sparkSession.createDataFrame(
+    centers = items.sparkSession.createDataFrame(
         [(i, [float(x) for x in center]) for i, center in enumerate(model.clusterCenters())],
         "item_id int, item_vector array<double>")
+    return _stored(model.transform(usable).drop("_features"), "cells"), centers
+
+
+def _stored(df: DataFrame, purpose: str) -> DataFrame:
+    spark = df.sparkSession
+    path = work_path(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def search_cells(queries: DataFrame, celled: DataFrame, centers: DataFrame, k: int = DEFAULT_K, probes: int = 8,
+                 on: Sequence[str] = ("account_id",), query_id: str = "query_id", query_vector: str = "query_vector",
+                 item_id: str = "item_id", item_vector: str = "item_vector", **search: int) -> DataFrame:
+    """Search over cells from ``build_cells``."""
+    on = list(on)
     # Ids need only be unique within their scope.
     keyed = queries.withColumn("_key", F.struct(*on, query_id))
     near = nearest(keyed, centers, probes, [], "_key", query_vector)
@@ -264,15 +285,15 @@ def nearest_by_cells(
         near.select(F.col("query_id").alias("_key"), F.col("item_id").alias("cell")), "_key")
     found = nearest(probed, celled, k, [*on, "cell"], query_id, query_vector,
                     item_id, item_vector, **search)
-    close = best_per_query(found.drop("rank", "cell"), k, on)
+    close = _stored(best_per_query(found.drop("rank", "cell"), k, on), "close")
     # Cells that hold too few of a query's scope leave it short: those queries search all.
-    scope = items.filter(F.col(item_vector).isNotNull()).groupBy(*on).agg(F.count(F.lit(1)).alias("_held"))
+    scope = celled.groupBy(*on).agg(F.count(F.lit(1)).alias("_held"))
     have = close.groupBy(*on, "query_id").agg(F.count(F.lit(1)).alias("_have"))
     asked = queries.withColumn("query_id", F.col(query_id)).join(have, [*on, "query_id"], "left").join(scope, on)
     enough = F.coalesce("_have", F.lit(0)) >= F.least(F.col("_held"), F.lit(k))
     short = asked.filter(~enough).select(*queries.columns)
     full = asked.filter(enough).select(*on, "query_id")
-    rest = nearest(short, items, k, on, query_id, query_vector, item_id, item_vector, **search)
+    rest = nearest(short, celled.drop("cell"), k, on, query_id, query_vector, item_id, item_vector, **search)
     kept = close.join(full, [*on, "query_id"], "left_semi")
     return kept.unionByName(rest.select(*kept.columns))
 
