@@ -315,6 +315,44 @@ def test_mixing_of_edge_rows(spark):
     assert mixing.mixed(docs.limit(0), known, {"good": 0.9, "bad": 0.1}).count() == 0
 
 
+def labelled_texts(good, bad):
+    texts = [f"nice words number{k} here" for k in range(good)] + [f"vile trash number{k} # here" for k in range(bad)]
+    return texts, [(k, "good" if k < good else "bad") for k in range(good + bad)]
+
+
+def test_domains_without_labels_take_no_part(spark):
+    texts, known = labelled_texts(190, 10)
+    docs, known = frame(spark, texts), spark.createDataFrame(known, "doc_id long, domain string")
+    rows = mixing.mixed(docs, known, {"good": 0.9, "bad": 0.05, "ugly": 0.05}).collect()
+    assert all(r["posterior"][2] == 0 and abs(sum(r["posterior"]) - 1) < 1e-9 for r in rows)
+    mass = [sum(r["rate"] * r["n_tokens"] * r["posterior"][k] for r in rows) for k in range(3)]
+    assert sum(mass) == pytest.approx(sum(r["n_tokens"] for r in rows), rel=0.01)
+    assert mass[1] / sum(mass) == pytest.approx(0.05 / 0.95, abs=0.002)
+
+
+@pytest.mark.parametrize("bad", [1, 60])
+def test_scarce_domains_do_not_shrink_the_mix(spark, bad):
+    p = [(10, 1.0, 0.0, 0.0)] * 600 + [(10, 0.0, 1.0, 0.0)] * bad
+    stored = spark.createDataFrame(p, "_tokens long, _p0 double, _p1 double, _p2 double")
+    fit = mixing.fit_rates(stored, [0.8, 0.1, 0.1])
+    assert fit.wanted == pytest.approx([(600 + bad) * 80 / 9, (600 + bad) * 10 / 9, 0.0])
+    assert fit.reached == pytest.approx(fit.wanted, rel=2e-3)
+
+
+@pytest.mark.parametrize("missing", ["toxic", "junk"])
+def test_pipeline_mixes_without_labels_of_a_domain(spark, tmp_path, missing):
+    import corpus_pipeline
+
+    texts, known = labelled_texts(190, 10)
+    flags = {"junk": (0, 1), "toxic": (0, 0)}[missing]  # what the bad ones are labelled: toxic or junk
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(k, 1, 0) if domain == "good" else (k, *flags) for k, domain in known]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = corpus_pipeline.mixing_to_targets(spark, docs, str(tmp_path))
+    assert kept.where(F.col("doc_id") < 190).select("doc_id").distinct().count() == 190
+
+
 def test_copies_follow_the_rate(spark):
     rows = spark.range(4000).select(mixing.copies(F.lit(1.25), F.col("id")).alias("n")).groupBy("n").count().collect()
     share = {r["n"]: r["count"] / 4000 for r in rows}

@@ -14,9 +14,13 @@ rate depends on, the rate of the next round is an expression over stored columns
 
 Null and blank texts have 0 tokens, the prior as posterior and a rate like others.
 Labels that are null, of other domains or of no document do not teach; without any,
-all domains are equally likely. Repeated documents each count. A domain that no
-document belongs to cannot reach its target; the closest totals are found. Columns
-besides the id and the text are kept, unless they bear the names of the results.
+all domains are equally likely. A domain without labelled documents, while others have
+some, has posterior 0; one with less than ``LEAST_MASS`` of its share of the tokens is
+not there either. Such domains have no target, and the others' shares are scaled to 1.
+By default the mix has as many tokens as the domains with a target: scarce domains are
+repeated and never make the mix smaller. Repeated documents each count. Where no rates
+reach the targets, the closest totals are found. Columns besides the id and the text
+are kept, unless they bear the names of the results.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ SAMPLE_ROWS = 20_000
 # standard errors; others only say how long a text is.
 MIN_LIFT, MIN_Z = 2.0, 5.0
 MAX_ROUNDS, TOLERANCE = 20, 1e-3
+# A domain with less than this part of its target would be some documents a thousand times.
+LEAST_MASS = 1e-3
 
 
 def traits(text: Column, words_of: Column) -> Column:
@@ -48,7 +54,8 @@ def traits(text: Column, words_of: Column) -> Column:
 def membership_weights(docs: DataFrame, labelled: DataFrame, domains: list[str], *, id_col: str = "doc_id",
                        text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[float, list[float]]]:
     """For each domain the log chance of a text without any telling trait, and what each
-    of ``BUCKETS`` traits adds. A fixed size, whatever the corpus."""
+    of ``BUCKETS`` traits adds; minus infinity and nothing for a domain that no label
+    taught. A fixed size, whatever the corpus."""
     some = (labelled.where(F.col("domain").isin(domains) & F.col(id_col).isNotNull())
             .select(F.col(id_col).alias("_id"), (F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1)
                     .cast("int").alias("_k"))
@@ -67,7 +74,11 @@ def membership_weights(docs: DataFrame, labelled: DataFrame, domains: list[str],
     telling = ((have - expected > MIN_Z * np.sqrt(expected + 1)) & (chance > MIN_LIFT * elsewhere)).any(0)
     absent = np.where(telling, np.log1p(-chance), 0.0)
     added = np.where(telling, np.log(chance) - absent, 0.0)
-    prior = np.log((docs_of[:, 0] + 1) / (docs_of.sum() + len(domains)))
+    # Nothing is known of a domain without labelled documents: smoothing alone would give
+    # it a share of every text. Without any labels all are alike.
+    known = (docs_of[:, 0] > 0) | (docs_of.sum() == 0)
+    prior = np.where(known, np.log((docs_of[:, 0] + 1) / (docs_of.sum() + known.sum())), -np.inf)
+    added[~known] = 0.0
     return [(float(prior[k] + absent[k].sum()), added[k].tolist()) for k in range(len(domains))]
 
 
@@ -79,14 +90,15 @@ def with_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], *,
     hashed = (docs.withColumn("_words", words(F.col(text_col)))
               .withColumns({"_tokens": F.size("_words").cast("long"),
                             "_traits": traits(F.col(text_col), F.col("_words"))}))
-    scored = (hashed.withColumns({f"_s{k}": _sum_of(weights) + alone for k, (alone, weights) in enumerate(model)})
+    known = [k for k, (alone, _) in enumerate(model) if np.isfinite(alone)]
+    scored = (hashed.withColumns({f"_s{k}": _sum_of(model[k][1]) + model[k][0] for k in known})
               .drop("_words", "_traits"))
-    top = F.greatest(*[F.col(f"_s{k}") for k in range(len(domains))]) if len(domains) > 1 else F.col("_s0")
-    scored = scored.withColumns({f"_e{k}": F.exp(F.greatest(F.col(f"_s{k}") - top, F.lit(-30.0)))
-                                 for k in range(len(domains))})
-    total = reduce(add, [F.col(f"_e{k}") for k in range(len(domains))])
-    return (scored.withColumns({f"_p{k}": F.col(f"_e{k}") / total for k in range(len(domains))})
-            .drop(*[f"_{c}{k}" for c in "se" for k in range(len(domains))]))
+    top = F.greatest(*[F.col(f"_s{k}") for k in known]) if len(known) > 1 else F.col(f"_s{known[0]}")
+    scored = scored.withColumns({f"_e{k}": F.exp(F.greatest(F.col(f"_s{k}") - top, F.lit(-30.0))) for k in known})
+    total = reduce(add, [F.col(f"_e{k}") for k in known])
+    return (scored.withColumns({f"_p{k}": F.col(f"_e{k}") / total if k in known else F.lit(0.0)
+                                for k in range(len(domains))})
+            .drop(*[f"_{c}{k}" for c in "se" for k in known]))
 
 
 def _sum_of(weights: list[float]) -> Column:
@@ -109,8 +121,9 @@ def fit_rates(posteriors: DataFrame, shares: list[float], *, total: float | None
               max_rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> Fit:
     """Rates for a stored table with ``_tokens`` and posteriors.
 
-    ``total`` is the number of tokens wanted; by default as many as can be had without
-    repeating the scarcest domain.
+    ``total`` is the number of tokens wanted; by default as many as the domains with a
+    target have. Domains with next to no tokens have none: what is wanted of them is 0,
+    and what is reached does not count.
     """
     domains = len(shares)
     p = [F.col(f"_p{k}") for k in range(domains)]
@@ -121,13 +134,18 @@ def fit_rates(posteriors: DataFrame, shares: list[float], *, total: float | None
     have = np.array(row[:domains], float)
     spread = np.array(row[domains:], float).reshape(domains, domains)
     shares = np.array(shares, float) / sum(shares)
+    counts = (shares == 0) | (have > LEAST_MASS * shares * have.sum())
+    shares = np.where(counts, shares, 0.0)
+    shares /= shares.sum() or 1.0
     if total is None:
-        total = min((h / s for h, s in zip(have, shares) if s > 0), default=0.0)
+        total = float(have[shares > 0].sum())
     wanted = shares * total
+    # Rows and columns of domains that do not count are 0, and so are their steps.
+    spread = spread * np.outer(counts, counts)
     inverse = np.linalg.pinv(spread, rcond=1e-9, hermitian=True)
     rate, reached, rounds = F.lit(1.0), have, 0
     scale = max(float(np.abs(wanted).max()), 1.0)
-    while rounds < max_rounds and np.abs(reached - wanted).max() > tolerance * scale:
+    while rounds < max_rounds and np.abs(reached - wanted)[counts].max(initial=0.0) > tolerance * scale:
         step = inverse @ (reached - wanted)
         rate = F.greatest(F.lit(0.0), rate - reduce(add, [c * float(s) for c, s in zip(p, step)]))
         rounds += 1
