@@ -86,6 +86,39 @@ def test_vectors_that_take_no_part(spark):
         assert neighbours.nearest(empty, F.col("id") % 100 == 0).columns == ["query_id", "rank", "vec_id", "score"]
 
 
+def nearest_ids(spark, rows, **sizes):
+    out = {}
+    for r in neighbours.nearest(vector_frame(spark, rows), F.col("id") % 100 == 0, **sizes).collect():
+        out.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    return {q: [ids[k] for k in sorted(ids)] for q, ids in out.items()}
+
+
+def test_ties_among_thousands_of_equal_vectors(spark, monkeypatch):
+    one, near = [1.0, 2.0, 0.3], [1.0, 2.0, 0.31]
+    rows = [(k, one) for k in range(5000)] + [(5000 + k, near) for k in range(200)]
+    want = {q: [k for k in range(11) if k != q][:10] for q in range(0, 5000, 100)}
+    # Different vectors that are equally far: a circle of signs around the query.
+    signs = [[float(2 * (k >> b & 1) - 1) for b in range(11)] for k in range(2048)]
+    far = [(k + 1, [*s, 5.0]) for k, s in enumerate(signs) if (k + 1) % 100] + [(0, [0.0] * 11 + [5.0])]
+    for block_rows in (neighbours.BLOCK_ROWS, 700):
+        monkeypatch.setattr(neighbours, "BLOCK_ROWS", block_rows)
+        got = nearest_ids(spark, rows, partition_rows=10_000)
+        assert {q: got[q] for q in want} == want
+        assert got[5100] == list(range(5000, 5010))
+        assert nearest_ids(spark, far, partition_rows=10_000)[0] == list(range(1, 11))
+
+
+def test_repeated_ids_do_not_crowd_out_others(spark):
+    x = clustered(400, length=4)
+    rows = [(k, x[k].tolist()) for k in range(400)]
+    for k in range(1, 6):  # nearer to 0 than all others: copies of a row, and rows that differ
+        rows += [(k, (x[0] + 1e-4 * k).tolist())] * 40 + [(k, (x[0] + 1e-4 * k + 1e-6 * j).tolist()) for j in range(40)]
+    away = lambda i: min(float(np.linalg.norm(x[0] - v)) for k, v in rows if k == i)
+    want = sorted(range(1, 400), key=lambda i: (away(i), i))[:10]
+    assert nearest_ids(spark, rows, partition_rows=10_000)[0] == want
+    assert all(len(ids) == 10 for ids in nearest_ids(spark, rows, partition_rows=20).values())
+
+
 def test_partitions_are_balanced():
     x = clustered(3000)
     label = neighbours.balanced_partition(x, neighbours.neighbour_graph(x, 8), 12)

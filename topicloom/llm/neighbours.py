@@ -12,7 +12,8 @@ dropped; a large partition is cut into blocks of at most ``BLOCK_ROWS`` rows.
 kept out of the training need for ``TARGET_RECALL`` of their neighbours, and more until
 they hold ``k`` candidates. Blocks of vectors meet blocks of the queries of their
 partition in one task each, which ranks them exactly, in double precision, and returns
-the best ``k`` of each query; the best of all blocks win, ties by smaller id.
+the best ``k`` ids of each query; the best of all blocks win, ties by smaller id. All
+rows that are as near as the last of these are ranked, however many.
 
 On vectors without structure no partitioning helps, and most partitions are visited.
 
@@ -213,6 +214,10 @@ def search(index: DataFrame, queries: DataFrame, router: Router | None, parts: i
     for row in index.groupBy("part").count().collect():
         counts[row["part"]] = row["count"]
     blocks = np.maximum(1, -(-counts // BLOCK_ROWS))
+    # Different ids, each in one of its partitions: no more than that are sure to be met.
+    different = np.zeros_like(counts)
+    for row in index.groupBy("id").agg(F.min("part").alias("part")).groupBy("part").count().collect():
+        different[row["part"]] = row["count"]
     least = router.probes if router else 1
     query_blocks = max(1, -(-queries.count() // QUERY_ROWS))
 
@@ -221,8 +226,8 @@ def search(index: DataFrame, queries: DataFrame, router: Router | None, parts: i
             x = _stacked(batch.column(1), length)
             ids = np.asarray(batch.column(0))
             order = np.argsort(-router.scores(x), axis=1, kind="stable") if router else np.zeros((len(x), 1), np.int64)
-            # Its own row and repeats of it may be among the first: room for them.
-            enough = np.cumsum(counts[order], axis=1) - counts[order] < k + 1
+            # Its own id may be among the first: room for it.
+            enough = np.cumsum(different[order], axis=1) - different[order] < k + 1
             enough[:, :least] = True
             row, at = np.nonzero(enough)
             part = order[row, at]
@@ -237,20 +242,29 @@ def search(index: DataFrame, queries: DataFrame, router: Router | None, parts: i
         if not len(items) or not len(asked):
             return _found(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         x, ids = _stacked(items.column("v"), length), items.column("id").to_numpy()
+        x, ids = _first_of_copies(x, ids, k + 1)
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        norms = (x * x).sum(1)
+        reach = np.sqrt(norms.max())
         out = []
         for at in range(0, len(asked), 256):
             some = asked.slice(at, 256)
             q, own = _stacked(some.column("v"), length), some.column("id").to_numpy()
-            rough = (x * x).sum(1)[None] - 2 * q @ x.T
+            rough = norms[None] - 2 * q @ x.T
             rough[own[:, None] == ids[None]] = np.inf
-            keep = min(len(ids), 4 * k + 16)
-            near = np.argpartition(rough, keep - 1, axis=1)[:, :keep]
-            exact = np.sqrt(((x[near] - q[:, None]) ** 2).sum(2))
-            exact[own[:, None] == ids[near]] = np.inf
-            order = np.lexsort((ids[near], exact), axis=1)[:, : 2 * k]
-            score = np.take_along_axis(exact, order, 1)
-            real = np.isfinite(score)
-            out.append((np.repeat(own, real.sum(1)), ids[np.take_along_axis(near, order, 1)[real]], score[real]))
+            # An id counts once, at its nearest row.
+            by_id = np.minimum.reduceat(rough, starts, axis=1) if len(starts) < len(ids) else rough
+            last = min(by_id.shape[1], k) - 1
+            limit = np.partition(by_id, last, axis=1)[:, last]
+            # Rounding of the rough distance, of either side: whoever may be among the best k stays.
+            limit = limit + 8 * (length + 4) * np.finfo(float).eps * (reach + np.sqrt((q * q).sum(1))) ** 2
+            for one, (row, bound) in enumerate(zip(rough, limit)):
+                near = np.flatnonzero((row <= bound) & np.isfinite(row))
+                exact = _distances(x, near, q[one])
+                best = np.lexsort((ids[near], exact))
+                _, first = np.unique(ids[near][best], return_index=True)
+                best = best[np.sort(first)[:k]]
+                out.append((np.full(len(best), own[one]), ids[near][best], exact[best]))
         return _found(*(np.concatenate(c) for c in zip(*out)))
 
     chunk = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
@@ -266,6 +280,26 @@ def search(index: DataFrame, queries: DataFrame, router: Router | None, parts: i
             .select("query_id", "rank", "vec_id", "score"))
 
 
+def _first_of_copies(x: np.ndarray, ids: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by id, without those that no query can have among its best: repeats, and equal
+    vectors with larger ids than ``count`` others."""
+    _, kind = np.unique(np.ascontiguousarray(x).view(f"V{x.itemsize * x.shape[1]}").ravel(), return_inverse=True)
+    order = np.lexsort((ids, kind))
+    new = np.r_[True, (kind[order][1:] != kind[order][:-1]) | (ids[order][1:] != ids[order][:-1])]
+    order = order[new]
+    first = np.flatnonzero(np.r_[True, kind[order][1:] != kind[order][:-1]])
+    place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    order = order[place < count]
+    order = order[np.argsort(ids[order], kind="stable")]
+    return x[order], ids[order]
+
+
+def _distances(x: np.ndarray, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Distances of some rows, a bounded number at a time. Rows that are equal get equal ones."""
+    return np.concatenate([np.empty(0), *(np.sqrt(((x[rows[at : at + 4096]] - query) ** 2).sum(1))
+                                          for at in range(0, len(rows), 4096))])
+
+
 def _found(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.Table:
     return pa.table({"query_id": pa.array(queries, pa.int64()), "vec_id": pa.array(ids, pa.int64()),
                      "score": pa.array(scores, pa.float64())})
