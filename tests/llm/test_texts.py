@@ -353,6 +353,29 @@ def test_pipeline_mixes_without_labels_of_a_domain(spark, tmp_path, missing):
     assert kept.where(F.col("doc_id") < 190).select("doc_id").distinct().count() == 190
 
 
+def test_rates_reach_small_targets_far_from_the_corpus(spark):
+    # Most documents have twice the wanted part of junk, few have less.
+    p = [(100, 0.978, 0.002, 0.02)] * 700 + [(100, 0.992, 0.002, 0.006)] * 60 + [(100, 0.1, 0.8, 0.1)] * 120
+    p += [(100, 0.05, 0.05, 0.9)] * 90 + [(0, 0.5, 0.25, 0.25)]
+    stored = spark.createDataFrame(p, "_tokens long, _p0 double, _p1 double, _p2 double")
+    fit = mixing.fit_rates(stored, [0.97, 0.02, 0.01])
+    assert fit.converged and fit.reached == pytest.approx(fit.wanted, rel=1.1e-3)
+    rates = np.array([r[0] for r in stored.select(fit.rate).collect()])
+    x = np.array(p)
+    assert (rates >= 0).all() and (x[:, 0] * rates) @ x[:, 1:] == pytest.approx(fit.wanted, rel=1.1e-3)
+
+
+def test_targets_out_of_reach_are_missed_by_as_little_as_possible(spark):
+    p = [(100, 0.96, 0.04)] * 50 + [(100, 0.8, 0.2)] * 50  # no mix has less than 4 % of the second
+    stored = spark.createDataFrame(p, "_tokens long, _p0 double, _p1 double")
+    fit = mixing.fit_rates(stored, [0.99, 0.01])
+    x, wanted = np.array(p)[:, 1:], np.array(fit.wanted)
+    metric = np.linalg.inv(100 * x.T @ x)
+    ray = x[0] * (x[0] @ metric @ wanted) / (x[0] @ metric @ x[0])  # the nearest point of the edge of the cone
+    far = lambda totals: (totals - wanted) @ metric @ (totals - wanted)
+    assert fit.converged and far(np.array(fit.reached)) <= 1.02 * far(ray)
+
+
 def test_copies_follow_the_rate(spark):
     rows = spark.range(4000).select(mixing.copies(F.lit(1.25), F.col("id")).alias("n")).groupBy("n").count().collect()
     share = {r["n"]: r["count"] / 4000 for r in rows}

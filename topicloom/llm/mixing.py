@@ -6,11 +6,16 @@ the id) and gives each document posterior probabilities of the domains. Traits t
 domain has clearly more often than the others weigh nothing. The weights are a constant of fixed size, so texts are not shuffled.
 
 *Rates.* Nonnegative rates r minimise the squared distance between expected domain
-totals, sum of r x tokens x posterior, and the targets, by projected gradient from
-r = 1. Distances are measured by the inverse of the domains' second-moment matrix, for
-which the step length 1 is exact. A round is one sum per domain over a narrow stored
-table; the driver sees vectors as long as the list of domains. As posteriors are all a
-rate depends on, the rate of the next round is an expression over stored columns.
+totals, sum of r x tokens x posterior, and the targets; distances are measured by the
+inverse of the domains' second-moment matrix. Projected gradient from r = 1, for which
+the step length 1 is exact, goes on while it is on course to end in ``MAX_ROUNDS``.
+Otherwise the multipliers of the domains, r = max(0, 1 + posteriors x multipliers), are
+found by Newton's method with a proximal term that shrinks; such rates are the nearest
+to 1 of all with their totals. It ends when each domain is within ``TOLERANCE`` of its
+own target, or when a bound on what other rates could gain shows that the targets are
+out of reach. A round is one row of sums over a narrow stored table; the driver sees
+vectors and matrices as long as the list of domains. As posteriors are all a rate
+depends on, rates are an expression over stored columns. Misses are logged.
 
 Null and blank texts have 0 tokens, the prior as posterior and a rate like others.
 Labels that are null, of other domains or of no document do not teach; without any,
@@ -25,6 +30,8 @@ are kept, unless they bear the names of the results.
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
@@ -35,12 +42,17 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.common import saved, words
 
+log = logging.getLogger(__name__)
+
 BUCKETS = 1 << 15
 SAMPLE_ROWS = 20_000
 # A trait tells if a domain has it this much more often than the others, and by so many
 # standard errors; others only say how long a text is.
 MIN_LIFT, MIN_Z = 2.0, 5.0
 MAX_ROUNDS, TOLERANCE = 20, 1e-3
+NEWTON_ROUNDS = 150
+# Out of reach: other rates could lower the squared distance by this part at most.
+MIN_GAIN = 1e-2
 # A domain with less than this part of its target would be some documents a thousand times.
 LEAST_MASS = 1e-3
 
@@ -109,12 +121,14 @@ def _sum_of(weights: list[float]) -> Column:
 
 @dataclass
 class Fit:
-    """Rates as an expression over ``_p0``...; totals reached and wanted, by domain."""
+    """Rates as an expression over ``_p0``...; totals reached and wanted, by domain;
+    whether these are the closest totals there are, within the tolerance."""
 
     rate: Column
     reached: list[float]
     wanted: list[float]
     rounds: int
+    converged: bool = True
 
 
 def fit_rates(posteriors: DataFrame, shares: list[float], *, total: float | None = None,
@@ -144,33 +158,99 @@ def fit_rates(posteriors: DataFrame, shares: list[float], *, total: float | None
     spread = spread * np.outer(counts, counts)
     inverse = np.linalg.pinv(spread, rcond=1e-9, hermitian=True)
     rate, reached, rounds = F.lit(1.0), have, 0
-    scale = max(float(np.abs(wanted).max()), 1.0)
-    while rounds < max_rounds and np.abs(reached - wanted)[counts].max(initial=0.0) > tolerance * scale:
+    # A domain that is to be left out has no target of its own to be measured by.
+    scale = np.where(wanted > 0, wanted, max(float(wanted.sum()), 1.0))
+    miss = lambda totals: float((np.abs(totals - wanted) / scale)[counts].max(initial=0.0))
+    before = np.inf
+    while (error := miss(reached)) > tolerance and rounds < max_rounds:
+        # Errors shrink by a factor a round; too slow for the rounds left, Newton takes over.
+        if rounds > 2 and (error >= before or error * (error / before) ** (max_rounds - rounds) > tolerance):
+            break
         step = inverse @ (reached - wanted)
         rate = F.greatest(F.lit(0.0), rate - reduce(add, [c * float(s) for c, s in zip(p, step)]))
-        rounds += 1
-        before = reached
+        rounds, before = rounds + 1, error
         sums = [F.coalesce(F.sum(F.col("_tokens") * c * rate), F.lit(0.0)) for c in p]
         reached = np.array(posteriors.agg(*sums).first(), float)
-        if np.abs(reached - before).max() <= tolerance * scale * 0.2:
-            break  # the closest totals that nonnegative rates give
-    return Fit(rate, reached.tolist(), wanted.tolist(), rounds)
+    if error <= tolerance or not have.sum():
+        return Fit(rate, reached.tolist(), wanted.tolist(), rounds)
+    return _newton(posteriors, p, have, wanted, spread, inverse, miss, tolerance, rounds)
+
+
+def _newton(posteriors: DataFrame, p: list[Column], have: np.ndarray, wanted: np.ndarray, spread: np.ndarray,
+            inverse: np.ndarray, miss: Callable[[np.ndarray], float], tolerance: float, rounds: int) -> Fit:
+    """Rates max(0, 1 + p x multipliers), by damped Newton steps in the multipliers."""
+    domains = len(p)
+    used = np.diag(spread) > 0
+
+    def raw(multipliers: np.ndarray) -> Column:
+        return F.lit(1.0) + reduce(add, [c * float(m) for c, m in zip(p, multipliers)])
+
+    def sums_at(multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        stored = posteriors.withColumn("_raw", raw(multipliers))
+        weight = F.when(F.col("_raw") > 0, F.col("_tokens")).otherwise(F.lit(0.0))
+        row = np.array(stored.agg(*[F.sum(weight * F.col("_raw") * c) for c in p], F.sum(weight * F.col("_raw") ** 2 / 2),
+                                  *[F.sum(weight * p[i] * p[j]) for i in range(domains) for j in range(i, domains)]).first(), float)
+        bend = np.zeros((domains, domains))
+        bend[np.triu_indices(domains)] = row[domains + 1 :]
+        return row[:domains], (bend + np.triu(bend, 1).T) * np.outer(used, used), row[domains]
+
+    size = float(wanted @ inverse @ wanted)
+    at = centre = np.zeros(domains)
+    now, near, ended = sums_at(at), 1e-3, False
+    limit = rounds + NEWTON_ROUNDS
+    while rounds < limit:
+        slope = np.where(used, now[0] - wanted + near * spread @ (at - centre), 0.0)
+        if miss(now[0]) <= tolerance or miss(wanted + slope) <= 0.1 * tolerance:
+            # Best multipliers for this centre. What could any rates gain? Their totals R lie
+            # in the cone of the posteriors, so that R x pull is at most their tokens times
+            # the largest posterior x pull.
+            pull = inverse @ (wanted - now[0])
+            top = posteriors.where("_tokens > 0").agg(F.max(reduce(add, [c * float(y) for c, y in zip(p, pull)]))).first()[0]
+            gain = max(0.0, float(top)) * np.sqrt(have.sum() * size) - float(now[0] @ pull)
+            distance = float((wanted - now[0]) @ pull) / 2
+            if miss(now[0]) <= tolerance or gain <= MIN_GAIN * distance + 1e-12 * size:
+                ended = True
+                break
+            centre, near = at, max(near / 10, 1e-9)
+            slope = np.where(used, now[0] - wanted, 0.0)
+        bend = now[1] + near * spread
+        step = -np.linalg.pinv(bend, rcond=1e-14, hermitian=True) @ slope
+        value = lambda x, sums: sums[2] - wanted @ x + near / 2 * (x - centre) @ spread @ (x - centre)
+        start, length = value(at, now), 1.0
+        while rounds < limit:
+            rounds += 1
+            then = sums_at(at + length * step)
+            if value(at + length * step, then) <= start + 1e-4 * length * (slope @ step) + 1e-12 * abs(start) or length < 1e-6:
+                break
+            length /= 2
+        at, now = at + length * step, then
+    return Fit(F.greatest(F.lit(0.0), raw(at)), now[0].tolist(), wanted.tolist(), rounds, ended)
+
+
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **options) -> DataFrame:
+    """The documents of ``mixed_and_fit``."""
+    return mixed_and_fit(docs, labelled, targets, **options)[0]
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id",
-          text_col: str = "text", total: float | None = None, sample_rows: int = SAMPLE_ROWS,
-          keep_text: bool = True) -> DataFrame:
+def mixed_and_fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id",
+                  text_col: str = "text", total: float | None = None, sample_rows: int = SAMPLE_ROWS,
+                  keep_text: bool = True) -> tuple[DataFrame, Fit]:
     """``docs`` with ``n_tokens``, ``domain`` (the most probable), ``posterior`` (in the
-    order of ``targets``) and ``rate``; without the text unless ``keep_text``."""
+    order of ``targets``) and ``rate``; without the text unless ``keep_text``. And what
+    of the targets is reached; a miss is logged as well."""
     domains = list(targets)
     members = with_posteriors(docs, labelled, domains, id_col=id_col, text_col=text_col, sample_rows=sample_rows)
     stored = saved(members if keep_text else members.drop(text_col), "posteriors")
     fit = fit_rates(stored, [targets[d] for d in domains], total=total)
+    totals = ", ".join(f"{d} {r:.6g} of {w:.6g}" for d, r, w in zip(domains, fit.reached, fit.wanted))
+    missed = any(abs(r - w) > TOLERANCE * w for r, w in zip(fit.reached, fit.wanted))
+    log.log(logging.WARNING if missed else logging.INFO, "mixing, tokens reached of wanted: %s; %d rounds%s", totals,
+            fit.rounds, "" if fit.converged else ", not converged")
     p = [F.col(f"_p{k}") for k in range(len(domains))]
     posterior = F.array(*p)
     domain = F.get(F.array(*map(F.lit, domains)), F.array_position(posterior, F.array_max(posterior)).cast("int") - 1)
     out = stored.withColumns({"n_tokens": F.col("_tokens"), "domain": domain, "posterior": posterior, "rate": fit.rate})
-    return out.drop("_tokens", *[f"_p{k}" for k in range(len(domains))])
+    return out.drop("_tokens", *[f"_p{k}" for k in range(len(domains))]), fit
 
 
 def copies(rate: Column, id_col: Column, seed: int = 13) -> Column:
