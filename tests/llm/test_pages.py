@@ -254,6 +254,19 @@ def test_blocks_of_broken_markup():
     assert len(texts("<p>x" * 20_000)) == 20_000
 
 
+def test_stray_quotes_in_tags_hide_no_text():
+    texts = lambda page: [b.text for b in extract.leaf_blocks(page)]
+    assert texts('<p class=lead">First paragraph.</p><p>Second.</p>') == ["First paragraph.", "Second."]
+    assert texts("<a title=Bob's href=/x>link</a><p>Text it's.</p>") == ["link", "Text it's."]
+    assert texts('<p class="a"">One</p><p>Two</p>') == ["One", "Two"]
+    assert texts("<p \"x y'>One</p><p id = 'a > b' title=\"c > d\">Two</p>") == ["One", "Two"]
+    assert texts("<p title=>One</p><p =\"a>Two</p><p class='open>Three</p>") == ["One", "Two"]
+    [block] = extract.leaf_blocks("<a href=/x/>link</a>")
+    assert block.links == 4
+    assert [b.path for b in extract.leaf_blocks("<div /><p>One</p>")] == [(("p", ""),)]
+    assert texts("<p " + "a=b\"c 'd " * 100_000 + ">One</p>") == ["One"]
+
+
 def test_a_page_of_each_kind(spark, crf):
     page = ("<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='cookie-notice'>We use cookies.</div>"
             "<article><h1>Title</h1><p>First <b>bold</b>\n line.</p><div class='ad'>Buy now!</div><p>Second &eacute;.</p>"

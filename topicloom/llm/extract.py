@@ -11,8 +11,8 @@ pages: ``labelled_pages`` lays out invented articles in the usual page designs,
 menus, banners, adverts, forms, sidebars, notices, comments and footers around them.
 
 Null and empty html gives an empty text. Broken markup (elements never closed, a tag or
-reference cut off at the end) is read like browsers do: block elements end open
-paragraphs, whatever is open ends with the page. Pages of any length are read whole.
+reference cut off at the end, stray quotes in a tag) is read like browsers do: block
+elements end open paragraphs, whatever is open ends with the page. Pages of any length are read whole.
 Repeated rows are read alike; other columns play no part.
 """
 
@@ -46,9 +46,14 @@ CLOSED_BY = {"p": BLOCK_TAGS - {"button", "caption", "option", "summary", "legen
              "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr"},
              "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
+# An attribute as browsers read it: a quote opens a value only right after the equals sign.
+# Possessive, so that no other reading of a long tag is tried.
+_ATTRIBUTE = (r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?>[ \t\n\f\r]*+=[ \t\n\f\r]*+"
+              r"(?>\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\f\r>\"'][^ \t\n\f\r>]*+)?+)?+")
+_attribute = re.compile(_ATTRIBUTE)
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
-    r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
+    rf"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[ \t\n\f\r/]++|{_ATTRIBUTE})*+)(?:>|\Z)", re.DOTALL)
 _name = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _hidden = re.compile(r"\shidden(?=[\s=]|$)|display\s*:\s*none", re.IGNORECASE)
 _words = re.compile(r"[^\W_]+").findall
@@ -64,6 +69,11 @@ class Block:
     chars: int = 0
 
 
+def _closes_itself(attrs: str) -> bool:
+    """Whether a tag ends in a slash that is not part of an unquoted value."""
+    return attrs.rstrip().endswith("/") and _attribute.sub("x", attrs).rstrip().endswith("/")
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order, character references decoded, white space single."""
     out: list[Block] = []
@@ -114,7 +124,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 del stack[closers[-1] :]
         if tag == "br":
             parts.append(" ")
-        if tag not in VOID_TAGS and not found["attrs"].rstrip().endswith("/"):
+        if tag not in VOID_TAGS and not _closes_itself(found["attrs"]):
             names = " ".join(next(filter(None, m), "") for m in _name.findall(found["attrs"])).lower()
             stack.append((tag, names + (" hidden" if _hidden.search(found["attrs"]) else "")))
     flush()
