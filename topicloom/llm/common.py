@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +13,8 @@ from pyspark.sql import functions as F
 from topicloom.session import work_path
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 # Rows of one Arrow batch where whole texts go to Python: texts are long and uneven.
 TEXT_BATCH_ROWS = 1000
 
@@ -19,6 +24,39 @@ def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     spark.conf.set(ARROW_ROWS, str(rows))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of at most ``size`` bytes (one row at least) for the jobs run inside;
+    the session's own setting holds again afterwards."""
+    before = spark.conf.get(ARROW_BYTES, None)
+    spark.conf.set(ARROW_BYTES, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(ARROW_BYTES)
+        else:
+            spark.conf.set(ARROW_BYTES, before)
+
+
+def raw_texts(column: pa.Array) -> list[bytes]:
+    """UTF-8 bytes of each row of a string column; null rows are empty."""
+    return column.fill_null("").cast(pa.large_binary()).to_pylist()
+
+
+def slices(text: bytes, size: int = 1 << 22) -> Iterator[bytes]:
+    """``text`` in parts of about ``size`` bytes, cut at blanks only: what splits a part
+    into words never holds the words of a very long text at once."""
+    at = 0
+    while len(text) - at > size:
+        cut = text.find(b" ", at + size)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text
+
+
 def saved(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and outlives executors."""
     spark = df.sparkSession

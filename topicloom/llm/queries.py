@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import extract, langid, licenses, mixing, neardup, neighbours, pieces, quality, urls, warc
+from topicloom.llm import (
+    collocations,
+    extract,
+    langid,
+    licenses,
+    minhash,
+    mixing,
+    neardup,
+    negatives,
+    neighbours,
+    pieces,
+    quality,
+    urls,
+    warc,
+)
 from topicloom.llm.common import saved, text_batches
 from topicloom.session import work_path
 
@@ -86,6 +100,21 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return stored.select("doc_id", "n_tokens", "domain", "posterior", "rate")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def op12_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, folder, "documents"), similarity=0.85)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", wrong.alias("label"))
+    return negatives.hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_learned_partitions": op2_learned_partitions,
@@ -97,6 +126,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_html_extraction": op9_html_extraction,
     "op10_mixing": op10_mixing,
+    "op11_collocations": op11_collocations,
+    "op12_minhash_near_dedup": op12_minhash_near_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 # The others learn, search approximately, connect groups or hash in ways that SQL lacks.
@@ -111,6 +143,9 @@ ORACLES = {
       CASE WHEN payload_bytes >= {warc.MIN_SHARED} AND page_id <> first_id THEN first_id END AS refers_to
     FROM q""",
     "op5_license_scan": licenses.oracle_sql(),
+    "op11_collocations": collocations.oracle_sql(),
+    "op12_minhash_near_dedup": minhash.oracle_sql(85),
+    "op13_hard_negatives": negatives.oracle_sql(),
 }
 
 
