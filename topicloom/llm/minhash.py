@@ -258,6 +258,7 @@ def across_groups(members: DataFrame, least: int, rows: int, percent: int) -> Da
         table = table.take(pa.array(order))
         size, label, part, node = (table.column(c).to_numpy() for c in ("size", "label", "part", "node"))
         signatures = _matrix(table.column("sig"))
+        bands = signatures.shape[1] // rows
         band, same = table.column("band")[0].as_py(), table.column("one")[0].as_py() == table.column("two")[0].as_py()
         # Sizes are sorted: who may be similar to k follows it, up to a bound.
         last = np.searchsorted(size * percent, 100 * size, "right")
@@ -267,9 +268,10 @@ def across_groups(members: DataFrame, least: int, rows: int, percent: int) -> Da
             others = others[(label[others] != label[k]) & ((part[others] != part[k]) | same)]
             if len(others):
                 agree = signatures[others] == signatures[k]
-                others, agree = others[enough := agree.sum(1) >= least], agree[enough]
-                bands = agree[:, : agree.shape[1] // rows * rows].reshape(len(others), -1, rows).all(2)
-                others = others[bands.argmax(1) == band]
+                enough = agree.sum(1) >= least
+                others, agree = others[enough], agree[enough, : bands * rows]
+                common = agree.reshape(len(others), bands, rows).all(2)
+                others = others[common.argmax(1) == band]
                 found.append(np.stack([np.maximum(node[others], node[k]), np.minimum(node[others], node[k])]))
         pairs = np.concatenate([np.empty((2, 0), np.int64), *found], axis=1)
         return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
