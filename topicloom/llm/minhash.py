@@ -59,21 +59,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class _Hashes(dict):
+    """Hashes of words, computed when first asked for."""
+
+    def __init__(self):
+        import xxhash
+
+        self.digest = xxhash.xxh64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = self.digest(word)
+        return found
+
+
 class Shingles:
     """Sets of texts; remembers the hashes of words."""
 
     def __init__(self, words: int = SHINGLE):
-        import xxhash
-
-        self.words, self.digest, self.known = words, xxhash.xxh64_intdigest, {}
+        self.words, self.known = words, _Hashes()
 
     def _hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = self.digest(word)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
     def of(self, text: bytes) -> np.ndarray:
         """The different shingles of a text, sorted."""
@@ -97,8 +105,12 @@ def signature(shingles: np.ndarray, hashes: int) -> np.ndarray:
     low = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
     a, b = _A[:hashes, None], _B[:hashes, None]
     narrow = shingles & np.uint64(0xFFFFFFFF)
-    for at in range(0, len(narrow), 1024):
-        np.minimum(low, (a * narrow[None, at : at + 1024] + b).min(axis=1), out=low)
+    space = np.empty((hashes, min(len(narrow), 4096)), np.uint64)
+    for at in range(0, len(narrow), 4096):
+        some = narrow[at : at + 4096]
+        values = np.multiply(a, some, out=space[:, : len(some)])
+        values += b
+        np.minimum(low, values.min(axis=1), out=low)
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
