@@ -41,7 +41,7 @@ from topicloom.llm.common import batches_of, raw_texts, saved, slices
 UNKNOWN = "und"
 MAX_WORDS, MIN_COUNT, TOP, ABSORBED = 5, 100, 2000, 100
 # Bytes of text of all languages that a task gathers before it stores them as blocks.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 # Frequent groups are sent to the executors up to so many rows of three numbers (24 MB),
 # counted first; beyond that both sides are shuffled.
 SEND_ROWS = 1_000_000

@@ -39,7 +39,8 @@ from topicloom.llm.common import batches_of, raw_texts, saved, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 HASHES, ROWS = 128, 4
-BLOCK_ROWS = 1024
+# Members of one part of a bucket, and the bytes of their sets.
+BLOCK_ROWS, BLOCK_BYTES = 512, 16 << 20
 # Ids sent to all executors, counted first (32 MB); beyond that a join shuffles.
 SEND_ROWS = 4_000_000
 # Different words whose hash a task remembers.
@@ -162,19 +163,20 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
 
 
 def in_buckets(nodes: DataFrame, rows: int) -> DataFrame:
-    """``key, band, node``: the buckets of each node."""
+    """``key, band, node, size``: the buckets of each node."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(0).to_numpy()
+            node, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at in range(0, len(node), 2048):
-                keys = band_keys(_matrix(batch.column(1).slice(at, 2048)), rows)
+                keys = band_keys(_matrix(batch.column(2).slice(at, 2048)), rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel().view(np.int64)),
                      pa.array(np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))),
-                     pa.array(np.repeat(node[at : at + 2048], keys.shape[1]))], ["key", "band", "node"])
+                     pa.array(np.repeat(node[at : at + 2048], keys.shape[1])),
+                     pa.array(np.repeat(size[at : at + 2048], keys.shape[1]))], ["key", "band", "node", "size"])
 
-    return nodes.select("node", "sig").mapInArrow(deal, "key bigint, band int, node bigint")
+    return nodes.select("node", "size", "sig").mapInArrow(deal, "key bigint, band int, node bigint, size bigint")
 
 
 def _agreement(one: Column, two: Column) -> Column:
@@ -184,13 +186,12 @@ def _agreement(one: Column, two: Column) -> Column:
     return F.arrow_udf(compare, "int")(one, two)
 
 
-def promising(pairs: DataFrame, nodes: DataFrame, similarity: float, hashes: int) -> DataFrame:
+def promising(pairs: DataFrame, nodes: DataFrame, percent: int, least: int) -> DataFrame:
     """``a, b`` pairs of nodes whose signatures and sizes do not speak against a link."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("sig").alias(f"{x}_sig"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    percent = round(100 * similarity)
     fits = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
-    return both.where(fits).where(_agreement(F.col("a_sig"), F.col("b_sig")) >= least_agreement(similarity, hashes)).select("a", "b")
+    return both.where(fits).where(_agreement(F.col("a_sig"), F.col("b_sig")) >= least).select("a", "b")
 
 
 def _in_common(one: Column, two: Column) -> Column:
@@ -202,9 +203,9 @@ def _in_common(one: Column, two: Column) -> Column:
     return F.arrow_udf(count, "bigint")(one, two)
 
 
-def confirmed(pairs: DataFrame, marked: DataFrame, similarity: float, send_rows: int) -> DataFrame:
-    """``a, b`` pairs (stored) whose full sets are similar; nodes are numbers of rows."""
-    needed = saved(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "needed")
+def full_sets(nodes: DataFrame, marked: DataFrame, send_rows: int) -> DataFrame:
+    """``row, size, shingles`` of some nodes, which are numbers of rows."""
+    needed = saved(nodes.toDF("row").distinct(), "needed")
     few = needed.limit(send_rows + 1).count() <= send_rows
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,11 +217,16 @@ def confirmed(pairs: DataFrame, marked: DataFrame, similarity: float, send_rows:
                  pa.array([s.tobytes() for s in sets], pa.binary())], ["row", "size", "shingles"])
 
     texts = marked.select("row", "text").join(F.broadcast(needed) if few else needed, "row", "left_semi")
-    sets = saved(texts.mapInArrow(shingled, "row bigint, size bigint, shingles binary"), "sets")
+    return saved(texts.mapInArrow(shingled, "row bigint, size bigint, shingles binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, marked: DataFrame, percent: int, send_rows: int) -> DataFrame:
+    """``a, b`` pairs (stored) whose full sets are similar."""
+    sets = full_sets(pairs.select("a").union(pairs.select("b")), marked, send_rows)
     side = lambda x: sets.select(F.col("row").alias(x), F.col("size").alias(f"{x}_size"), F.col("shingles").alias(f"{x}_set"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", _in_common(F.col("a_set"), F.col("b_set")))
     union = F.col("a_size") + F.col("b_size") - F.col("common")
-    return both.where(100 * F.col("common") >= round(100 * similarity) * union).select("a", "b")
+    return both.where(100 * F.col("common") >= percent * union).select("a", "b")
 
 
 # --- connected components ---------------------------------------------------------
@@ -260,56 +266,105 @@ def components(links: DataFrame) -> DataFrame:
 
 # --- the second round -----------------------------------------------------------------
 
-def across_groups(members: DataFrame, least: int, rows: int, percent: int) -> DataFrame:
-    """``a, b`` of ``key, band, one, two, part, node, label, size, sig``: members of one bucket
-    in different groups that may be similar. A group of rows is a pair of the bucket's
-    parts; a pair of nodes counts in its first common band only."""
+_PLACE = "key bigint, one int, two int, part int, node bigint, label bigint"
+
+
+def open_buckets(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, block_rows: int, block_bytes: int) -> DataFrame:
+    """Members of the buckets of three or more that are in several groups, once for each
+    pair of parts they belong to. (Both members of a bucket of two have met.)"""
+    labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = F.greatest(F.ceil(F.count("node") / block_rows), F.ceil(8 * F.sum("size") / block_bytes)).cast("int")
+    still = (labelled.groupBy("key").agg(parts.alias("parts"), F.count("node").alias("rows"), F.min("label").alias("l1"),
+                                         F.max("label").alias("l2"))
+             .where("rows > 2 and l1 != l2").select("key", "parts"))
+    members = labelled.join(still, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return members.join(nodes.select("node", "sig"), "node").select(
+        "key", "band", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "node",
+        "label", "size", "sig")
+
+
+class _Members:
+    """Members of one bucket, or of two of its parts, by size of their sets."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        size = table.column("size").to_numpy()
+        order = np.argsort(size, kind="stable")
+        self.table, self.size = table.take(pa.array(order)), size[order]
+        self.node, self.label, self.part = (self.table.column(c).to_numpy() for c in ("node", "label", "part"))
+        self.within = table.column("one")[0].as_py() == table.column("two")[0].as_py()
+        # Who may be similar to k and is not smaller follows it, up to a bound.
+        self.last = np.searchsorted(self.size * percent, 100 * self.size, "right")
+
+    def others(self, k: int, label: np.ndarray) -> np.ndarray:
+        """Whether each of those after k that may be similar is of another group. Members of
+        one part meet in the task that has this part only."""
+        after = slice(k + 1, self.last[k])
+        return (label[after] != label[k]) & ((self.part[after] != self.part[k]) | self.within)
+
+
+def with_partners(members: DataFrame, least: int, rows: int, percent: int) -> DataFrame:
+    """Those members whose signature is near that of a member of another group. A pair
+    counts in its first common band only."""
 
     def compare(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("size").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        size, label, part, node = (table.column(c).to_numpy() for c in ("size", "label", "part", "node"))
-        signatures = _matrix(table.column("sig"))
+        own = _Members(table, percent)
+        signatures, band = _matrix(own.table.column("sig")), table.column("band")[0].as_py()
         bands = signatures.shape[1] // rows
-        band, same = table.column("band")[0].as_py(), table.column("one")[0].as_py() == table.column("two")[0].as_py()
-        # Sizes are sorted: who may be similar to k follows it, up to a bound.
-        last = np.searchsorted(size * percent, 100 * size, "right")
-        found = []
-        for k in range(len(size)):
-            others = np.arange(k + 1, last[k])
-            others = others[(label[others] != label[k]) & ((part[others] != part[k]) | same)]
+        found = np.zeros(len(own.node), bool)
+        for k in range(len(own.node)):
+            others = k + 1 + np.flatnonzero(own.others(k, own.label))
             if len(others):
                 agree = signatures[others] == signatures[k]
                 enough = agree.sum(1) >= least
                 others, agree = others[enough], agree[enough, : bands * rows]
-                common = agree.reshape(len(others), bands, rows).all(2)
-                others = others[common.argmax(1) == band]
-                found.append(np.stack([np.maximum(node[others], node[k]), np.minimum(node[others], node[k])]))
-        pairs = np.concatenate([np.empty((2, 0), np.int64), *found], axis=1)
-        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+                others = others[agree.reshape(len(others), bands, rows).all(2).argmax(1) == band]
+                found[others] = True
+                found[k] |= len(others) > 0
+        return own.table.filter(pa.array(found)).select(["key", "one", "two", "part", "node", "label"])
 
-    return members.groupBy("key", "one", "two").applyInArrow(compare, "a bigint, b bigint")
+    return members.groupBy("key", "one", "two").applyInArrow(compare, _PLACE)
 
 
-def open_buckets(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, block_rows: int) -> DataFrame:
-    """Members of the buckets of three or more that are in several groups, once for each
-    pair of parts they belong to. (Both members of a bucket of two have met.)"""
-    labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    still = (labelled.groupBy("key").agg(F.count("node").alias("rows"), F.min("label").alias("l1"), F.max("label").alias("l2"))
-             .where("rows > 2 and l1 != l2").select("key", F.ceil(F.col("rows") / block_rows).cast("int").alias("parts")))
-    members = labelled.join(still, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return members.join(nodes.select("node", "size", "sig"), "node").select(
-        "key", "band", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "node",
-        "label", "size", "sig")
+def linked_members(members: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` links between members of different groups by their full sets. Members that a
+    task has already joined, directly or through others, are not linked once more: a task
+    returns fewer links than it has members."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        own, found = _Members(table, percent), []
+        _, label = np.unique(own.label, return_inverse=True)
+        sets = [np.frombuffer(s, np.uint64) for s in own.table.column("shingles").to_pylist()]
+        _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(own.size)])
+        here = np.zeros(int(shingle.max()) + 1, bool)
+        for k in range(len(sets)):
+            last = own.last[k]
+            if not own.others(k, label).any():
+                continue
+            mine = shingle[starts[k] : starts[k + 1]]
+            here[mine] = True
+            common = np.add.reduceat(here[shingle[starts[k + 1] : starts[last]]].astype(np.int64),
+                                     starts[k + 1 : last] - starts[k + 1])
+            here[mine] = False
+            union = own.size[k] + own.size[k + 1 : last] - common
+            near = own.others(k, label) & (100 * common >= percent * union)
+            for other in k + 1 + np.flatnonzero(near):
+                if label[other] != label[k]:
+                    label[label == label[other]] = label[k]
+                    found.append((own.node[k], own.node[other]))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return members.groupBy("key", "one", "two").applyInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
                     hashes: int = HASHES, rows: int = ROWS, block_rows: int = BLOCK_ROWS,
-                    send_rows: int = SEND_ROWS) -> DataFrame:
+                    block_bytes: int = BLOCK_BYTES, send_rows: int = SEND_ROWS) -> DataFrame:
     """One row per document: its id, ``n_shingles`` and ``component_id``, the smallest id of
     the documents linked with it directly or through others, itself included."""
-    spark = docs.sparkSession
+    spark, percent, least = docs.sparkSession, round(100 * similarity), least_agreement(similarity, hashes)
     with batches_of(spark):
         marked = saved(marked_texts(docs, hashes, id_col, text_col), "marked")
         full = marked.where("size > 0")
@@ -319,14 +374,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         shared = buckets.groupBy("key").agg(F.min("node").alias("first"), F.count("node").alias("n")).where("n > 1")
         buckets = saved(buckets.join(shared.select("key", "first"), "key"), "buckets")
         met = buckets.where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-        met = saved(promising(met, nodes, similarity, hashes), "met")
-        links = saved(confirmed(met, marked, similarity, send_rows), "links")
-        groups = components(links)
-        members = open_buckets(buckets.drop("first"), groups, nodes, block_rows)
-        more = across_groups(members, least_agreement(similarity, hashes), rows, round(100 * similarity)).distinct()
-        more = saved(more.join(met, ["a", "b"], "left_anti"), "across")
-        if not more.isEmpty():
-            groups = components(groups.union(saved(confirmed(more, marked, similarity, send_rows), "links")))
+        met = saved(promising(met, nodes, percent, least), "met")
+        groups = components(saved(confirmed(met, marked, percent, send_rows), "links"))
+        members = open_buckets(buckets, groups, nodes, block_rows, block_bytes)
+        members = saved(with_partners(members, least, rows, percent), "partners")
+        if not members.isEmpty():
+            sets = full_sets(members.select("node"), marked, send_rows).withColumnRenamed("row", "node")
+            links = saved(linked_members(members.join(sets, "node"), percent), "links")
+            groups = components(groups.union(links))
     labelled = saved(nodes.drop("sig", "size").join(groups, "node", "left")
                      .withColumn("label", F.coalesce("label", "node")), "labelled")
     named = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
