@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicloom.operators import ingest as I
@@ -13,9 +13,11 @@ from topicloom.schemas import ARTICLE_PAGE, TICKET_PAGE
 from topicloom.session import work_path
 from topicloom.sources import pages as P
 from topicloom.sources import tables
+from topicloom.sources.chain import stream_chain
 from topicloom.streaming.ingest import read_change_log, start_change_log
 
 PAGE_SPAN = 1000
+FEED_START = 1704067200
 
 EVENTS_30_AS_OF = datetime(2024, 2, 15)
 EVENTS_60_AS_OF = datetime(2024, 3, 20)
@@ -24,7 +26,7 @@ ORDERS_90_AS_OF = datetime(2001, 8, 1)
 
 def _ticket_feed(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as feed tickets, with gaps: no subject (de), no tags (es), bad time (fr)."""
-    hours = F.lit(1704067200) + F.col("doc_id") * 3600
+    hours = F.lit(FEED_START) + F.col("doc_id") * 3600
     iso = F.date_format(F.timestamp_seconds(hours), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return tables.table(spark, folder, "documents").select(
         F.col("source").alias("account_id"), F.col("doc_id").alias("id"),
@@ -36,16 +38,25 @@ def _ticket_feed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ticket_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Write the feed as JSON pages of one tenant and id range, read the pages back."""
+    """Write each tenant's feed as a chain of JSON pages, of which one names the next, and
+    follow the chains from the start of the window."""
     record = F.struct("id", "subject", "description", "status", "tags", "created_at",
                       "generated_timestamp")
     feed = _ticket_feed(spark, folder)
-    page = F.floor(F.col("id") / PAGE_SPAN).alias("page")
-    pages = feed.groupBy("account_id", page).agg(F.collect_list(record).alias("tickets"))
-    path = work_path(spark, "ticket-pages")
-    pages.select("account_id", "tickets", F.lit(False).alias("end_of_stream"),
-                 F.col("page").cast("string").alias("after_cursor")).write.json(path)
-    return P.read_tickets(spark, path).select(
+    page = F.floor(F.col("id") / PAGE_SPAN)
+    pages = feed.groupBy(F.col("account_id").alias("feed"), page.alias("page")).agg(F.collect_list(record).alias("tickets"))
+    along = Window.partitionBy("feed").orderBy("page")
+    after = F.concat(F.lit("after-"), F.col("page").cast("string"))
+    chained = pages.select(
+        "feed", F.coalesce(F.lag(after).over(along), F.lit(str(FEED_START))).alias("at"), "tickets",
+        F.lead("page").over(along).isNull().alias("end_of_stream"), after.alias("after_cursor"))
+    work = work_path(spark, "ticket-pages")
+    chained.repartition("feed", "at").write.partitionBy("feed", "at").json(f"{work}/feed")
+    tenants = [r["feed"] for r in pages.select("feed").distinct().orderBy("feed").toLocalIterator()]
+    stream = stream_chain(spark, f"{work}/stage", "cursor", FEED_START, tenants, TICKET_PAGE, path=f"{work}/feed")
+    (P.tickets_of(stream).writeStream.format("parquet").option("path", f"{work}/tickets")
+     .option("checkpointLocation", f"{work}/offsets").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{work}/tickets").select(
         "account_id", "id", "subject", F.md5("description").alias("description_md5"),
         F.array_join("tags", "|").alias("tags"), "created_at", "generated_timestamp")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from topicloom.operators.ingest import check_window
 from topicloom.operators.ledger import latest_runs, run_event
 from topicloom.operators.sizes import broadcast_if_small
-from topicloom.schemas import RUN_LEDGER
+from topicloom.schemas import RUN_LEDGER, TICKET_PAGE
 from topicloom.session import path_exists
+from topicloom.sources.chain import Stage, stream_chain
 from topicloom.streaming.ingest import current_tickets, ingest_tickets
 
 
@@ -51,12 +53,37 @@ class IngestRuns:
         return self._drive(pages, run_id, window_days, as_of, triage)
 
     def resume(self, pages: DataFrame, run_id: int, triage: DataFrame | None = None) -> IngestResult:
+        return self._drive(pages, run_id, *self._begun(run_id), triage)
+
+    def start_feed(self, run_id: int, window_days: int, as_of: datetime, triage: DataFrame | None = None,
+                   **transport: str) -> IngestResult:
+        """A run over the account's cursor-chained feed, from the start of its window.
+
+        ``transport``: options of ``page_chain`` that say how a page is fetched.
+        """
+        check_window(window_days)
+        return self._drive(self._feed(run_id, window_days, as_of, transport), run_id, window_days, as_of, triage)
+
+    def resume_feed(self, run_id: int, triage: DataFrame | None = None, **transport: str) -> IngestResult:
+        """Goes on with the pages that are staged and not applied, then where the feed was left."""
+        begun = self._begun(run_id)
+        return self._drive(self._feed(run_id, *begun, transport), run_id, *begun, triage)
+
+    def _feed(self, run_id: int, window_days: int, as_of: datetime, transport: dict[str, str]) -> DataFrame:
+        start = as_of.replace(tzinfo=as_of.tzinfo or UTC) - timedelta(days=window_days)
+        return stream_chain(self.spark, self._stage(run_id), "cursor", int(start.timestamp()),
+                            [self.account_id], TICKET_PAGE, **transport)
+
+    def _stage(self, run_id: int) -> str:
+        return f"{self.root}/stage/run={run_id}"
+
+    def _begun(self, run_id: int) -> tuple[int, datetime]:
         rows = self.ledger.filter(
             (F.col("account_id") == self.account_id) & (F.col("run_id") == run_id))
         begun = rows.agg(F.max("window_days"), F.min("as_of")).first()
         if begun[0] is None:
             raise ValueError(f"No run {run_id} to resume")
-        return self._drive(pages, run_id, begun[0], begun[1], triage)
+        return begun[0], begun[1]
 
     def status(self, run_id: int) -> str | None:
         row = latest_runs(self.ledger).filter(
@@ -78,13 +105,20 @@ class IngestRuns:
             self._record(run_id, window_days, as_of, "failed")
             raise
         last = query.lastProgress
-        cursor = f"batch {last['batchId']}" if last else None
-        self._record(run_id, window_days, as_of, "completed", cursor)
+        self._record(run_id, window_days, as_of, "completed", self._cursor(run_id, last))
         stored = self.tickets()
         own = (F.col("account_id") == self.account_id) & (F.col("run_id") == run_id)
         mine = 0 if stored is None else stored.filter(own).count()
         return IngestResult(run_id, mine, sum(undated))
 
+    def _cursor(self, run_id: int, progress) -> str | None:
+        """Where the feed was left; of streams without a chain the last batch."""
+        stage = Stage(self._stage(run_id), self.account_id)
+        last = stage.last()
+        if last:
+            return json.dumps(stage.read(last)["after"])
+        return f"batch {progress['batchId']}" if progress else None
+
     def _record(self, run_id: int, window_days: int, as_of: datetime, status: str,
                 cursor: str | None = None) -> None:
         row = run_event(self.spark, self.account_id, run_id, time.time_ns() // 1000, status,

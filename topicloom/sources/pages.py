@@ -68,14 +68,27 @@ def sound_pages(pages: DataFrame, records: str) -> DataFrame:
     return pages.withColumn(records, F.when(reason.isNull(), F.col(records)).otherwise(checked))
 
 
+def _placed(pages: DataFrame, records: str) -> DataFrame:
+    """One row per record, with a ``position`` that grows along a page and, where pages
+    are numbered, along the feed."""
+    number = F.col("page") if "page" in pages.columns else F.lit(0)
+    rows = sound_pages(pages, records).select(
+        "account_id", number.cast("long").alias("page"), F.posexplode(records).alias("at", "r"))
+    return rows.select("account_id", "r.*", (F.shiftleft("page", 32) + F.col("at")).alias("position"))
+
+
 def tickets_of(pages: DataFrame) -> DataFrame:
     """Feed tickets of all pages (pages concatenated, duplicates kept), with their place."""
-    placed = sound_pages(pages, "tickets").select("account_id", F.posexplode("tickets").alias("position", "t"))
-    return placed.select("account_id", "t.*", "position")
+    return _placed(pages, "tickets")
 
 
 def articles_of(pages: DataFrame) -> DataFrame:
-    return sound_pages(pages, "articles").select("account_id", F.explode("articles").alias("a")).select("account_id", "a.*")
+    return _placed(pages, "articles").drop("position")
+
+
+def placed_articles(pages: DataFrame) -> DataFrame:
+    """Feed articles with their place, so that the last of several versions is known."""
+    return _placed(pages, "articles")
 
 
 def read_tickets(spark: SparkSession, path: str) -> DataFrame:
