@@ -123,12 +123,14 @@ def test_runs_over_a_chained_feed(spark, tmp_path):
     feed, runs = tmp_path / "feed", IngestRuns(spark, str(tmp_path / "store"), "a")
     put(feed, START, 1, after="c1", kind="start_time")
     put(feed, "c1", 2, 1, after="c2", last=True, subject="later")
-    done = runs.start_feed(5, 30, NOW, **transport(feed))
+    put(feed, "c2", after="c2", last=True)
+    done = runs.start_feed(5, 30, NOW, max_pages="1", **transport(feed))
     assert (done.tickets, runs.status(5)) == (2, "completed")
     assert {r.ticket_id: r.subject for r in runs.tickets().collect()} == {1: "later", 2: "later"}
     last = runs.ledger.where("status = 'completed'").first()
     assert json.loads(last.cursor) == {"cursor": "c2"}
     put(feed, "c2", 3, after="c3", last=True)
+    put(feed, "c3", after="c3", last=True)
     assert runs.resume_feed(5, **transport(feed)).tickets == 3
     with pytest.raises(ValueError, match="No run 6"):
         runs.resume_feed(6, **transport(feed))

@@ -62,12 +62,12 @@ class IngestRuns:
         ``transport``: options of ``page_chain`` that say how a page is fetched.
         """
         check_window(window_days)
-        return self._drive(self._feed(run_id, window_days, as_of, transport), run_id, window_days, as_of, triage)
+        return self._drive(self._feed(run_id, window_days, as_of, transport), run_id, window_days, as_of, triage, chained=True)
 
     def resume_feed(self, run_id: int, triage: DataFrame | None = None, **transport: str) -> IngestResult:
         """Goes on with the pages that are staged and not applied, then where the feed was left."""
         begun = self._begun(run_id)
-        return self._drive(self._feed(run_id, *begun, transport), run_id, *begun, triage)
+        return self._drive(self._feed(run_id, *begun, transport), run_id, *begun, triage, chained=True)
 
     def _feed(self, run_id: int, window_days: int, as_of: datetime, transport: dict[str, str]) -> DataFrame:
         start = as_of.replace(tzinfo=as_of.tzinfo or UTC) - timedelta(days=window_days)
@@ -91,20 +91,25 @@ class IngestRuns:
         return row["status"] if row else None
 
     def _drive(self, pages: DataFrame, run_id: int, window_days: int, as_of: datetime,
-               triage: DataFrame | None) -> IngestResult:
+               triage: DataFrame | None, chained: bool = False) -> IngestResult:
         if triage is not None:
             triage = broadcast_if_small(triage)
         offsets = f"{self.root}/offsets/run={run_id}"
         self._record(run_id, window_days, as_of, "running")
         undated: list[int] = []
         try:
-            query = ingest_tickets(pages, f"{self.root}/tickets/run={run_id}", offsets, run_id,
-                                   window_days, as_of, triage, self.account_id, undated.append)
-            query.awaitTermination()
+            last, more = None, True
+            while more:
+                query = ingest_tickets(pages, f"{self.root}/tickets/run={run_id}", offsets, run_id,
+                                       window_days, as_of, triage, self.account_id, undated.append)
+                query.awaitTermination()
+                # A restart may end with the batch that had failed, and a batch may have a
+                # bound: a feed is asked until it has no more.
+                more = chained and query.lastProgress is not None and query.lastProgress["numInputRows"] > 0
+                last = query.lastProgress or last
         except Exception:
             self._record(run_id, window_days, as_of, "failed")
             raise
-        last = query.lastProgress
         self._record(run_id, window_days, as_of, "completed", self._cursor(run_id, last))
         stored = self.tickets()
         own = (F.col("account_id") == self.account_id) & (F.col("run_id") == run_id)
