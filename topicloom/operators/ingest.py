@@ -106,7 +106,7 @@ def map_tickets(feed: DataFrame) -> DataFrame:
 
 def map_articles(feed: DataFrame) -> DataFrame:
     return feed.select(
-        "account_id",
+        "account_id", *[c for c in ("position",) if c in feed.columns],
         F.col("id").alias("article_id"),
         "title",
         html_to_text(F.col("body")).alias("clean_text"),

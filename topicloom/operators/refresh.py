@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import is_blank
@@ -24,24 +24,28 @@ def route_articles(incoming: DataFrame, stored: DataFrame, mode: str = "by_versi
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    known = stored.select(
-        *KEYS,
-        F.date_trunc("MILLISECOND", "updated_at").alias("_stored_at"),
-        F.col("embedding").isNull().alias("_no_vector"),
-    )
-    unchanged = F.col("_stored_at") == F.date_trunc("MILLISECOND", "updated_at")
-    if mode == "by_missing":
-        unchanged = unchanged & ~F.col("_no_vector")
+    known = stored.select(*KEYS, F.col("updated_at").alias("_stored_at"), F.col("embedding").isNull().alias("_no_vector"))
+    again = F.col("_no_vector") if mode == "by_missing" else F.lit(False)
+    routed = incoming.join(known, KEYS, "left")
+    return with_action(routed, F.col("_stored_at"), again).drop("_stored_at", "_no_vector")
+
+
+def with_action(articles: DataFrame, stored_at: Column, again: Column | None = None) -> DataFrame:
+    """``articles`` with ``reason`` and ``action``, given the version stored before each;
+    ``again`` marks those to embed though their version is the stored one."""
+    to_ms = lambda at: F.date_trunc("MILLISECOND", at)
+    unchanged = to_ms(stored_at) == to_ms(F.col("updated_at"))
+    if again is not None:
+        unchanged = unchanged & ~again
     reason = (
         F.when(F.col("draft"), "draft")
         .when(is_blank(F.col("clean_text")), "blank")
         .when(unchanged, "unchanged")
-        .when(F.col("_stored_at").isNull(), "new")
+        .when(stored_at.isNull(), "new")
         .otherwise("changed")
     )
-    routed = incoming.join(known, KEYS, "left").withColumn("reason", reason)
     action = F.when(F.col("reason").isin("new", "changed"), EMBEDDED).otherwise(SKIPPED)
-    return routed.withColumn("action", action).drop("_stored_at", "_no_vector")
+    return articles.withColumn("reason", reason).withColumn("action", action)
 
 
 def refresh_counts(routed: DataFrame, keys: list[str] | None = None) -> DataFrame:

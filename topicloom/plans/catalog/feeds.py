@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicloom.operators import ingest as I
+from topicloom.operators.models import hashing_embedder
 from topicloom.operators.upsert import latest_per_key as latest
+from topicloom.plans.article_run import ArticleRuns
+from topicloom.plans.catalog.texts import ORACLES as TEXT_ORACLES
+from topicloom.plans.catalog.texts import TABLE_DIMENSION
 from topicloom.schemas import ARTICLE_PAGE, TICKET_PAGE
 from topicloom.session import work_path
 from topicloom.sources import pages as P
@@ -76,6 +80,45 @@ def article_pages(spark: SparkSession, folder: str) -> DataFrame:
         "account_id", "id", "title", "locale", "draft", F.md5("body").alias("body_md5"), "updated_at")
 
 
+def _article_versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Two listings of the pages as articles of three tenants, with the number of their page.
+
+    The first lacks .org and has .net a day older. The second lists some articles twice:
+    every 7th unchanged, every 11th an hour newer.
+    """
+    feed = tables.feed_articles(spark, folder)
+    tenant, page = F.regexp_extract("account_id", r"([^.]+\.[^.]+)$", 1), F.floor(F.col("id") / PAGE_SPAN)
+    every = feed.withColumn("account_id", tenant).withColumn("page", page)
+    moved = lambda by: F.date_format(F.to_timestamp("updated_at") + F.expr(by), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    older = F.when(F.col("account_id").endswith(".net"), moved("INTERVAL -1 DAY")).otherwise(F.col("updated_at"))
+    again = F.lit(1 << 40)
+    return (every.where(~F.col("account_id").endswith(".org")).withColumn("updated_at", older),
+            every.union(every.where("id % 7 = 0").withColumn("page", again))
+            .union(every.where("id % 11 = 0").withColumns({"page": again + 1, "updated_at": moved("INTERVAL 1 HOUR")})))
+
+
+def article_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs over time-paged feeds: the stored articles, how often each was seen, and
+    how often a version of it was embedded."""
+    work = work_path(spark, "article-ingest")
+    tenants: list[str] = []
+    for run, listing in enumerate(_article_versions(spark, folder), 1):
+        rows = listing.groupBy(F.col("account_id").alias("feed"), "page").agg(
+            F.collect_list(F.struct(*[c for c in listing.columns if c not in ("account_id", "page")])).alias("articles"))
+        along = Window.partitionBy("feed").orderBy("page")
+        at = FEED_START + F.row_number().over(along)
+        pages = rows.select("feed", (at - 1).cast("string").alias("at"), "articles", at.alias("end_time"),
+                            F.when(F.lead("page").over(along).isNotNull(), F.lit("more")).alias("next_page"))
+        pages.repartition("feed", "at").write.partitionBy("feed", "at").json(f"{work}/feed-{run}")
+        tenants = [r["feed"] for r in spark.read.json(f"{work}/feed-{run}").select("feed").distinct().toLocalIterator()]
+        job = ArticleRuns(spark, f"{work}/store", sorted(tenants), hashing_embedder(TABLE_DIMENSION), TABLE_DIMENSION)
+        job.start_feed(run, datetime.fromtimestamp(FEED_START, UTC), lookback_days=0, path=f"{work}/feed-{run}")
+    return job.articles().select(
+        "account_id", "article_id", "title", "locale", "draft", F.md5("clean_text").alias("text_md5"),
+        F.unix_seconds("updated_at").alias("updated_epoch"), "seen", "embedded",
+        (F.col("seen") - F.col("embedded")).alias("skipped"), F.coalesce(F.size("embedding"), F.lit(0)).alias("dimensions"))
+
+
 def page_rejects(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of which every third is cut off and some hold a ticket without an id; what
     a run would stop at, counted by reason."""
@@ -189,6 +232,7 @@ def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "ticket_pages": ticket_pages,
     "article_pages": article_pages,
+    "article_ingest": article_ingest,
     "ticket_mapping": ticket_mapping,
     "triage_field_dim": triage_field_dim,
     "triage_values": triage_values,
@@ -222,6 +266,18 @@ SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS account_id, page_id AS id,
        contains(url, '#') AS draft, md5(html) AS body_md5,
        {_ISO.format("1704067200 + page_id * 60")} AS updated_at
 FROM pages""",
+    "article_ingest": f"""
+WITH clean AS ({TEXT_ORACLES["html_to_text"]}),
+p AS (SELECT regexp_extract(url, '^https?://(?:[^/]*\\.)?([^./]+\\.[^./]+)(?:/|$)', 1) AS account_id, page_id AS article_id,
+        regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS locale,
+        contains(url, '#') AS draft, clean_md5 AS text_md5, 1704067200 + page_id * 60 AS version,
+        (page_id % 7 = 0)::INT AS twice, (page_id % 11 = 0)::INT AS newer FROM pages JOIN clean USING (page_id)),
+q AS (SELECT *, (NOT ends_with(account_id, '.org'))::INT AS before, (NOT ends_with(account_id, '.com'))::INT AS changed FROM p)
+SELECT account_id, article_id, title, locale, draft, text_md5, version + 3600 * newer AS updated_epoch,
+       (before + 1 + twice + newer)::BIGINT AS seen,
+       (CASE WHEN draft THEN 0 ELSE before + changed + newer END)::BIGINT AS embedded, seen - embedded AS skipped,
+       CASE WHEN draft THEN 0 ELSE {TABLE_DIMENSION} END::INT AS dimensions
+FROM q""",
     "ticket_mapping": """
 SELECT source AS account_id, doc_id AS ticket_id,
        CASE WHEN lang <> 'de' THEN split_part(text, chr(10), 1) END AS subject,

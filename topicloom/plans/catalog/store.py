@@ -9,6 +9,7 @@ from topicloom.operators.ingest import ARTICLE_UPDATE_COLS, map_articles
 from topicloom.operators.ledger import failure_audit, latest_runs
 from topicloom.operators.refresh import refresh_counts, route_articles
 from topicloom.operators.upsert import latest_per_key, replace_runs, upsert
+from topicloom.plans.catalog.texts import ORACLES as TEXT_ORACLES
 from topicloom.plans.catalog.texts import SQL_TICKETS
 from topicloom.plans.runs import embed_counts
 from topicloom.scope import by_ids, embedded, needing_embedding
@@ -73,7 +74,7 @@ def article_upsert(spark: SparkSession, folder: str) -> DataFrame:
     incoming = map_articles(tables.feed_articles(spark, folder, heavy=True))
     merged = upsert(stored, incoming, ["account_id", "article_id"], ARTICLE_UPDATE_COLS)
     return merged.select("account_id", "article_id", "title", "locale", "draft",
-                         F.unix_seconds("updated_at").alias("updated_epoch"))
+                         F.md5("clean_text").alias("text_md5"), F.unix_seconds("updated_at").alias("updated_epoch"))
 
 
 def embedding_update(spark: SparkSession, folder: str) -> DataFrame:
@@ -198,12 +199,13 @@ l AS (SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations
       QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1)
 SELECT conv_id, CASE WHEN s.conv_id IS NULL THEN turn ELSE 0 END AS created_turn, turn, role, text_md5
 FROM l LEFT JOIN s USING (conv_id)""",
-    "article_upsert": """
+    "article_upsert": f"""
+WITH clean AS ({TEXT_ORACLES["html_to_text"]})
 SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS account_id, page_id AS article_id,
        regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title,
        regexp_extract(html, '<html lang="([a-z]+)"', 1) AS locale,
-       contains(url, '#') AS draft, 1704067200 + page_id * 60 AS updated_epoch
-FROM pages""",
+       contains(url, '#') AS draft, clean_md5 AS text_md5, 1704067200 + page_id * 60 AS updated_epoch
+FROM pages JOIN clean USING (page_id)""",
     "embedding_update": """
 SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS account_id, page_id AS article_id,
        CAST(coalesce(len(embedding), 0) AS INTEGER) AS dimensions,

@@ -94,7 +94,10 @@ class Stage:
 
 
 class FolderChain:
-    """Default transport: pages below ``path`` in folders named ``feed=<feed>/at=<position>``."""
+    """Default transport: pages below ``path`` in folders named ``feed=<feed>/at=<position>``.
+
+    Where there is no folder for a position the feed ends for now.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -102,8 +105,11 @@ class FolderChain:
     def page(self, feed: str, position: Position) -> str:
         (at,) = position.values()
         files, top = _files(self.path)
-        found = files.get_file_info(pyarrow.fs.FileSelector(f"{top}/feed={feed}/at={at}"))
-        (name,) = [i.path for i in found if i.type == pyarrow.fs.FileType.File and i.base_name[0] not in "._"]
+        found = files.get_file_info(pyarrow.fs.FileSelector(f"{top}/feed={feed}/at={at}", allow_not_found=True))
+        names = [i.path for i in found if i.type == pyarrow.fs.FileType.File and i.base_name[0] not in "._"]
+        if not names:
+            return '{"end_of_stream": true}'
+        (name,) = names
         with files.open_input_stream(name) as stream:
             return stream.read().decode()
 
