@@ -7,6 +7,8 @@ defaults differ, so those classes are written out here.
 
 from __future__ import annotations
 
+import json
+from functools import reduce
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -147,10 +149,12 @@ _BLANK, _TAB = "\ue00b", "\ue00c"
 _MARKERS = r"\uE001-\uE00C"
 _RULE = "-" * 40
 
+# What is not closed runs to the end of the page, as in browsers, and is taken in one
+# match: no start is tried again.
 _UNSEEN = (
-    r"(?is)<!--.*?-->"
-    r"|<script(?:[\s/][^>]*)?>.*?</script\s*>"
-    r"|<style(?:[\s/][^>]*)?>.*?</style\s*>"
+    r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))"
+    r"|<script(?:[\s/][^>]*)?>.*?(?:</script\s*>|\z)"
+    r"|<style(?:[\s/][^>]*)?>.*?(?:</style\s*>|\z)"
     r"|<head(?:[\s/][^>]*)?>.*?</head\s*>"
 )
 
@@ -177,6 +181,8 @@ _TAG_AT_START = r"""^(/?[a-zA-Z][^\s/>]*|[!?])(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*
 
 # Names that stand without a semicolon for historical reasons, longest first.
 _LEGACY = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+# Looked at before the table of all names is searched.
+_OFTEN = ("amp", "nbsp", "lt", "gt", "quot", "copy", "middot")
 _NAMED = r"^([A-Za-z][A-Za-z0-9]*);"
 _NUMBER_OR_LEGACY = rf"^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|{'|'.join(_LEGACY)});?"
 
@@ -201,16 +207,18 @@ def _lay_out_tags(text: Column) -> Column:
 
 def _decode_entities(text: Column) -> Column:
     """Decode in one left-to-right pass, so ``&amp;lt;`` ends as ``&lt;``."""
-    pairs = []
-    for name in sorted(n for n in html5 if n.endswith(";")):
-        pairs += [F.lit(name[:-1]), F.lit(html5[name])]
-    named = F.create_map(*pairs)
+    # One text that the optimizer turns into one constant; thousands of literals would be
+    # analysed one by one in every plan.
+    table = {name[:-1]: html5[name] for name in sorted(html5) if name.endswith(";")}
+    named = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
     # References to C1 controls mean the Windows characters of those numbers.
     windows = F.array(*[F.lit(bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n))) for n in range(128, 160)])
 
     def piece(part: Column, index: Column) -> Column:
         name = F.regexp_extract(part, _NAMED, 1)
-        known = F.when(name == "amp", F.lit("&")).when(name != "", F.try_element_at(named, name))
+        known = reduce(lambda case, often: case.when(name == often, F.lit(table[often])), _OFTEN[1:],
+                       F.when(name == _OFTEN[0], F.lit(table[_OFTEN[0]])))
+        known = known.when(name != "", F.try_element_at(named, name))
         ref = F.regexp_extract(part, _NUMBER_OR_LEGACY, 1)
         taken = F.when(known.isNotNull(), F.length(name) + 1).otherwise(
             F.length(F.regexp_extract(part, _NUMBER_OR_LEGACY, 0)))
