@@ -57,6 +57,18 @@ def slices(text: bytes, size: int = 1 << 22) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
+def apart(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns ``own`` and all others in one struct, so that no name an operator adds
+    can clash with theirs. ``together`` is the way back."""
+    rest = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in own]
+    return docs.select(*own, F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
+
+
+def together(df: DataFrame, docs: DataFrame, *own: str) -> DataFrame:
+    """The columns of ``docs`` from what was made of ``apart(docs, *own)``."""
+    return df.select(*[F.col(c) if c in own else F.col(f"_rest.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def saved(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and outlives executors."""
     spark = df.sparkSession

@@ -52,7 +52,7 @@ _ATTRIBUTE = (r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?>[ \t\n\f\r]*+=[ \t\n\f\r]*+"
               r"(?>\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\f\r>\"'][^ \t\n\f\r>]*+)?+)?+")
 _attribute = re.compile(_ATTRIBUTE)
 _token = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
     rf"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[ \t\n\f\r/]++|{_ATTRIBUTE})*+)(?:>|\Z)", re.DOTALL)
 _name = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _hidden = re.compile(r"\shidden(?=[\s=]|$)|display\s*:\s*none", re.IGNORECASE)

@@ -253,8 +253,9 @@ def mixed_and_fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float
     return out.drop("_tokens", *[f"_p{k}" for k in range(len(domains))]), fit
 
 
-def copies(rate: Column, id_col: Column, seed: int = 13) -> Column:
+def copies(rate: Column, *keys: Column, seed: int = 13) -> Column:
     """How often a document goes into the mix: the whole part of its rate, and once more
-    with the chance that is left, decided by a hash of its id."""
-    chance = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+    with the chance that is left, decided by a hash of ``keys``. Documents with equal keys
+    share the draw, so the text should be among them where ids may be null or repeated."""
+    chance = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
     return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("int")

@@ -41,6 +41,8 @@ BITS = 64
 OUTRIGHT = 16
 # Node pairs worked on at a time.
 FRONTIER = 500_000
+# Numbers of rows sent to all executors, counted first (32 MB).
+SEND_ROWS = 4_000_000
 
 
 def fingerprint_of(text: str | None) -> int:
@@ -298,29 +300,43 @@ def merged_groups(links: DataFrame) -> DataFrame:
     return label.withColumnRenamed("root", "label")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET,
-                    leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """One row per document: its id, ``fp`` and ``component_id``, the smallest id in its
-    group of documents linked directly or through others (null if none has an id)."""
-    marked = saved(docs.select(F.col(id_col), fingerprint(F.col(text_col)).alias("fp")), "fingerprints")
+def named_prints(marked: DataFrame, budget: int = BUDGET, leaf_rows: int = LEAF_ROWS, id_col: str = "doc_id") -> DataFrame:
+    """``fp, label, component_id`` of the fingerprints of a stored table: ``label`` tells
+    groups apart, ``component_id`` is the smallest id of a group."""
     prints = saved(marked.groupBy("fp").agg(F.min(id_col).alias("least_id")), "prints")
     groups = merged_groups(linked_prints(prints, budget=budget, leaf_rows=leaf_rows))
     labelled = saved(prints.join(groups, "fp", "left")
                      .select("fp", "least_id", F.coalesce("label", "fp").alias("label")), "groups")
     # Only fingerprints of groups of several need their group's smallest id looked up.
     named = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    names = labelled.join(named, "label").select("fp", "component_id")
+    return labelled.join(named, "label").select("fp", "label", "component_id")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET,
+                    leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """One row per document: its id, ``fp`` and ``component_id``, the smallest id in its
+    group of documents linked directly or through others (null if none has an id)."""
+    marked = saved(docs.select(F.col(id_col), fingerprint(F.col(text_col)).alias("fp")), "fingerprints")
+    names = named_prints(marked, budget, leaf_rows, id_col).drop("label")
     return marked.join(names, "fp").select(id_col, "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near duplicates: of each group the row with the smallest id
-    stays, once. Of documents without an id that are in no group with one, those with
-    different fingerprints stay."""
-    groups = saved(near_duplicates(docs, id_col=id_col, text_col=text_col), "near-duplicates")
-    stay = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stay")).distinct()
-    kept = docs.join(stay, F.col(id_col) == F.col("_stay"), "left_semi").dropDuplicates([id_col])
-    named = groups.where("component_id is not null").select(F.col("fp").alias("_fp")).distinct()
-    nameless = docs.where(F.col(id_col).isNull()).withColumn("_print", fingerprint(F.col(text_col)))
-    nameless = nameless.join(named, F.col("_print") == F.col("_fp"), "left_anti").dropDuplicates(["_print"])
-    return kept.unionByName(nameless.drop("_print"))
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+                send_rows: int = SEND_ROWS) -> DataFrame:
+    """``docs`` without near duplicates: one row of each group stays, that with the smallest
+    id, of several such rows or of a group without ids the first stored.
+
+    Rows are told apart by a number of their own, so rows of one id with texts that are
+    not alike all stay, and no column of ``docs`` plays a part besides id and text. Which
+    rows stay is found on narrow rows; texts are shuffled only if more than ``send_rows``
+    stay.
+    """
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    marked = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
+                               fingerprint(F.col(text_col)).alias("fp"), whole.alias("doc")), "fingerprints")
+    names = named_prints(marked, id_col="id").select("fp", "label")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row"))["row"]
+    stay = saved(marked.select("row", "id", "fp").join(names, "fp").groupBy("label").agg(first.alias("row")).select("row"), "stay")
+    few = stay.limit(send_rows + 1).count() <= send_rows
+    kept = marked.join(F.broadcast(stay) if few else stay, "row", "left_semi")
+    return kept.select(*[F.col(f"doc.c{k}").alias(c) for k, c in enumerate(docs.columns)])
