@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm import langid, mixing, neardup, pieces, quality
-from topicloom.llm.common import saved, text_batches
+from topicloom.llm.common import apart, saved, text_batches, together
 from topicloom.llm.queries import DOMAINS, labelled_domains, piece_model, table
 
 # Below this a text is of no language that was learned.
@@ -22,17 +22,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that was learned; texts without letters or of no
     recognised language go."""
     text_batches(spark)
-    found = langid.with_language(docs)
+    found = langid.with_language(apart(docs, "doc_id", "text", "lang"))
     known = (F.col("_language.lang_pred") != langid.UNKNOWN) & (F.col("_language.score") >= MIN_LANGUAGE_SCORE)
-    return found.where(known).select(*docs.columns)
+    return together(found.where(known), docs, "doc_id", "text", "lang")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and no rule learned from the labels finds."""
     text_batches(spark)
-    counted = saved(docs.withColumn("_counts", quality.text_counts(F.col("text"))), "counted")
+    counted = saved(apart(docs, "doc_id", "text").withColumn("_counts", quality.text_counts(F.col("text"))), "counted")
     rules = quality.rules_from(counted, table(spark, sf_dir, "labels"))
-    return quality.judged(counted, rules).where("_quality.kept").select(*docs.columns)
+    return together(quality.judged(counted, rules).where("_quality.kept"), docs, "doc_id", "text")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +44,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says: rarely where too much of a domain is there."""
     labelled = labelled_domains(table(spark, sf_dir, "labels"))
-    rated = mixing.mixed(docs, labelled, DOMAINS)
-    times = mixing.copies(F.col("rate"), F.col("doc_id"))
-    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    rated = mixing.mixed(apart(docs, "doc_id", "text"), labelled, DOMAINS)
+    times = mixing.copies(F.col("rate"), F.col("doc_id"), F.col("text"))
+    return together(rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))), docs, "doc_id", "text")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
