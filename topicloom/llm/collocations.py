@@ -41,12 +41,14 @@ from topicloom.llm.common import batches_of, raw_texts, saved, slices
 UNKNOWN = "und"
 MAX_WORDS, MIN_COUNT, TOP, ABSORBED = 5, 100, 2000, 100
 # Bytes of text of all languages that a task gathers before it stores them as blocks.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 # Frequent groups are sent to the executors up to so many rows of three numbers (24 MB),
 # counted first; beyond that both sides are shuffled.
 SEND_ROWS = 1_000_000
 # Pairs of ids that a task hands over at a time.
 PAIR_ROWS = 65_536
+# Blocks that a scan decodes at a time.
+SCAN_ROWS = 8
 
 BOUNDARY = b"."
 _PLAIN = bytes(range(256)).lower()
@@ -103,16 +105,25 @@ def word_blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
     return texts.mapInArrow(gather, schema)
 
 
+_RELATION = "block bigint, steps binary, codes binary, ids binary"
+_COLUMNS = ("block", "steps", "codes", "ids")
+
+
 def _relation(block: int, at: np.ndarray, ids: np.ndarray) -> pa.Table:
-    return pa.table({"block": pa.array([block], pa.int64()), "at": pa.array([at.astype(np.int32).tobytes()], pa.binary()),
-                     "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary())})
+    """A row of sorted positions, as the steps between them, and of ids, by number."""
+    some, codes = np.unique(ids, return_inverse=True)
+    steps = np.diff(at, prepend=0).astype(np.int32)
+    values = (steps.tobytes(), codes.astype(np.int32).tobytes(), some.astype(np.int64).tobytes())
+    return pa.table([pa.array([block], pa.int64()), *[pa.array([v], pa.binary()) for v in values]], names=list(_COLUMNS))
 
 
-_RELATION = "block bigint, at binary, ids binary"
+def _opened(steps: bytes, codes: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and ids of a row of a relation."""
+    return np.cumsum(np.frombuffer(steps, np.int32), dtype=np.int64), np.frombuffer(ids, np.int64)[np.frombuffer(codes, np.int32)]
 
 
 def _nothing() -> pa.Table:
-    return pa.table({"block": pa.array([], pa.int64()), "at": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
+    return pa.table([pa.array([], pa.int64()), *[pa.array([], pa.binary())] * 3], names=list(_COLUMNS))
 
 
 def first_relation(key: tuple, texts: pa.Table, frequent: pa.Table) -> pa.Table:
@@ -143,8 +154,9 @@ def _pair_keys(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndar
 def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``block, left, right, n``: how often each pair of neighbours occurs in a block."""
     for batch in batches:
-        for block, at, ids in zip(*(c.to_pylist() for c in batch.columns)):
-            _, left, right = neighbours(np.frombuffer(at, np.int32), np.frombuffer(ids, np.int64))
+        for block, *row in zip(*(batch.column(c) for c in _COLUMNS)):
+            block = block.as_py()
+            _, left, right = neighbours(*_opened(*(value.as_py() for value in row)))
             keys, some = _pair_keys(left, right)
             keys, counts = np.unique(keys, return_counts=True)
             for k in range(0, len(keys), PAIR_ROWS):
@@ -159,8 +171,7 @@ def next_relation(key: tuple, relation: pa.Table, frequent: pa.Table) -> pa.Tabl
     """R_{k+1} of a block: neighbours in R_k that are a frequent pair, with its id."""
     if not len(relation) or not len(frequent):
         return _nothing()
-    at, left, right = neighbours(np.frombuffer(relation.column("at")[0].as_py(), np.int32),
-                                 np.frombuffer(relation.column("ids")[0].as_py(), np.int64))
+    at, left, right = neighbours(*_opened(*(relation.column(c)[0].as_py() for c in _COLUMNS[1:])))
     pairs = [frequent.column(c).to_numpy() for c in ("left", "right")]
     keys, _ = _pair_keys(np.concatenate([left, pairs[0]]), np.concatenate([right, pairs[1]]))
     keys, wanted = keys[: len(at)], keys[len(at) :]
@@ -185,6 +196,12 @@ def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str =
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)), F.coalesce(F.col(text_col), F.lit("")))
     with batches_of(spark):
         blocks = saved(word_blocks(texts, block_bytes), "blocks")
+    with batches_of(spark, rows=SCAN_ROWS):
+        return _levels(blocks, max_words, min_count, send_rows)
+
+
+def _levels(blocks: DataFrame, max_words: int, min_count: int, send_rows: int) -> tuple[DataFrame, DataFrame]:
+    """One level after the other, from words to phrases of ``max_words``."""
     totals = blocks.groupBy("lang").agg(F.sum("total").alias("n")).where("n > 0")
     listed = (blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "w"))
               .select("block", "lang", (F.col("number") + 1).alias("number"), F.col("w.words").alias("phrase"),
@@ -198,22 +215,21 @@ def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str =
     relation = saved(blocks.select("block", "codes").groupBy("block").cogroup(of_block.groupBy("home"))
                      .applyInArrow(first_relation, _RELATION), "occurrences")
     for length in range(2, max_words + 1):
-        with batches_of(spark):
-            pairs = relation.mapInArrow(pair_counts, "block bigint, left bigint, right bigint, n bigint")
-            grouped = pairs.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-            grouped = saved(grouped.withColumn("id", F.monotonically_increasing_id()), "groups")
-            if grouped.isEmpty():
-                break
-            known = levels[-1]
-            named = (grouped.join(known.select(F.col("id").alias("left"), "lang", "phrase"), "left")
-                     .join(known.select(F.col("id").alias("right"), "last"), "right"))
-            levels.append(saved(named.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last",
-                                             F.lit(length).alias("words"), "f"), "frequent"))
-            if length < max_words:
-                of_block = pairs.join(_small(grouped.select("left", "right", "id"), send_rows), ["left", "right"])
-                relation = saved(relation.groupBy("block").cogroup(of_block.select("block", "left", "right", "id")
-                                                                   .groupBy("block"))
-                                 .applyInArrow(next_relation, _RELATION), "occurrences")
+        pairs = relation.mapInArrow(pair_counts, "block bigint, left bigint, right bigint, n bigint")
+        grouped = pairs.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+        grouped = saved(grouped.withColumn("id", F.monotonically_increasing_id()), "groups")
+        if grouped.isEmpty():
+            break
+        known = levels[-1]
+        named = (grouped.join(known.select(F.col("id").alias("left"), "lang", "phrase"), "left")
+                 .join(known.select(F.col("id").alias("right"), "last"), "right"))
+        levels.append(saved(named.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last",
+                                         F.lit(length).alias("words"), "f"), "frequent"))
+        if length < max_words:
+            of_block = pairs.join(_small(grouped.select("left", "right", "id"), send_rows), ["left", "right"])
+            relation = saved(relation.groupBy("block").cogroup(of_block.select("block", "left", "right", "id")
+                                                               .groupBy("block"))
+                             .applyInArrow(next_relation, _RELATION), "occurrences")
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)

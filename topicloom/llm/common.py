@@ -15,6 +15,7 @@ from topicloom.session import work_path
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
+PARQUET_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
 # Rows of one Arrow batch where whole texts go to Python: texts are long and uneven.
 TEXT_BATCH_ROWS = 1000
 
@@ -25,18 +26,22 @@ def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+def batches_of(spark: SparkSession, size: int = BATCH_BYTES, rows: int | None = None) -> Iterator[None]:
     """Arrow batches of at most ``size`` bytes (one row at least) for the jobs run inside;
-    the session's own setting holds again afterwards."""
-    before = spark.conf.get(ARROW_BYTES, None)
-    spark.conf.set(ARROW_BYTES, str(size))
+    ``rows`` that a scan decodes at a time, where rows are megabytes. The session's own
+    settings hold again afterwards."""
+    wanted = {ARROW_BYTES: str(size)} | ({PARQUET_ROWS: str(rows)} if rows else {})
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(ARROW_BYTES)
-        else:
-            spark.conf.set(ARROW_BYTES, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:
