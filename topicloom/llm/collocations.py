@@ -42,8 +42,8 @@ UNKNOWN = "und"
 MAX_WORDS, MIN_COUNT, TOP, ABSORBED = 5, 100, 2000, 100
 # Bytes of text of all languages that a task gathers before it stores them as blocks.
 BLOCK_BYTES = 3 << 20
-# Frequent groups are sent to the executors up to so many rows of three numbers (24 MB),
-# counted first; beyond that both sides are shuffled.
+# Frequent groups are sent to the executors up to so many rows, of three numbers (24 MB) or
+# of a word and one, counted first; beyond that both sides are shuffled.
 SEND_ROWS = 1_000_000
 # Pairs of ids that a task hands over at a time.
 PAIR_ROWS = 65_536
@@ -167,18 +167,54 @@ def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ["block", "left", "right", "n"])
 
 
+class FrequentPairs:
+    """Ids of pairs, looked up by both parts."""
+
+    def __init__(self, table: pa.Table):
+        left, right, ids = (table.column(c).to_numpy() for c in ("left", "right", "id"))
+        keys, self.some = _pair_keys(left, right)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], ids[order]
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs are frequent, and the ids of those."""
+        one, two = (np.minimum(np.searchsorted(self.some, x), len(self.some) - 1) for x in (left, right))
+        keys = one * np.int64(len(self.some)) + two
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = (self.some[one] == left) & (self.some[two] == right) & (self.keys[place] == keys)
+        return hit, self.ids[place[hit]]
+
+    def extend(self, block: int, steps: bytes, codes: bytes, ids: bytes) -> pa.Table:
+        """The next relation of a block: neighbours that are a frequent pair, with its id."""
+        at, left, right = neighbours(*_opened(steps, codes, ids))
+        hit, found = self.find(left, right)
+        return _relation(block, at[hit], found)
+
+
 def next_relation(key: tuple, relation: pa.Table, frequent: pa.Table) -> pa.Table:
-    """R_{k+1} of a block: neighbours in R_k that are a frequent pair, with its id."""
+    """R_{k+1} of a block from R_k and the frequent pairs of this block."""
     if not len(relation) or not len(frequent):
         return _nothing()
-    at, left, right = neighbours(*_opened(*(relation.column(c)[0].as_py() for c in _COLUMNS[1:])))
-    pairs = [frequent.column(c).to_numpy() for c in ("left", "right")]
-    keys, _ = _pair_keys(np.concatenate([left, pairs[0]]), np.concatenate([right, pairs[1]]))
-    keys, wanted = keys[: len(at)], keys[len(at) :]
-    order = np.argsort(wanted)
-    place = np.minimum(np.searchsorted(wanted[order], keys), len(wanted) - 1)
-    hit = wanted[order][place] == keys
-    return _relation(key[0].as_py(), at[hit], frequent.column("id").to_numpy()[order][place[hit]])
+    return FrequentPairs(frequent).extend(key[0].as_py(), *(relation.column(c)[0].as_py() for c in _COLUMNS[1:]))
+
+
+def semi_joined(relation: DataFrame, pairs: DataFrame, grouped: DataFrame, send_rows: int) -> DataFrame:
+    """R_{k+1} from R_k. Few frequent pairs (stored, counted first) go to the tasks, which
+    then read R_k where it is; many are joined with the pairs of each block and brought
+    to the block."""
+    if grouped.select(F.lit(1)).limit(send_rows + 1).count() > send_rows:
+        of_block = pairs.join(grouped.select("left", "right", "id"), ["left", "right"])
+        return (relation.groupBy("block").cogroup(of_block.select("block", "left", "right", "id").groupBy("block"))
+                .applyInArrow(next_relation, _RELATION))
+    table = grouped.select("left", "right", "id").toArrow()
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = FrequentPairs(table)
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in _COLUMNS)):
+                yield from frequent.extend(*(value.as_py() for value in row)).to_batches()
+
+    return relation.mapInArrow(extend, _RELATION)
 
 
 def _small(groups: DataFrame, send_rows: int) -> DataFrame:
@@ -226,10 +262,7 @@ def _levels(blocks: DataFrame, max_words: int, min_count: int, send_rows: int) -
         levels.append(saved(named.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last",
                                          F.lit(length).alias("words"), "f"), "frequent"))
         if length < max_words:
-            of_block = pairs.join(_small(grouped.select("left", "right", "id"), send_rows), ["left", "right"])
-            relation = saved(relation.groupBy("block").cogroup(of_block.select("block", "left", "right", "id")
-                                                               .groupBy("block"))
-                             .applyInArrow(next_relation, _RELATION), "occurrences")
+            relation = saved(semi_joined(relation, pairs, grouped, send_rows), "occurrences")
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
