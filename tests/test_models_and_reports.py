@@ -48,7 +48,7 @@ def parrot():
             raise RuntimeError("no quota")
         if "silence" in prompt:
             return ""
-        return "Label: Test\nSummary: A test." if "[REDACTED]" in prompt else "hm"
+        return "Label: Loud bell\nSummary: Callers hear it twice." if "[REDACTED]" in prompt else "hm"
     return answer
 
 
@@ -65,7 +65,7 @@ def test_model_labels_are_masked_and_isolated(spark):
     assert first == ("Ticket 1:\nSubject: s\nDescription: ring [REDACTED], please\n\n"
                      "Ticket 2:\nSubject: (none)\nDescription: x")
     got = {r.cluster_id: (r.label, r.summary, r.error) for r in L.label_by_model(masked, parrot).collect()}
-    assert got == {1: ("Test", "A test.", None), 2: ("Unlabeled cluster", "", "no quota"),
+    assert got == {1: ("Loud bell", "Callers hear it twice.", None), 2: ("Unlabeled cluster", "", "no quota"),
                    3: ("Unlabeled cluster", "", "provider returned no text"),
                    4: ("Unlabeled topic", "", None)}
 
