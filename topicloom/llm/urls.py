@@ -3,7 +3,9 @@
 Host and path are cut from the url by Spark expressions, and so are rules applied: a
 rule ``host/path`` fits its host and all subdomains where the path starts with the
 rule's; the longest rule that fits wins. Other urls are judged by a classifier trained
-in numpy on a small labelled table: n-grams of host and path, hashed by CRC-32.
+in numpy on a small labelled table: n-grams of host and path, hashed by CRC-32. The
+table is an argument; the one at hand is composed of common words of both kinds. A host
+whose words share no n-grams with those of blocked sites is allowed.
 
 Null urls and urls without ``://`` have an empty host and path, which no rule fits; the
 classifier allows them, as nothing speaks against them. Urls of any length are read
@@ -14,7 +16,7 @@ of the results. The rule list is a parameter and assumed to be short.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -28,26 +30,53 @@ THRESHOLD = 0.5
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
-# The labelled table: parts of host names and paths of invented sites, 1 = block.
-_BLOCKED_NAMES = ["cheap-pills", "spam-farm", "casino-bonus", "free-money", "win-prizes", "hot-singles", "adult-cams",
-                  "click-bait", "link-farm", "payday-loans", "replica-watches", "crack-downloads", "ad-tracker",
-                  "ads-network", "pixel-track", "adult-movies", "x-adult", "casino-online", "win-casino",
-                  "free-spins", "sports-bets", "free-slots"]
-_ALLOWED_NAMES = ["library", "therin", "ththan", "museum", "tionble", "recipes", "weather", "university", "thering",
-                  "gardening", "ththre", "thernd", "citynews", "observatory", "tionsh", "history", "theories",
-                  "bookshelves", "sthes", "theresa", "northern-lights", "old-town", "city-choir"]
-_HOSTS = ["{}.example.com", "www.{}.example.org", "blog.{}.example.net", "m.{}.example.com", "{}.example.org"]
-_PATHS = ["/en/{}", "/fr/{}.html", "/de/{}/", "/es/{}"]
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """Every name with every host form and two paths."""
+# The labelled table is composed of common words: what sites to be blocked are about, what
+# others are about, and words that both use.
+BLOCKED_WORDS = """
+casino poker slots roulette jackpot betting bets lottery gambling bookmaker
+porn xxx adult sex nude erotic escort webcams hookup dating
+viagra cialis pills steroids slimming replica counterfeit
+payday loans prizes giveaway getrich forex bitcoin-doubler
+spam linkfarm clickbait popups adserver ads banners tracker tracking pixel telemetry
+phishing login verify signin unlock suspended confirm-account wallet-recovery
+torrent warez cracked keygen serials nulled pirated
+malware hacks exploit botnet
+""".split()
+ALLOWED_WORDS = """
+news times herald post daily weekly journal magazine press radio television cinema theatre
+wiki encyclopedia dictionary library archive book reading poem novel author translation language
+university college school academy student teacher lecture course learning science nature research
+physics chemistry biology astronomy mathematics geology medicine history philosophy economy law
+docs python java kernel linux compiler database software developer project source code package
+forum questions answers community blog notes essay letter opinion interview reader
+city council government ministry parliament embassy police court tax census statistics
+health hospital doctor clinic nurse pharmacy therapy nutrition children family parents
+weather climate forecast ocean river mountain forest garden flower bird animal farm
+travel train airport airline hotel museum gallery map island guide cycling hiking
+sport football tennis cricket chess swimming running olympics stadium league
+music orchestra guitar piano choir festival dance painting photo design architecture
+kitchen recipe cooking bread coffee tea wine market bakery restaurant
+bank insurance energy engineering machine motor electric steel paper textile furniture
+camera phone computer laptop printer electronics charity church society foundation association
+street bridge station village castle harbour thunder theory method other there nation
+""".split()
+NEUTRAL_WORDS = "best my free online top world big live new the hub zone club shop 24 first easy cheap win fast".split()
+_HOSTS = ["{0}.{2}", "www.{0}{1}.{2}", "{1}-{0}.{2}", "m.{0}-{1}.{2}", "{1}{0}.{2}", "{0}s.{1}.{2}"]
+_DOMAINS = ["com", "org", "net", "info", "de", "fr", "es", "co.uk", "example.com", "io"]
+_PATHS = ["/", "/{0}/{1}.html", "/en/{1}", "/{1}/{0}", "/index.php", "/a/{1}-{0}"]
+
+
+def labelled_urls(blocked: Sequence[str] = BLOCKED_WORDS, allowed: Sequence[str] = ALLOWED_WORDS,
+                  neutral: Sequence[str] = NEUTRAL_WORDS) -> list[tuple[str, int]]:
+    """Urls of invented sites, 1 = block: every word in every host form, with changing
+    neutral words, domains and neutral paths."""
     out = []
-    for label, names in ((1, _BLOCKED_NAMES), (0, _ALLOWED_NAMES)):
-        for k, name in enumerate(names):
-            for j, host in enumerate(_HOSTS):
-                for path in (_PATHS[(k + j) % 4], _PATHS[(k + j + 2) % 4]):
-                    out.append((f"https://{host.format(name)}{path.format(37 * k + 11 * j + 100)}", label))
+    for label, words in ((1, blocked), (0, allowed)):
+        for k, word in enumerate(words):
+            for j, form in enumerate(_HOSTS):
+                host = form.format(word, neutral[(k + 7 * j) % len(neutral)], _DOMAINS[(k + 3 * j) % len(_DOMAINS)])
+                path = _PATHS[(k + j) % len(_PATHS)].format(allowed[(5 * k + 11 * j) % len(allowed)], 37 * k + 11 * j + 100)
+                out.append((f"https://{host}{path}", label))
     return out
 
 
@@ -88,23 +117,26 @@ def gram_buckets(host: str, path: str) -> np.ndarray:
     return np.fromiter(found, np.int64, len(found)) if host or path else np.empty(0, np.int64)
 
 
-def train(urls: list[tuple[str, int]], *, rounds: int = 200, rate: float = 1.0, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of the logistic regression, by full-batch gradient descent."""
+def train(urls: list[tuple[str, int]], *, rounds: int = 600, rate: float = 1.0, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias of the logistic regression, by full-batch gradient descent. Both
+    classes weigh alike; n-grams that many urls have (``.com``, ``/en/``) learn little."""
     rows = []
     for url, _ in urls:
         rest = url.partition("://")[2]
         cut = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
         rows.append(gram_buckets(rest[:cut].lower(), rest[cut:].partition("?")[0].partition("#")[0]))
     label = np.array([y for _, y in urls], float)
+    share = np.where(label == 1, 0.5 / max(label.sum(), 1), 0.5 / max((1 - label).sum(), 1))
     flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     scale = 1 / np.sqrt(np.array([len(r) for r in rows]))
+    rare = np.log(len(rows) / np.maximum(np.bincount(flat, minlength=BUCKETS), 1)) / np.log(max(len(rows), 2))
     weights, bias = np.zeros(BUCKETS), 0.0
     for _ in range(rounds):
-        score = np.bincount(owner, weights[flat], len(rows)) * scale + bias
-        error = (1 / (1 + np.exp(-score)) - label) / len(rows)
-        weights -= rate * 20 * (np.bincount(flat, (error * scale)[owner], BUCKETS) + decay / 20 * weights)
+        score = np.bincount(owner, (weights * rare)[flat], len(rows)) * scale + bias
+        error = (1 / (1 + np.exp(-score)) - label) * share
+        weights -= rate * 20 * (rare * np.bincount(flat, (error * scale)[owner], BUCKETS) + decay / 20 * weights)
         bias -= rate * error.sum()
-    return weights, bias
+    return weights * rare, bias
 
 
 def blocked_chance(host: Column, path: Column, model: tuple[np.ndarray, float]) -> Column:
