@@ -330,6 +330,43 @@ def test_domains_without_labels_take_no_part(spark):
     assert mass[1] / sum(mass) == pytest.approx(0.05 / 0.95, abs=0.002)
 
 
+def test_posteriors_equal_a_naive_bayes_by_hand(spark):
+    rng = random.Random(4)
+    common = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choices(common, k=12) + rng.choices(own, k=3)) + end
+             for own, end in (([f"good{k}" for k in range(6)], "!"), ([f"bad{k}" for k in range(6)], " #")) for _ in range(120)]
+    known = {k: int(k >= 120) for k in range(0, 240, 2)}
+    docs = frame(spark, texts)
+    labelled = spark.createDataFrame([(k, "bad" if y else "good") for k, y in known.items()], "doc_id long, domain string")
+    traits = [set(re.findall(r"[a-z0-9]+|[!#]", t)) for t in texts]
+    every = sorted(set().union(*traits))
+    bucket = spark.createDataFrame([(w,) for w in every], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(mixing.BUCKETS)))
+    bucket = dict(map(tuple, bucket.collect()))
+    inside = np.zeros((240, mixing.BUCKETS))
+    for k, mine in enumerate(traits):
+        inside[k, [bucket[w] for w in mine]] = 1
+    label = np.array([known.get(k, -1) for k in range(240)])
+    n = np.array([(label == y).sum() for y in (0, 1)])
+    have = np.array([inside[label == y].sum(0) for y in (0, 1)])
+    chance = (have + 0.5) / (n[:, None] + 1)
+    expected = have.sum(0) * n[:, None] / n.sum()
+    tells = ((have - expected > 5 * np.sqrt(expected + 1)) & (chance > 2 * (have[::-1] / n[::-1, None]))).any(0)
+    assert 2 <= tells.sum() < len(every) / 2
+    score = [np.log((n[y] + 1) / (n.sum() + 2)) + (np.log(np.where(inside > 0, chance[y], 1 - chance[y])) * tells).sum(1) for y in (0, 1)]
+    want = 1 / (1 + np.exp(np.clip(score[1] - score[0], -30, 30)))
+    got = mixing.with_posteriors(docs, labelled, ["good", "bad"]).orderBy("doc_id").select("_p0").collect()
+    assert np.allclose([r[0] for r in got], want, atol=1e-3)
+
+
+def test_samples_are_sorted_from_a_bounded_number_of_rows(spark):
+    from topicloom.llm.common import by_hash
+
+    assert by_hash(spark.range(900), 500, "id").count() == 900
+    for rows in (20_000, 200_000):
+        assert 600 < by_hash(spark.range(rows), 500, "id").count() < 900
+    assert by_hash(spark.range(0), 500, "id").count() == 0
+
+
 @pytest.mark.parametrize("bad", [1, 60])
 def test_scarce_domains_do_not_shrink_the_mix(spark, bad):
     p = [(10, 1.0, 0.0, 0.0)] * 600 + [(10, 0.0, 1.0, 0.0)] * bad
@@ -373,7 +410,10 @@ def test_targets_out_of_reach_are_missed_by_as_little_as_possible(spark):
     metric = np.linalg.inv(100 * x.T @ x)
     ray = x[0] * (x[0] @ metric @ wanted) / (x[0] @ metric @ x[0])  # the nearest point of the edge of the cone
     far = lambda totals: (totals - wanted) @ metric @ (totals - wanted)
-    assert fit.converged and far(np.array(fit.reached)) <= 1.02 * far(ray)
+    assert fit.converged and fit.out_of_reach and far(np.array(fit.reached)) <= 1.02 * far(ray)
+    rows = mixing.totals(spark, {"good": 0.99, "bad": 0.01}, fit).collect()
+    assert [(r["domain"], r["wanted"], r["reached"], r["out_of_reach"]) for r in rows] == [
+        (d, w, r, True) for d, w, r in zip(("good", "bad"), fit.wanted, fit.reached)]
 
 
 def test_copies_follow_the_rate(spark):

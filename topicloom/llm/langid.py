@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from topicloom.llm.common import utf8
+from topicloom.llm.common import hash_below, utf8
 
 WINDOW = 256
 BLOCK = 64
@@ -204,7 +204,12 @@ def sample(docs: DataFrame, usable: Column, *, per_language: int = 250, id_col:
     cuts = [F.substring(text_col, 1, 512), F.when(length > 1024, F.substring(F.col(text_col), length / 2, F.lit(512))),
             F.when(length > 2048, F.substring(F.col(text_col), length - 511, F.lit(512)))]
     order = Window.partitionBy("label").orderBy("h", "t")
-    rows = (docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    teach = docs.where(usable & F.col(lang_col).isNotNull())
+    # One row a language, as the network has a class for each. Texts are read only where the
+    # hash is low enough; a language of which 7 in 8 have no letter gets a smaller sample.
+    part = teach.groupBy(F.col(lang_col).alias("_taught")).agg((F.lit(8.0 * per_language) / F.count(F.lit(1))).alias("_part"))
+    few = teach.join(F.broadcast(part), F.col(lang_col) == F.col("_taught")).where(hash_below(F.col("_part"), id_col))
+    rows = (few.where(F.col(text_col).rlike(r"\p{L}"))
             .select(F.col(lang_col).alias("label"), F.xxhash64(id_col).alias("h"),
                     F.concat_ws("\n", *[c.cast("string") for c in cuts]).alias("t"))
             .withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)

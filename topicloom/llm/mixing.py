@@ -9,11 +9,11 @@ domain has clearly more often than the others weigh nothing. The weights are a c
 totals, sum of r x tokens x posterior, and the targets; distances are measured by the
 inverse of the domains' second-moment matrix. Projected gradient from r = 1, for which
 the step length 1 is exact, goes on while it is on course to end in ``MAX_ROUNDS``.
-Otherwise the multipliers of the domains, r = max(0, 1 + posteriors x multipliers), are
-found by Newton's method with a proximal term that shrinks; such rates are the nearest
-to 1 of all with their totals. It ends when each domain is within ``TOLERANCE`` of its
+Otherwise steps are scaled by the moments of the documents whose rate is above 0 (a
+two-metric projection), several dampings being tried in one pass; the step that ends
+closest is taken. It ends when each domain is within ``TOLERANCE`` of its
 own target, or when a bound on what other rates could gain shows that the targets are
-out of reach. A round is one row of sums over a narrow stored table; the driver sees
+out of reach. A round is a row or two of sums over a narrow stored table; the driver sees
 vectors and matrices as long as the list of domains. As posteriors are all a rate
 depends on, rates are an expression over stored columns. Misses are logged.
 
@@ -37,10 +37,11 @@ from functools import reduce
 from operator import add
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import saved, words
+from topicloom.llm.common import by_hash, saved, words
+from topicloom.session import drop_path, work_path
 
 log = logging.getLogger(__name__)
 
@@ -50,7 +51,8 @@ SAMPLE_ROWS = 20_000
 # standard errors; others only say how long a text is.
 MIN_LIFT, MIN_Z = 2.0, 5.0
 MAX_ROUNDS, TOLERANCE = 20, 1e-3
-NEWTON_ROUNDS = 150
+SCALED_ROUNDS = 100
+DAMPING = [10.0 ** (-k / 2) for k in range(18)]
 # Out of reach: other rates could lower the squared distance by this part at most.
 MIN_GAIN = 1e-2
 # A domain with less than this part of its target would be some documents a thousand times.
@@ -70,8 +72,8 @@ def membership_weights(docs: DataFrame, labelled: DataFrame, domains: list[str],
     taught. A fixed size, whatever the corpus."""
     some = (labelled.where(F.col("domain").isin(domains) & F.col(id_col).isNotNull())
             .select(F.col(id_col).alias("_id"), (F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1)
-                    .cast("int").alias("_k"))
-            .orderBy(F.xxhash64("_id"), "_id", "_k").limit(sample_rows))
+                    .cast("int").alias("_k")))
+    some = by_hash(some, sample_rows, "_id").orderBy(F.xxhash64("_id"), "_id", "_k").limit(sample_rows)
     # Bucket -1 stands for the document itself.
     found = (docs.join(F.broadcast(some), F.col(id_col) == F.col("_id"))
              .select("_k", F.explode(F.array_append(F.array_distinct(traits(F.col(text_col), words(F.col(text_col)))),
@@ -122,13 +124,15 @@ def _sum_of(weights: list[float]) -> Column:
 @dataclass
 class Fit:
     """Rates as an expression over ``_p0``...; totals reached and wanted, by domain;
-    whether these are the closest totals there are, within the tolerance."""
+    whether these are the closest totals there are, within the tolerance; whether it is
+    proven that no rates reach the targets."""
 
     rate: Column
     reached: list[float]
     wanted: list[float]
     rounds: int
     converged: bool = True
+    out_of_reach: bool = False
 
 
 def fit_rates(posteriors: DataFrame, shares: list[float], *, total: float | None = None,
@@ -163,7 +167,7 @@ def fit_rates(posteriors: DataFrame, shares: list[float], *, total: float | None
     miss = lambda totals: float((np.abs(totals - wanted) / scale)[counts].max(initial=0.0))
     before = np.inf
     while (error := miss(reached)) > tolerance and rounds < max_rounds:
-        # Errors shrink by a factor a round; too slow for the rounds left, Newton takes over.
+        # Errors shrink by a factor a round; too slow for the rounds left, scaled steps take over.
         if rounds > 2 and (error >= before or error * (error / before) ** (max_rounds - rounds) > tolerance):
             break
         step = inverse @ (reached - wanted)
@@ -173,58 +177,62 @@ def fit_rates(posteriors: DataFrame, shares: list[float], *, total: float | None
         reached = np.array(posteriors.agg(*sums).first(), float)
     if error <= tolerance or not have.sum():
         return Fit(rate, reached.tolist(), wanted.tolist(), rounds)
-    return _newton(posteriors, p, have, wanted, spread, inverse, miss, tolerance, rounds)
+    return _scaled(posteriors, p, rate, reached, have, wanted, spread, inverse, miss, tolerance, rounds)
 
 
-def _newton(posteriors: DataFrame, p: list[Column], have: np.ndarray, wanted: np.ndarray, spread: np.ndarray,
-            inverse: np.ndarray, miss: Callable[[np.ndarray], float], tolerance: float, rounds: int) -> Fit:
-    """Rates max(0, 1 + p x multipliers), by damped Newton steps in the multipliers."""
+def _scaled(posteriors: DataFrame, p: list[Column], rate: Column, reached: np.ndarray, have: np.ndarray, wanted: np.ndarray,
+            spread: np.ndarray, inverse: np.ndarray, miss: Callable[[np.ndarray], float], tolerance: float, rounds: int) -> Fit:
+    """Projected gradient whose steps are scaled by the moments of the documents that still
+    have a rate above 0, with a part of all documents' moments (``DAMPING``); of these
+    steps, tried in one pass, the one that ends closest is taken."""
     domains = len(p)
     used = np.diag(spread) > 0
+    total = lambda parts: reduce(add, parts)
+    far = lambda totals: float((totals - wanted) @ inverse @ (totals - wanted)) / 2
+    size, ended, lost = float(wanted @ inverse @ wanted), False, False
+    limit = rounds + SCALED_ROUNDS
+    spark = posteriors.sparkSession
+    # Rates so far are a column of a narrow table, or a round would compute all before it.
+    now, path = _stored_rates(posteriors, p, rate)
+    while rounds < limit and not (ended := miss(reached) <= tolerance):
+        pull = inverse @ (wanted - reached)
+        held = F.when(F.col("_rate") > 0, F.col("_tokens")).otherwise(F.lit(0.0))
+        top = F.max(F.when(F.col("_tokens") > 0, total([c * float(y) for c, y in zip(p, pull)])))
+        row = now.agg(top, *[F.sum(held * p[i] * p[j]) for i in range(domains) for j in range(i, domains)]).first()
+        # What could any rates gain? Their totals R lie in the cone of the posteriors, so that
+        # R x pull is at most their tokens times the largest posterior x pull.
+        gain = max(0.0, float(row[0])) * np.sqrt(have.sum() * size) - float(reached @ pull)
+        if gain <= MIN_GAIN * far(reached) + 1e-12 * size:
+            ended = lost = True
+            break
+        free = np.zeros((domains, domains))
+        free[np.triu_indices(domains)] = np.array(row[1:], float)
+        free = (free + np.triu(free, 1).T) * np.outer(used, used)
+        steps = [np.linalg.pinv(free + part * spread, rcond=1e-12, hermitian=True) @ (reached - wanted) for part in DAMPING]
+        steps = [np.where(used, step, 0.0) for step in steps]
+        moved = [F.expr("greatest(0D, _rate - (" + " + ".join(f"_p{k} * {float(s)!r}D" for k, s in enumerate(step)) + "))")
+                 for step in steps]
+        tried = now.select("*", *[(F.col("_tokens") * m).alias(f"_r{n}") for n, m in enumerate(moved)])
+        sums = np.array(tried.agg(*[F.expr(f"sum(_r{n} * _p{k})") for n in range(len(steps)) for k in range(domains)])
+                        .first(), float)
+        ends = sums.reshape(len(steps), domains)
+        best = min(range(len(steps)), key=lambda n: far(ends[n]))
+        rounds += 1
+        if far(ends[best]) >= far(reached) * (1 - 1e-9):
+            break
+        rate = F.greatest(F.lit(0.0), rate - total([c * float(s) for c, s in zip(p, steps[best])]))
+        reached = ends[best]
+        before, (now, path) = path, _stored_rates(now, p, moved[best])
+        drop_path(spark, before)
+    drop_path(spark, path)
+    return Fit(rate, reached.tolist(), wanted.tolist(), rounds, ended, lost)
+
 
-    def raw(multipliers: np.ndarray) -> Column:
-        return F.lit(1.0) + reduce(add, [c * float(m) for c, m in zip(p, multipliers)])
-
-    def sums_at(multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        stored = posteriors.withColumn("_raw", raw(multipliers))
-        weight = F.when(F.col("_raw") > 0, F.col("_tokens")).otherwise(F.lit(0.0))
-        row = np.array(stored.agg(*[F.sum(weight * F.col("_raw") * c) for c in p], F.sum(weight * F.col("_raw") ** 2 / 2),
-                                  *[F.sum(weight * p[i] * p[j]) for i in range(domains) for j in range(i, domains)]).first(), float)
-        bend = np.zeros((domains, domains))
-        bend[np.triu_indices(domains)] = row[domains + 1 :]
-        return row[:domains], (bend + np.triu(bend, 1).T) * np.outer(used, used), row[domains]
-
-    size = float(wanted @ inverse @ wanted)
-    at = centre = np.zeros(domains)
-    now, near, ended = sums_at(at), 1e-3, False
-    limit = rounds + NEWTON_ROUNDS
-    while rounds < limit:
-        slope = np.where(used, now[0] - wanted + near * spread @ (at - centre), 0.0)
-        if miss(now[0]) <= tolerance or miss(wanted + slope) <= 0.1 * tolerance:
-            # Best multipliers for this centre. What could any rates gain? Their totals R lie
-            # in the cone of the posteriors, so that R x pull is at most their tokens times
-            # the largest posterior x pull.
-            pull = inverse @ (wanted - now[0])
-            top = posteriors.where("_tokens > 0").agg(F.max(reduce(add, [c * float(y) for c, y in zip(p, pull)]))).first()[0]
-            gain = max(0.0, float(top)) * np.sqrt(have.sum() * size) - float(now[0] @ pull)
-            distance = float((wanted - now[0]) @ pull) / 2
-            if miss(now[0]) <= tolerance or gain <= MIN_GAIN * distance + 1e-12 * size:
-                ended = True
-                break
-            centre, near = at, max(near / 10, 1e-9)
-            slope = np.where(used, now[0] - wanted, 0.0)
-        bend = now[1] + near * spread
-        step = -np.linalg.pinv(bend, rcond=1e-14, hermitian=True) @ slope
-        value = lambda x, sums: sums[2] - wanted @ x + near / 2 * (x - centre) @ spread @ (x - centre)
-        start, length = value(at, now), 1.0
-        while rounds < limit:
-            rounds += 1
-            then = sums_at(at + length * step)
-            if value(at + length * step, then) <= start + 1e-4 * length * (slope @ step) + 1e-12 * abs(start) or length < 1e-6:
-                break
-            length /= 2
-        at, now = at + length * step, then
-    return Fit(F.greatest(F.lit(0.0), raw(at)), now[0].tolist(), wanted.tolist(), rounds, ended)
+def _stored_rates(rows: DataFrame, p: list[Column], rate: Column) -> tuple[DataFrame, str]:
+    path = work_path(rows.sparkSession, "llm-rates")
+    narrow = rows.select("_tokens", *p, rate.alias("_rate"))
+    narrow.write.parquet(path)
+    return rows.sparkSession.read.schema(narrow.schema).parquet(path), path
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **options) -> DataFrame:
@@ -245,12 +253,19 @@ def mixed_and_fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float
     totals = ", ".join(f"{d} {r:.6g} of {w:.6g}" for d, r, w in zip(domains, fit.reached, fit.wanted))
     missed = any(abs(r - w) > TOLERANCE * w for r, w in zip(fit.reached, fit.wanted))
     log.log(logging.WARNING if missed else logging.INFO, "mixing, tokens reached of wanted: %s; %d rounds%s", totals,
-            fit.rounds, "" if fit.converged else ", not converged")
+            fit.rounds, ", out of reach" if fit.out_of_reach else "" if fit.converged else ", not converged")
     p = [F.col(f"_p{k}") for k in range(len(domains))]
     posterior = F.array(*p)
     domain = F.get(F.array(*map(F.lit, domains)), F.array_position(posterior, F.array_max(posterior)).cast("int") - 1)
     out = stored.withColumns({"n_tokens": F.col("_tokens"), "domain": domain, "posterior": posterior, "rate": fit.rate})
-    return out.drop("_tokens", *[f"_p{k}" for k in range(len(domains))]), fit
+    out = out.drop("_tokens", *[f"_p{k}" for k in range(len(domains))])
+    return out, fit
+
+
+def totals(spark: SparkSession, targets: dict[str, float], fit: Fit) -> DataFrame:
+    """Expected tokens ``wanted`` and ``reached`` of each domain, and ``out_of_reach``."""
+    rows = [(d, float(w), float(r), fit.out_of_reach) for d, w, r in zip(targets, fit.wanted, fit.reached)]
+    return spark.createDataFrame(rows, "domain string, wanted double, reached double, out_of_reach boolean")
 
 
 def copies(rate: Column, *keys: Column, seed: int = 13) -> Column:

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.llm.common import by_hash
+
 SAMPLE_ROWS = 20_000
 MIN_WORDS = 50
 # A rule must be this precise on rows it was not grown from.
@@ -199,7 +201,8 @@ def rules_from(stats: DataFrame, labels: DataFrame, *, counts: str = "_counts",
     of = features(F.col(counts))
     known = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
              .where(F.col("_label").isNotNull()))
-    rows = (stats.where(~base_failed(F.col(counts))).join(known, F.col(id_col) == F.col("_id"))
+    passed = stats.where(~base_failed(F.col(counts))).join(known, F.col(id_col) == F.col("_id"))
+    rows = (by_hash(passed, sample_rows, id_col)
             .select(F.xxhash64(id_col).alias("_h"), "_label", *[c.alias(name) for name, c in of.items()])
             .orderBy("_h", "_label", *of).limit(sample_rows).toPandas())
     return learn({name: rows[name].to_numpy(np.float64) for name in of}, (rows["_label"] == 0).to_numpy())

@@ -96,8 +96,10 @@ def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    stored = mixing.mixed(docs, labelled_domains(table(spark, folder, "labels")), DOMAINS, keep_text=False)
-    return stored.select("doc_id", "n_tokens", "domain", "posterior", "rate")
+    stored, fit = mixing.mixed_and_fit(docs, labelled_domains(table(spark, folder, "labels")), DOMAINS, keep_text=False)
+    totals = {name: F.array(*map(F.lit, of)) for name, of in (("wanted", fit.wanted), ("reached", fit.reached))}
+    return stored.withColumns(totals | {"out_of_reach": F.lit(fit.out_of_reach)}).select(
+        "doc_id", "n_tokens", "domain", "posterior", "rate", "wanted", "reached", "out_of_reach")
 
 
 def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
