@@ -123,8 +123,8 @@ def test_article_refresh_job(spark):
     assert {r.article_id: r.embedded_at for r in again.collect()} == {1: AT, 2: None}
 
 
-@pytest.mark.parametrize("chunk_rows", [4096, 15])
-def test_streamed_clusters_equal_the_batch_job(spark, tmp_path, chunk_rows):
+@pytest.mark.parametrize("chunk_rows,fold_every", [(4096, 16), (15, 1), (4096, 2)])
+def test_streamed_clusters_equal_the_batch_job(spark, tmp_path, chunk_rows, fold_every):
     vectors = brute.planted(5, 90, 8, 0.3, seed=2)
     rows = [("a" if i % 3 else "b", 1, i, None, None, v.tolist()) for i, v in enumerate(vectors)]
     inbox = str(tmp_path / "inbox")
@@ -133,8 +133,9 @@ def test_streamed_clusters_equal_the_batch_job(spark, tmp_path, chunk_rows):
         tickets(spark, rows[low:high]).write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(SCHEMA).parquet(inbox)
         stream_leaders(stream, str(tmp_path / "out"), str(tmp_path / "offsets"), 0.6,
-                       chunk_rows=chunk_rows).awaitTermination()
-    got = {(r.account_id, r.ticket_id): r.cluster_id for r in streamed_members(spark, str(tmp_path / "out")).collect()}
+                       chunk_rows=chunk_rows, fold_every=fold_every).awaitTermination()
+    got = {(r.account_id, r.ticket_id): r.cluster_id for r in streamed_members(
+        spark, str(tmp_path / "out"), tickets(spark, rows)).collect()}
     want = {}
     for account in "ab":
         mine = [(r[2], r[5]) for r in rows if r[0] == account]
@@ -143,3 +144,37 @@ def test_streamed_clusters_equal_the_batch_job(spark, tmp_path, chunk_rows):
     clusters = streamed_clusters(spark, str(tmp_path / "out"), tickets(spark, rows)).collect()
     held = {(r.account_id, r.cluster_id): r.member_count for r in clusters}
     assert held == {g: list((a, c) for (a, _), c in want.items()).count(g) for g in {(a, c) for (a, _), c in want.items()}}
+
+
+def test_streamed_state_read_by_a_batch_does_not_grow(spark, tmp_path):
+    """Thirteen batches of one account, after others that stay idle; some are replayed."""
+    from topicloom.operators.leader import CLUSTER, MEMBER, leader_pass
+    from topicloom.streaming.leader import BucketState
+
+    out, vectors = str(tmp_path / "out"), brute.planted(4, 130, 6, 0.3, seed=3)
+    rows = [("idle%d" % i, 1, i, None, None, vectors[i].tolist()) for i in range(30)]
+    rows += [("busy", 1, i, None, None, v.tolist()) for i, v in enumerate(vectors[30:], 30)]
+    table = tickets(spark, rows).select("account_id", "run_id", "ticket_id", "embedding")
+    fields = [table.schema[k] for k in ("account_id", "run_id")]
+    state = BucketState(spark, out, ("account_id", "run_id"), fields, 16)
+    busy = table.where("account_id = 'busy'").select(state.bucket()).first()[0]
+    seen = []
+    for n, (low, high) in enumerate([(0, 30)] + [(k, k + 8) for k in range(30, 126, 8)]):
+        part = table.where(f"ticket_id >= {low} and ticket_id < {high}")
+        for _ in range(2 if n in (4, 5, 8) else 1):  # a replayed batch folds and appends again
+            if n and n % 4 == 0:
+                state.fold(n, 4)
+            clusters = state.clusters([busy], n, n).drop("bucket").where("account_id = 'busy'") if n else None
+            state.append(leader_pass(part, 0.6, state=clusters).placed, n)
+        seen.append([len(state.read(kind, [busy], n, n).inputFiles()) for kind in (MEMBER, CLUSTER)] if n else [0, 0])
+    folders = [sum(map(len, state.folders(MEMBER, [busy], n + 1, n + 1))) for n in (12,)]
+    assert folders[0] <= 5 and len(state.batches(99)) <= 8
+    assert max(seen[-4:]) <= max(seen[5:9])  # not more files than four batches before
+    got = {(r.account_id, r.ticket_id): r.cluster_id for r in streamed_members(spark, out, table).collect()}
+    mine = [(r[2], r[5]) for r in rows if r[0] == "busy" and r[2] < 126]
+    want = {("busy", t): c for t, c in brute.leaders(mine, 0.6).items()} | {("idle%d" % i, i): i for i in range(30)}
+    assert got == want
+    held = {(r.account_id, r.cluster_id): r.member_count for r in streamed_clusters(spark, out, table).collect()}
+    assert held == {g: [(a, c) for (a, _), c in want.items()].count(g) for g in {(a, c) for (a, _), c in want.items()}}
+    with pytest.raises(ValueError, match="has 16 buckets"):
+        BucketState(spark, out, ("account_id", "run_id"), fields, 32)

@@ -40,7 +40,7 @@ def leader_clusters_stream(spark: SparkSession, folder: str) -> DataFrame:
         stream = spark.readStream.schema(vectors.schema).parquet(f"{work}/inbox")
         stream_leaders(stream, f"{work}/out", f"{work}/offsets",
                        tables.TABLE_THRESHOLD).awaitTermination()
-    return streamed_members(spark, f"{work}/out").select("account_id", "ticket_id", "cluster_id")
+    return streamed_members(spark, f"{work}/out", vectors).select("account_id", "ticket_id", "cluster_id")
 
 
 def clustered_split(spark: SparkSession, folder: str) -> DataFrame:
