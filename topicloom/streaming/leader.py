@@ -174,17 +174,17 @@ def stream_leaders(tickets: DataFrame, path: str, checkpoint: str,
         state = BucketState(spark, path, keys, key_fields, buckets)
         if batch_id and batch_id % fold_every == 0:
             state.fold(batch_id, fold_every)
-        # The batch is read more than once below; a table keeps that cheap.
-        arrived_path = f"{path}/arrived"
-        fresh = batch.select(*keys, id_col, vector_col).dropDuplicates([*keys, id_col])
-        fresh.write.mode("overwrite").parquet(arrived_path)
-        arrived = spark.read.schema(fresh.schema).parquet(arrived_path)
+        arrived = batch.select(*keys, id_col, vector_col).dropDuplicates([*keys, id_col])
         clusters = None
         if batch_id:
             # At most as many rows as there are buckets.
-            here = [row[0] for row in arrived.select(state.bucket()).distinct().collect()]
+            here = [row[0] for row in batch.select(state.bucket()).distinct().collect()]
             before = state.read(MEMBER, here, batch_id, batch_id).select(*keys, F.col("id").alias(id_col))
             arrived = arrived.join(before, [*keys, id_col], "left_anti")
+        # The arrivals are read more than once below; a table keeps that cheap.
+        arrived.write.mode("overwrite").parquet(f"{path}/arrived")
+        arrived = spark.read.schema(arrived.schema).parquet(f"{path}/arrived")
+        if batch_id:
             clusters = state.clusters(here, batch_id, batch_id).drop("bucket").join(
                 arrived.select(*keys).distinct(), keys, "left_semi")
         result = leader_pass(arrived, threshold, keys, id_col, vector_col, clusters, chunk_rows)
