@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pytest
 
-from topicloom.operators.nearest import assign_to_centroids, nearest, nearest_by_cells, recall
+from topicloom.operators.nearest import assign_to_centroids, nearest
 
 Q = "account_id string, query_id long, query_vector array<double>"
 I = "account_id string, item_id long, item_vector array<double>"
@@ -68,44 +68,12 @@ def test_scopes_of_two_columns_and_nulls(spark, options):
     assert sorted((r.query_id, r.item_id) for r in got) == [(1, 7), (2, 8)]
 
 
-def test_cells_reach_the_exact_result_when_all_are_probed(spark):
-    queries, items = data(2)
-    df = nearest_by_cells(*frames(spark, queries, items), 5, lists=6, probes=6)
-    assert found(df) == expected(queries, items, 5)
-
-
-def test_cells_recall_grows_with_probes(spark):
-    rng = np.random.default_rng(4)
-    queries = [("a", i, v) for i, v in enumerate(rng.normal(size=(50, 8)))]
-    items = [("a", i, v) for i, v in enumerate(rng.normal(size=(200, 8)))]
-    exact = expected(queries, items, 5)
-
-    def share(probes):
-        both = frames(spark, queries, items)
-        row = recall(nearest_by_cells(*both, 5, lists=10, probes=probes), nearest(*both, 5)).first()
-        assert row.pairs == 5 * len(exact)
-        return row.recall
-
-    low, high = share(1), share(5)
-    assert 0.2 < low < high <= 1.0
-
-
-def test_cells_never_leave_a_query_short(spark):
-    rng = np.random.default_rng(6)
-    queries = [(a, i, v) for a in "ab" for i, v in enumerate(rng.normal(size=(30, 8)))]
-    items = [(a, i, v) for a in "ab" for i, v in enumerate(rng.normal(size=(5 if a == "a" else 60, 8)))]
-    both = frames(spark, queries, items)
-    counts = nearest_by_cells(*both, 5, lists=20, probes=2).groupBy("account_id", "query_id").count().collect()
-    assert len(counts) == 60 and {r["count"] for r in counts} == {5}
-
-
 def test_ids_may_repeat_across_accounts(spark):
     queries = [(a, 1, v) for a, v in (("a", (1, 0)), ("b", (0, 1)))]
     items = [(a, i, v) for a in "ab" for i, v in enumerate([(1, 0), (0, 1), (1, 1)])]
     both = frames(spark, queries, items)
     want = {("a", 1): [0, 2, 1], ("b", 1): [1, 2, 0]}
     assert found(nearest(*both, 3)) == want
-    assert found(nearest_by_cells(*both, 3, lists=2, probes=2)) == want
 
 
 def test_assignment(spark):

@@ -1,4 +1,4 @@
-"""Exact and approximate nearest neighbours by cosine distance.
+"""Exact nearest neighbours by cosine distance.
 
 Exact search compares every query with every item of its scope; that is what
 exactness in many dimensions takes. It is done as matrix products on bounded
@@ -18,15 +18,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from topicloom.functions.arrow import constant, matrix
-from topicloom.session import work_path
 
 DEFAULT_K = 5
 BROADCAST_BYTES = 64 << 20
@@ -35,7 +32,7 @@ TIE_DECIMALS = 9
 _CELLS_AT_ONCE = 8_000_000
 
 
-def _unit_rows(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def unit_rows(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
     rows = matrix(vectors)
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
@@ -62,13 +59,13 @@ def _top_k(queries: np.ndarray, items: np.ndarray, k: int):
 
 def _item_block(items: pa.Table) -> tuple[pa.Array, np.ndarray]:
     items = items.sort_by("item_id")
-    return items["item_id"].combine_chunks(), _unit_rows(items["item_vector"])
+    return items["item_id"].combine_chunks(), unit_rows(items["item_vector"])
 
 
 def _pairs(queries: pa.Table, block: tuple[pa.Array, np.ndarray], k: int,
            scope: dict[str, object], schema: pa.Schema) -> Iterator[pa.Table]:
     item_ids, items = block
-    for rows, cols, distance in _top_k(_unit_rows(queries["query_vector"]), items, k):
+    for rows, cols, distance in _top_k(unit_rows(queries["query_vector"]), items, k):
         found = {name: constant(value, len(rows), schema.field(name).type)
                  for name, value in scope.items()}
         found["query_id"] = queries["query_id"].take(rows)
@@ -77,7 +74,7 @@ def _pairs(queries: pa.Table, block: tuple[pa.Array, np.ndarray], k: int,
         yield pa.table(found).select(schema.names).cast(schema)
 
 
-def _by_scope(rows: pa.Table, on: Sequence[str]) -> Iterator[tuple[tuple, pa.Table]]:
+def by_scope(rows: pa.Table, on: Sequence[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Rows of each scope; nulls never match, as in an equi-join."""
     for name in on:
         rows = rows.filter(pc.is_valid(rows[name]))
@@ -145,14 +142,14 @@ def _bytes_of(items: DataFrame) -> int:
 
 def _against_broadcast(queries: DataFrame, items: DataFrame, k: int, on: list[str]) -> DataFrame:
     """Items are known to be small: one copy per executor, no shuffle of queries."""
-    blocks = {key: _item_block(rows) for key, rows in _by_scope(items.toArrow(), on)}
+    blocks = {key: _item_block(rows) for key, rows in by_scope(items.toArrow(), on)}
     shared = queries.sparkSession.sparkContext.broadcast(blocks)
     schema = _result_schema(queries, items, on)
     arrow_schema = to_arrow_schema(schema)
 
     def search(batches):
         for batch in batches:
-            for key, rows in _by_scope(pa.Table.from_batches([batch]), on):
+            for key, rows in by_scope(pa.Table.from_batches([batch]), on):
                 block = shared.value.get(key)
                 if block is not None:
                     scope = dict(zip(on, key, strict=True))
@@ -229,75 +226,6 @@ def assign_to_centroids(
     )
 
 
-def nearest_by_cells(
-    queries: DataFrame,
-    items: DataFrame,
-    k: int = DEFAULT_K,
-    lists: int = 100,
-    probes: int = 8,
-    on: Sequence[str] = ("account_id",),
-    query_id: str = "query_id",
-    query_vector: str = "query_vector",
-    item_id: str = "item_id",
-    item_vector: str = "item_vector",
-    seed: int = 1,
-    **search: int,
-) -> DataFrame:
-    """Approximate search: only items in the ``probes`` closest cells are scanned.
-
-    The cells come from k-means over all items; within a cell the exact search
-    above is used, blocks included, so one crowded cell is still split. A query that
-    finds fewer than ``k`` there, though its scope holds more, is searched exactly.
-    """
-    celled, centers = build_cells(items, lists, item_vector, seed)
-    return search_cells(queries, celled, centers, k, probes, on, query_id, query_vector, item_id, item_vector, **search)
-
-
-def build_cells(items: DataFrame, lists: int = 100, item_vector: str = "item_vector",
-                seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Items with their cell, stored, and the centres of the cells; for many searches."""
-    usable = _stored(items.filter(F.col(item_vector).isNotNull()), "cell-items").withColumn(
-        "_features", array_to_vector(item_vector))
-    model = KMeans(k=lists, seed=seed, distanceMeasure="cosine", maxIter=10,
-                   featuresCol="_features", predictionCol="cell").fit(usable)
-    centers = items.sparkSession.createDataFrame(
-        [(i, [float(x) for x in center]) for i, center in enumerate(model.clusterCenters())],
-        "item_id int, item_vector array<double>")
-    return _stored(model.transform(usable).drop("_features"), "cells"), centers
-
-
-def _stored(df: DataFrame, purpose: str) -> DataFrame:
-    spark = df.sparkSession
-    path = work_path(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def search_cells(queries: DataFrame, celled: DataFrame, centers: DataFrame, k: int = DEFAULT_K, probes: int = 8,
-                 on: Sequence[str] = ("account_id",), query_id: str = "query_id", query_vector: str = "query_vector",
-                 item_id: str = "item_id", item_vector: str = "item_vector", **search: int) -> DataFrame:
-    """Search over cells from ``build_cells``."""
-    on = list(on)
-    # Ids need only be unique within their scope.
-    keyed = queries.withColumn("_key", F.struct(*on, query_id))
-    near = nearest(keyed, centers, probes, [], "_key", query_vector)
-    probed = keyed.join(
-        near.select(F.col("query_id").alias("_key"), F.col("item_id").alias("cell")), "_key")
-    found = nearest(probed, celled, k, [*on, "cell"], query_id, query_vector,
-                    item_id, item_vector, **search)
-    close = _stored(best_per_query(found.drop("rank", "cell"), k, on), "close")
-    # Cells that hold too few of a query's scope leave it short: those queries search all.
-    scope = celled.groupBy(*on).agg(F.count(F.lit(1)).alias("_held"))
-    have = close.groupBy(*on, "query_id").agg(F.count(F.lit(1)).alias("_have"))
-    asked = queries.withColumn("query_id", F.col(query_id)).join(have, [*on, "query_id"], "left").join(scope, on)
-    enough = F.coalesce("_have", F.lit(0)) >= F.least(F.col("_held"), F.lit(k))
-    short = asked.filter(~enough).select(*queries.columns)
-    full = asked.filter(enough).select(*on, "query_id")
-    rest = nearest(short, celled.drop("cell"), k, on, query_id, query_vector, item_id, item_vector, **search)
-    kept = close.join(full, [*on, "query_id"], "left_semi")
-    return kept.unionByName(rest.select(*kept.columns))
-
-
 def recall(approximate: DataFrame, exact: DataFrame, on: Sequence[str] = ("account_id",)) -> DataFrame:
     """Share of the exact pairs that the approximate search found, in one row."""
     pair = [*on, "query_id", "item_id"]

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions import vectors as V
+from topicloom.operators.cells import build_index
 from topicloom.operators.nearest import assign_to_centroids as assign
-from topicloom.operators.nearest import nearest, nearest_by_cells
+from topicloom.operators.nearest import nearest, recall
 from topicloom.scope import published_and_embedded
+from topicloom.session import work_path
 from topicloom.sources import tables
 
 ASSIGN_THRESHOLD = 0.2
+CELLS, CELL_SHARE = 20, 75
 
 
 def r6(value: Column) -> Column:
@@ -87,15 +90,29 @@ def article_knn_grid(spark: SparkSession, folder: str) -> DataFrame:
                         r6(F.col("distance")).alias("distance"), "rank")
 
 
+def _by_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Search over a stored index to which every third article is appended later."""
+    articles = published_and_embedded(tables.vector_articles(spark, folder)).select(
+        "account_id", F.col("article_id").alias("item_id"), F.col("embedding").alias("item_vector"))
+    late = F.col("item_id") % 3 == 0
+    index = build_index(articles.filter(~late), work_path(spark, "cells"), CELLS)
+    index.append(articles.filter(late), 1)
+    return index.search(tables.vectors(spark, folder), 5, CELL_SHARE, "ticket_id", "embedding")
+
+
 def article_knn_ivf(spark: SparkSession, folder: str) -> DataFrame:
-    """Approximate search over cells."""
+    """Approximate search over stored cells."""
+    return _by_cells(spark, folder).select(
+        "account_id", F.col("query_id").alias("ticket_id"), F.col("item_id").alias("article_id"),
+        r6(F.col("distance")).alias("distance"), "rank")
+
+
+def article_knn_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of the exact neighbours that the search over cells finds."""
     articles = published_and_embedded(tables.vector_articles(spark, folder))
-    found = nearest_by_cells(tables.vectors(spark, folder), articles, 5, lists=20, probes=4,
-                             on=["account_id"], query_id="ticket_id", query_vector="embedding",
-                             item_id="article_id", item_vector="embedding")
-    return found.select("account_id", F.col("query_id").alias("ticket_id"),
-                        F.col("item_id").alias("article_id"),
-                        r6(F.col("distance")).alias("distance"), "rank")
+    exact = nearest(tables.vectors(spark, folder), articles, 5, ["account_id"],
+                    "ticket_id", "embedding", "article_id", "embedding")
+    return recall(_by_cells(spark, folder), exact).select("pairs", "found", r6(F.col("recall")).alias("recall"))
 
 
 def assign_to_centroids(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,6 +134,7 @@ QUERIES = {
     "article_knn": article_knn,
     "article_knn_grid": article_knn_grid,
     "article_knn_ivf": article_knn_ivf,
+    "article_knn_recall": article_knn_recall,
     "assign_to_centroids": assign_to_centroids,
 }
 
@@ -124,6 +142,37 @@ QUERIES = {
 
 _E = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
 
+_UNIT = "list_transform({v}, lambda x: x / sqrt(list_inner_product({v}, {v})))"
+
+# Centres from the articles of the first batch, then all articles by cell, then the cells a ticket visits.
+_CELLS = f"""
+e AS (SELECT CAST(label AS VARCHAR) AS account_id, vec_id, {_UNIT.format(v="v")} AS u FROM ({_E})),
+a AS (SELECT e.account_id, e.vec_id AS article_id, e.u FROM pages p JOIN e ON e.vec_id = p.page_id
+      WHERE NOT contains(p.url, '#')),
+f AS (SELECT * FROM a WHERE article_id % 3 <> 0),
+s AS (SELECT row_number() OVER (ORDER BY md5(account_id || '|' || article_id)) - 1 AS cell, u FROM f),
+b AS (SELECT f.article_id, f.u, s.cell FROM f JOIN s ON s.cell < {CELLS}
+      QUALIFY row_number() OVER (PARTITION BY f.article_id
+                                 ORDER BY round(list_inner_product(f.u, s.u), 9) DESC, s.cell) = 1),
+bx AS (SELECT cell, unnest(u) AS x, unnest(range(len(u))) AS position FROM b),
+bs AS (SELECT cell, position, sum(CAST(round(x * 4294967296) AS BIGINT)) / 4294967296.0 AS x FROM bx GROUP BY 1, 2),
+bv AS (SELECT cell, list(CAST(x AS DOUBLE) ORDER BY position) AS v FROM bs GROUP BY 1),
+c AS (SELECT cell, {_UNIT.format(v="v")} AS u FROM bv),
+i AS (SELECT a.*, c.cell FROM a CROSS JOIN c
+      QUALIFY row_number() OVER (PARTITION BY a.article_id
+                                 ORDER BY round(list_inner_product(a.u, c.u), 9) DESC, c.cell) = 1),
+h AS (SELECT account_id, cell, count(*) AS held FROM i GROUP BY 1, 2),
+t AS (SELECT account_id, sum(held) AS held FROM h GROUP BY 1),
+o AS (SELECT e.account_id, e.vec_id, e.u, h.cell, t.held AS every, coalesce(sum(h.held) OVER (
+             PARTITION BY e.vec_id ORDER BY round(list_inner_product(e.u, c.u), 9) DESC, h.cell
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM e JOIN h USING (account_id) JOIN t USING (account_id) JOIN c ON c.cell = h.cell),
+n AS (SELECT o.account_id, o.vec_id AS ticket_id, i.article_id, 1 - list_inner_product(o.u, i.u) AS distance
+      FROM o JOIN i ON i.account_id = o.account_id AND i.cell = o.cell
+      WHERE o.before < greatest(5, ceil(o.every * {CELL_SHARE} / 100))),
+r AS (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY round(distance, 9), article_id) AS rank
+      FROM n QUALIFY rank <= 5)"""
+
 ORACLES = {
     "cosine_pairs": f"""
 WITH e AS ({_E})
@@ -170,6 +219,16 @@ d AS (SELECT q.account_id, q.vec_id AS ticket_id, p.page_id AS article_id,
 r AS (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY round(distance, 9), article_id) AS rank FROM d)
 SELECT account_id, ticket_id, article_id, round(distance, 6) + 0.0 AS distance, CAST(rank AS INTEGER) AS rank
 FROM r WHERE rank <= 5""",
+    "article_knn_ivf": f"""
+WITH {_CELLS}
+SELECT account_id, ticket_id, article_id, round(distance, 6) + 0.0 AS distance, CAST(rank AS INTEGER) AS rank FROM r""",
+    "article_knn_recall": f"""
+WITH {_CELLS},
+x AS (SELECT e.account_id, e.vec_id AS ticket_id, a.article_id FROM e JOIN a USING (account_id)
+      QUALIFY row_number() OVER (PARTITION BY e.vec_id
+                                 ORDER BY round(1 - list_inner_product(e.u, a.u), 9), a.article_id) <= 5)
+SELECT count(*) AS pairs, count(r.article_id) AS found, round(count(r.article_id) / count(*), 6) + 0.0 AS recall
+FROM x LEFT JOIN r USING (account_id, ticket_id, article_id)""",
     "assign_to_centroids": f"""
 WITH e AS ({_E}),
 p AS (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS position FROM e),
