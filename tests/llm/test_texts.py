@@ -184,6 +184,23 @@ def test_ids_equal_the_library(spark):
     assert pieces.encoded(docs.limit(0), piece_model()).count() == 0
 
 
+def test_every_text_is_compared_with_the_library(spark):
+    texts = EDGES + ["plain words", "two  blanks", " lead", "▁ mark", "é☃", "ab" * 3000, None] * 20
+    rows = pieces.encoded(frame(spark, texts), piece_model(), digests_only=True).collect()
+    assert len(rows) == len(texts) and all(r["agrees"] is True for r in rows)
+
+
+def test_a_wrong_chunk_is_found_in_any_text():
+    model = pieces.Pieces(piece_model())
+    wrong = {"zebra", "zebra" * 30}
+    model.cache = pieces._Cache(lambda chunk: model.unknown if chunk in wrong else model.chunk_ids(chunk))
+    texts = ["a b", "the zebra runs", "c", f"a {'zebra' * 30}", "  zebra", "d e"]
+    for _ in range(2):  # the second time from the cache
+        assert model.checked(texts, 64)[2] == [True, False, True, False, True, True]
+    model.chunks = lambda text: ["zoo"]
+    assert model.checked(["a", "b c", "zoo"], 64)[2] == [False, False, True]
+
+
 def test_both_agendas_merge_alike():
     model, rng = pieces.loaded(piece_model()), random.Random(5)
     for _ in range(300):
