@@ -42,6 +42,8 @@ from topicloom.session import work_path
 DEFAULT_THRESHOLD = 0.70
 DEFAULT_MIN_SIZE = 2
 DEFAULT_CHUNK_ROWS = 16384
+# A group is cut into about so many chunks, as long as those stay below the default.
+CHUNKS_OF_A_GROUP = 32
 LEAST_LOOKAHEAD = 8
 COMPACT_AFTER = 4
 # Components are taken as multiples of this. Sums of such numbers are exact doubles up
@@ -226,10 +228,13 @@ def leader_pass(
 ) -> LeaderPass:
     """Cluster every group of ``df`` exactly; ``state`` continues earlier passes.
 
-    ``chunk_rows`` bounds what one task holds. ``lookahead`` is how many chunks
-    of a group are guessed side by side at most, by default one per core.
+    Groups above ``chunk_rows`` are cut into chunks of at least that many rows. As
+    each chunk costs a round or part of one, chunks of larger groups are longer, up
+    to ``DEFAULT_CHUNK_ROWS``, which bounds what one task holds (``chunk_rows``
+    does, if that is more). ``lookahead`` is how many chunks of a group are guessed
+    side by side at most, by default one per core.
 
-    Groups above ``chunk_rows`` run in rounds and are computed before this
+    Groups that are cut run in rounds and are computed before this
     returns, so hand in a stored table rather than a costly unsaved plan.
     """
     if lookahead is None:
@@ -240,9 +245,12 @@ def leader_pass(
     rows = df.filter(F.col(vector_col).isNotNull()).select(
         *keys, F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")
     )
-    large = rows.groupBy(*keys).count().filter(F.col("count") > chunk_rows).select(*keys)
-    if large.isEmpty():
+    large = rows.groupBy(*keys).count().filter(F.col("count") > chunk_rows)
+    most = large.agg(F.max("count")).first()[0]
+    if most is None:
         return LeaderPass(_one_stage(rows, state, keys, threshold), keys, id_col)
+    large = large.select(*keys)
+    chunk_rows = rows_of_a_chunk(most, chunk_rows)
 
     small = rows.join(large, list(keys), "left_anti")
     hot = rows.join(large, list(keys), "left_semi")
@@ -256,6 +264,11 @@ def leader_pass(
     return LeaderPass(placed.select(*columns).unionByName(settled.select(*columns)), keys, id_col)
 
 
+def rows_of_a_chunk(most: int, least: int) -> int:
+    """Rows of a chunk, where the largest group has ``most``."""
+    return max(least, min(DEFAULT_CHUNK_ROWS, -(-most // CHUNKS_OF_A_GROUP)))
+
+
 def _one_stage(rows: DataFrame, state: DataFrame | None, keys: Sequence[str],
                threshold: float) -> DataFrame:
     rows = rows.withColumn("step", F.lit(0).cast("long"))
