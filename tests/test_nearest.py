@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import brute
 import numpy as np
 import pytest
 
-from topicloom.operators.nearest import assign_to_centroids, nearest
+from topicloom.operators.nearest import BROADCAST_BYTES, _top_k, assign_to_centroids, nearest
 
 Q = "account_id string, query_id long, query_vector array<double>"
 I = "account_id string, item_id long, item_vector array<double>"
@@ -92,3 +94,16 @@ def test_mixed_lengths_are_an_error(spark):
     left, right = frames(spark, [("a", 1, (1, 0))], [("a", 1, (1, 0, 0))])
     with pytest.raises(Exception, match="vectors differ in length"):
         nearest(left, right, 1).collect()
+
+
+def test_a_block_holds_few_distances_at_a_time():
+    """Every Python worker of an executor does this at once, beside its copy of the items."""
+    rng = np.random.default_rng(2)
+    queries, items = rng.normal(size=(3000, 8)), rng.normal(size=(4000, 8))
+    tracemalloc.start()
+    found = [(rows, cols) for rows, cols, _ in _top_k(queries, items, 5)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and BROADCAST_BYTES <= 16 << 20
+    best = np.argsort(1 - queries @ items.T, axis=1, kind="stable")[:, :5]
+    assert np.concatenate([cols for _, cols in found]).reshape(-1, 5).tolist() == best.tolist()

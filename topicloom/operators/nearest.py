@@ -26,10 +26,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from topicloom.functions.arrow import constant, matrix
 
 DEFAULT_K = 5
-BROADCAST_BYTES = 64 << 20
+# A copy is held by every Python worker of an executor, and once more while it is read.
+BROADCAST_BYTES = 16 << 20
 BLOCK_ROWS = 4096
 TIE_DECIMALS = 9
-_CELLS_AT_ONCE = 8_000_000
+# Distances that a task works on at a time; it holds four arrays of that size.
+_CELLS_AT_ONCE = 1_000_000
 
 
 def unit_rows(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
