@@ -4,10 +4,12 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from topicloom.operators import gaps as G
 from topicloom.operators import labels as L
 from topicloom.operators import models as M
+from topicloom.operators import sizes
 
 
 def texts(spark, *values):
@@ -117,3 +119,22 @@ def test_review_funnel(spark):
                                    "account_id string, review_status string")
     got = {r.account_id: r.asDict() for r in G.review_funnel(drafts).collect()}
     assert got["a"] == {"account_id": "a", "pending_review": 0, "approved": 2, "rejected": 0, "published": 1}
+
+
+def test_best_words_are_found_by_small_tasks(spark, monkeypatch):
+    """A fixed number of tasks (four here) would each hold more, the larger the tables are."""
+    monkeypatch.setattr(sizes, "SMALL_TASK_BYTES", 1 << 13)
+    least = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    scores = spark.range(20_000).selectExpr(
+        "'a' AS account_id", "1L AS run_id", "id % 500 AS cluster_id", "cast(id AS string) AS term",
+        "cast(id AS double) AS score")
+    settings = [spark.conf.get(key, None) for key in (sizes.ADVISORY_BYTES, sizes.INITIAL_PARTS)]
+    spark.conf.set(least, "1")
+    try:
+        best = L.keywords(scores, 5)
+    finally:
+        spark.conf.unset(least)
+    assert settings == [spark.conf.get(key, None) for key in (sizes.ADVISORY_BYTES, sizes.INITIAL_PARTS)]
+    assert best.select(F.input_file_name()).distinct().count() > 4
+    got = {(r.cluster_id, r["rank"]): r.term for r in best.collect()}
+    assert got == {(c, r): str(20_000 - 500 * r + c) for c in range(500) for r in range(1, 6)}

@@ -15,6 +15,7 @@ from topicloom.functions.text import (
     parse_summary,
 )
 from topicloom.operators.models import Generate, generate_texts
+from topicloom.operators.sizes import saved_by_small_tasks
 
 # --- Fixed values: excerpt count and the label of a failed call ---
 REPRESENTATIVES = 5
@@ -92,9 +93,13 @@ def term_scores(texts: DataFrame, clusters: DataFrame, text_col: str = "text",
 
 
 def keywords(scores: DataFrame, count: int = 5, cluster: Sequence[str] = CLUSTER) -> DataFrame:
-    """Best words per cluster, ranked; equal scores go by the alphabet."""
+    """Best words per cluster, ranked; equal scores go by the alphabet.
+
+    Computed before this returns, as scores are many and the best few are few.
+    """
     order = Window.partitionBy(*cluster).orderBy(F.desc("score"), "term")
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count)
+    best = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count)
+    return saved_by_small_tasks(best, "keywords")
 
 
 def extractive_labels(scores: DataFrame, count: int = 3, cluster: Sequence[str] = CLUSTER) -> DataFrame:
