@@ -190,6 +190,13 @@ def test_every_text_is_compared_with_the_library(spark):
     assert len(rows) == len(texts) and all(r["agrees"] is True for r in rows)
 
 
+def test_the_pipeline_compares_every_text(spark):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.sentencepiece(spark, frame(spark, ["plain words", " two  blanks", "é☃", None] * 30), "").collect()
+    assert len(rows) == 120 and all(r["agrees"] is True for r in rows)
+
+
 def test_a_wrong_chunk_is_found_in_any_text():
     model = pieces.Pieces(piece_model())
     wrong = {"zebra", "zebra" * 30}
