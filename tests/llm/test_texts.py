@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from topicloom.llm import langid, licenses, mixing, neardup, pieces, quality
@@ -208,6 +209,17 @@ def test_a_wrong_chunk_is_found_in_any_text():
     assert model.checked(["a", "b c", "zoo"], 64)[2] == [False, False, True]
 
 
+def test_the_library_is_given_every_text_whole(tmp_path):
+    (tmp_path / "rules.tsv").write_text("62 20 61\t63\n")  # "b a" is read as "c", which no chunk shows
+    (tmp_path / "texts").write_text("ab ab ba ba cab xc\nx a b c abc\n" * 50)
+    sentencepiece.SentencePieceTrainer.train(
+        input=str(tmp_path / "texts"), model_prefix=str(tmp_path / "m"), vocab_size=20, model_type="bpe", minloglevel=2,
+        normalization_rule_tsv=str(tmp_path / "rules.tsv"), remove_extra_whitespaces=False, hard_vocab_limit=False)
+    model = pieces.Pieces(str(tmp_path / "m.model"))
+    for every in (1, 2, 64):
+        assert model.checked(["ab x", "ab ax", None, "a c"] * 3, every)[2] == [True, False, True, True] * 3
+
+
 def test_both_agendas_merge_alike():
     model, rng = pieces.loaded(piece_model()), random.Random(5)
     for _ in range(300):

@@ -7,11 +7,8 @@ encoded one by one, and repeated chunks only once per cache fill. Within a chunk
 agenda of adjacent symbol pairs, ordered by piece score and then by position, is
 worked off; characters without a piece become byte pieces.
 
-Every text is compared with the sentencepiece library. Its chunks are, when they enter
-the cache, and it has to decode to itself, so that the chunks are those of the text.
-Where that does not settle it (texts with other blanks than single ones between words,
-or a disputed chunk), and for some texts of every Arrow batch in any case, the library
-encodes the whole text.
+Every text is compared with the sentencepiece library, which encodes it whole: what holds
+of its chunks need not hold of the text, as the rules of a model may span blanks.
 
 Null and empty texts have no pieces. A text of any length is encoded whole; one chunk
 of n characters takes n log n steps. Columns besides the id and the text are ignored.
@@ -42,21 +39,18 @@ SHORT = 48
 RESULT = "struct<n_tokens:bigint,ids:binary,decoded:string,agrees:boolean>"
 DIGEST = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string,agrees:boolean>"
 
-_NONE = float("-inf")
 _loaded: dict[str, Pieces] = {}
 
 
 class _Cache(dict):
-    """Ids of chunks met so far in this process; emptied when full. ``fresh`` holds those
-    that were encoded since it was last emptied."""
+    """Ids of chunks met so far in this process; emptied when full."""
 
     def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
         self.encode = encode
-        self.fresh: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.fresh[chunk] = self.encode(chunk)
+        ids = self.encode(chunk)
         if len(chunk) <= CACHED_LENGTH:
             if len(self) >= CACHE_CHUNKS:
                 self.clear()
@@ -77,7 +71,9 @@ class Pieces:
         if any(lib.is_unused(i) for i in range(size)):
             raise ValueError("vocabularies with unused pieces are not supported")
         pieces = {lib.id_to_piece(i): i for i in range(size) if i not in special}
-        self.scores = {piece: lib.get_score(i) for piece, i in pieces.items()}
+        scores = {piece: lib.get_score(i) for piece, i in pieces.items()}
+        ranks = {score: rank for rank, score in enumerate(sorted(set(scores.values())), 1)}
+        self.ranks = {piece: ranks[score] for piece, score in scores.items()}
         self.known = {piece: _packed([i]) for piece, i in pieces.items()}
         self.bytes = {int(lib.id_to_piece(i)[1:-1], 16): _packed([i]) for i in special if lib.is_byte(i)}
         self.unknown = _packed([lib.unk_id()])
@@ -87,8 +83,6 @@ class Pieces:
         self.whole_texts = any(SPACE in piece.lstrip(SPACE) for piece in pieces)
         self.runs = re.compile(f"{SPACE}+[^{SPACE}]*").findall
         self.cache = _Cache(self.chunk_ids)
-        # Chunks of which the library has other ids.
-        self.disputed: set[str] = set()
 
     def plain(self, text: str) -> bool:
         """Whether the chunks of a text are what lies between its blanks."""
@@ -112,31 +106,28 @@ class Pieces:
         symbols = list(chunk)
         if len(symbols) > SHORT:
             return self.merged_long(symbols)
-        score = self.scores.get
-        agenda = list(map(score, map(add, symbols, symbols[1:]), repeat(_NONE)))
-        while agenda:
-            best = max(agenda)
-            if best == _NONE:
-                break
+        rank = self.ranks.get
+        agenda = list(map(rank, map(add, symbols, symbols[1:]), repeat(0)))
+        while agenda and (best := max(agenda)):
             at = agenda.index(best)
-            joined = symbols[at] + symbols[at + 1]
+            joined = symbols[at] + symbols.pop(at + 1)
             symbols[at] = joined
-            del symbols[at + 1], agenda[at]
+            del agenda[at]
             if at < len(agenda):
-                agenda[at] = score(joined + symbols[at + 1], _NONE)
+                agenda[at] = rank(joined + symbols[at + 1], 0)
             if at:
-                agenda[at - 1] = score(symbols[at - 1] + joined, _NONE)
+                agenda[at - 1] = rank(symbols[at - 1] + joined, 0)
         return symbols
 
     def merged_long(self, symbols: list[str]) -> list[str]:
-        score, count = self.scores.get, len(symbols)
+        rank, count = self.ranks.get, len(symbols)
         before, after = list(range(-1, count - 1)), [*range(1, count), -1]
-        agenda: list[tuple[float, int, int, int]] = []
+        agenda: list[tuple[int, int, int, int]] = []
 
         def offer(left: int, right: int) -> None:
             if left >= 0 and right >= 0:
                 pair = symbols[left] + symbols[right]
-                if (found := score(pair)) is not None:
+                if (found := rank(pair)) is not None:
                     heapq.heappush(agenda, (-found, left, right, len(pair)))
 
         for left in range(count - 1):
@@ -174,37 +165,28 @@ class Pieces:
         """Ids with begin and end, as little-endian unsigned 32-bit integers."""
         return b"".join([self.ends[0], *map(self.cache.__getitem__, self.chunks(text)), self.ends[1]])
 
-    def check_fresh(self) -> None:
-        """Compare the chunks encoded since the last call with the library."""
-        fresh, self.cache.fresh = self.cache.fresh, {}
-        found = self.library.encode(list(fresh), num_threads=1)
-        self.disputed.update(chunk for (chunk, ids), other in zip(fresh.items(), found, strict=True)
-                             if ids != _packed(other))
-
     def agrees(self, text: str | None, ids: bytes) -> bool:
         """Whether the library, given the whole text, has the same ids."""
         return ids == _packed(self.library.encode(text or "", add_bos=True, add_eos=True))
 
     def checked(self, texts: list[str | None], check_every: int) -> tuple[list[bytes], list[str], list[bool]]:
-        """Ids, decoded text and whether the library has the same ids, for each text."""
+        """Ids, decoded text and whether the library has the same ids, for each text;
+        ``check_every`` texts are decoded at a time."""
         ids = [self.encode(text) for text in texts]
-        decoded = [self.decode(one) for one in ids]
-        self.check_fresh()
-        agrees = []
-        for at, (text, one, back) in enumerate(zip(texts, ids, decoded, strict=True)):
-            by_chunks = at % check_every and text and text == back and self.plain(text) and (
-                not self.disputed or self.disputed.isdisjoint(self.chunks(text)))
-            agrees.append(bool(by_chunks) or self.agrees(text, one))
-        return ids, decoded, agrees
-
-    def decode(self, ids: bytes) -> str:
-        return self.library.decode(np.frombuffer(ids, "<u4").tolist())
+        decoded = []
+        for k in range(0, len(ids), check_every):
+            decoded += self.library.decode([_numbers(one) for one in ids[k : k + check_every]], num_threads=1)
+        return ids, decoded, list(map(self.agrees, texts, ids))
 
 
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
 
 
+def _numbers(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<u4").tolist()
+
+
 def loaded(path: str) -> Pieces:
     """The model of this worker process, with what it has cached in earlier tasks."""
     if path not in _loaded:
@@ -218,8 +200,8 @@ def encoded(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_co
 
     ``ids`` is binary, four little-endian bytes each. ``digests_only`` gives SHA-256
     of the ids and of the decoded text instead, so that no text leaves the task.
-    ``agrees`` says of every text whether the library has the same ids; every
-    ``check_every``-th of an Arrow batch is given to it whole.
+    ``agrees`` says of every text whether the library, which encodes each of them whole, has
+    the same ids. ``check_every`` texts are decoded at a time.
     """
 
     @F.arrow_udf(DIGEST if digests_only else RESULT)
