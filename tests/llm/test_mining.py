@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -102,6 +103,36 @@ def test_neighbours_end_at_pieces():
     assert (codes[first] == 1).all()
 
 
+def test_sums_of_pairs_by_part(spark):
+    rng, sums = np.random.default_rng(5), Counter()
+    relation, names = [], rng.integers(0, 1 << 40, 30)
+    for block in range(12):
+        ids = names[rng.integers(0, 30, 400)]
+        sums.update(zip(ids.tolist(), ids[1:].tolist()))
+        relation += collocations._relation(block, np.arange(400), ids).to_pylist()
+    rows = spark.createDataFrame(relation, collocations._RELATION).repartition(2)
+    for parts, held in ((1, 1 << 20), (5, 300), (7, 5000)):
+        found = collocations.summed_pairs(rows, parts, 6, held_rows=held).collect()
+        assert {(r["left"], r["right"]): r["f"] for r in found} == {p: n for p, n in sums.items() if n >= 6}
+        assert len(found) == sum(n >= 6 for n in sums.values())
+
+
+def test_packed_pairs_take_few_bytes():
+    rng = np.random.default_rng(2)
+    left, right, n = np.sort(rng.integers(0, 20_000, 50_000)), rng.integers(0, 20_000, 50_000), rng.integers(1, 4, 50_000)
+    left, right = (x % 30 << 33 | x for x in (left, right))
+    data = collocations.packed(np.diff(left, prepend=0), right, n)
+    steps, *others = collocations.unpacked(data, 50_000, 3)
+    assert np.array_equal(np.cumsum(steps), left) and np.array_equal(others, [right, n]) and len(data) < 8 * 50_000
+    assert collocations.unpacked(collocations.packed(*[np.array([-1, 1 << 62])] * 3), 2, 3).tolist() == [[-1, 1 << 62]] * 3
+
+
+def test_occurrences_do_not_pile_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(collocations, "work_path", lambda spark, purpose: f"{tmp_path}/{purpose}-{uuid.uuid4().hex}")
+    docs = spark.createDataFrame([(k, "a b c d e f", "en") for k in range(10)], DOCS)
+    assert found_collocations(docs, min_count=10) and not list(tmp_path.iterdir())
+
+
 # --- MinHash near duplicates -----------------------------------------------------------------
 
 def brute_set(text):

@@ -8,10 +8,12 @@ in the same piece.
 
 *Extending.* R_k is merge-joined with itself on piece and adjacent position: phrase p at
 i and phrase q at i+1 make a phrase of k+1 words, known by the ids (p, q). Each block
-counts its different pairs; the counts are grouped and summed (pre-aggregated before the
-shuffle), groups below ``min_count`` go, and the semi-join of the blocks' pairs with the
-frequent groups gives R_{k+1}. A phrase whose first or last k words are not frequent
-cannot be frequent and is never counted. Ids are exact, nothing is hashed.
+counts its different pairs, a task sums those of its blocks and packs the sums, with few
+bytes for a pair, by part. All sums of a pair are of one part, where they are summed up and
+those below ``min_count`` go; the semi-join of the blocks' pairs with the frequent groups
+gives R_{k+1}, which takes the place of R_k. A phrase whose first or last k words are not
+frequent cannot be frequent and is never counted. Ids are exact; a hash of them only says
+which part sums up a pair.
 
 *Scores.* Cuts of a phrase are joined with the counts of both parts; the arithmetic is
 in whole decimals of 38 digits. If a phrase lies inside a longer one that is (nearly) as
@@ -32,11 +34,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import batches_of, raw_texts, saved, slices
+from topicloom.session import drop_path, work_path
 
 UNKNOWN = "und"
 MAX_WORDS, MIN_COUNT, TOP, ABSORBED = 5, 100, 2000, 100
@@ -47,6 +51,10 @@ BLOCK_BYTES = 3 << 20
 SEND_ROWS = 1_000_000
 # Pairs of ids that a task hands over at a time.
 PAIR_ROWS = 65_536
+# Counts of pairs that a task gathers before it sums them; sums of more than half of it go.
+HELD_ROWS = 1 << 19
+# Words of all texts for each part of the pairs: at most so many counts meet in a part.
+PART_WORDS = 1 << 21
 # Blocks that a scan decodes at a time.
 SCAN_ROWS = 8
 
@@ -107,6 +115,7 @@ def word_blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
 
 _RELATION = "block bigint, steps binary, codes binary, ids binary"
 _COLUMNS = ("block", "steps", "codes", "ids")
+_COUNTS = ["left", "right", "n"]
 
 
 def _relation(block: int, at: np.ndarray, ids: np.ndarray) -> pa.Table:
@@ -126,16 +135,47 @@ def _nothing() -> pa.Table:
     return pa.table([pa.array([], pa.int64()), *[pa.array([], pa.binary())] * 3], names=list(_COLUMNS))
 
 
+def _starts(block: int, codes: bytes, number: np.ndarray, ids: np.ndarray) -> pa.Table:
+    """R_1 of a block: where its words of these numbers are, with their ids."""
+    codes = np.frombuffer(codes, np.int32)
+    of = np.full(max(int(codes.max(initial=0)), int(number.max(initial=0))) + 1, -1, np.int64)
+    of[number] = ids
+    at = np.flatnonzero(of[codes] >= 0)
+    return _relation(block, at, of[codes[at]])
+
+
 def first_relation(key: tuple, texts: pa.Table, frequent: pa.Table) -> pa.Table:
     """R_1 of a block: its words that are frequent, with their ids."""
     if not len(texts) or not len(frequent):
         return _nothing()
-    codes = np.frombuffer(texts.column("codes")[0].as_py(), np.int32)
-    number = frequent.column("number").to_numpy()
-    ids = np.full(max(int(codes.max(initial=0)), int(number.max())) + 1, -1, np.int64)
-    ids[number] = frequent.column("id").to_numpy()
-    at = np.flatnonzero(ids[codes] >= 0)
-    return _relation(key[0].as_py(), at, ids[codes[at]])
+    number, ids = (frequent.column(c).to_numpy() for c in ("number", "id"))
+    return _starts(key[0].as_py(), texts.column("codes")[0].as_py(), number, ids)
+
+
+def starts(blocks: DataFrame, listed: DataFrame, words: DataFrame, send_rows: int) -> DataFrame:
+    """R_1. Few frequent words (stored, counted first) go to the tasks, which then read the
+    blocks where they are; many are joined with the words of each block and brought to it."""
+    known = words.select("lang", "phrase", "id")
+    if words.select(F.lit(1)).limit(send_rows + 1).count() > send_rows:
+        of_block = listed.join(known, ["lang", "phrase"]).select(F.col("block").alias("home"), "number", "id")
+        return (blocks.select("block", "codes").groupBy("block").cogroup(of_block.groupBy("home"))
+                .applyInArrow(first_relation, _RELATION))
+    table = known.toArrow()
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_lang = {}
+        for lang in pc.unique(table.column("lang")).to_pylist():
+            own = table.filter(pc.field("lang") == lang)
+            of_lang[lang] = own.column("phrase").combine_chunks(), own.column("id").to_numpy()
+        for batch in batches:
+            for block, lang, names, codes in zip(*(batch.column(c) for c in ("block", "lang", "words", "codes"))):
+                if lang.as_py() in of_lang:
+                    phrases, ids = of_lang[lang.as_py()]
+                    place = pc.index_in(names.values, phrases).fill_null(-1).to_numpy()
+                    number = np.flatnonzero(place >= 0)
+                    yield from _starts(block.as_py(), codes.as_py(), number + 1, ids[place[number]]).to_batches()
+
+    return blocks.select("block", "lang", "words", "codes").mapInArrow(look_up, _RELATION)
 
 
 def neighbours(at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,6 +207,77 @@ def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ["block", "left", "right", "n"])
 
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Whole numbers, column by column, those of equal weight among their bytes together:
+    small numbers leave most of them zero."""
+    planes = [np.ascontiguousarray(c, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, rows: int, columns: int) -> np.ndarray:
+    """One line for each of ``columns`` of ``rows`` whole numbers."""
+    planes = pa.decompress(data, decompressed_size=8 * rows * columns, codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(columns, 8, rows).transpose(0, 2, 1).copy().view("<i8")[..., 0]
+
+
+def part_of(left: np.ndarray, right: np.ndarray, parts: int) -> np.ndarray:
+    """The part in which a pair of ids is summed up."""
+    mixed = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def _sums(counts: list[pa.RecordBatch]) -> pa.Table:
+    """``left, right, n`` of each different pair."""
+    table = pa.Table.from_batches(counts)
+    summed = table.group_by(["left", "right"], use_threads=False).aggregate([("n", "sum")])
+    return summed.rename_columns({"n_sum": "n"})
+
+
+def _by_part(sums: pa.Table, parts: int) -> Iterator[pa.RecordBatch]:
+    left, right, n = (sums.column(c).to_numpy() for c in ("left", "right", "n"))
+    part = part_of(left, right, parts)
+    order = np.lexsort((left, part))
+    part, left, right, n = part[order], left[order], right[order], n[order]
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], len(part)]):
+        data = packed(np.diff(left[a:b], prepend=0), right[a:b], n[a:b])
+        yield pa.RecordBatch.from_arrays([pa.array([part[a]]), pa.array([b - a], pa.int64()), pa.array([data], pa.binary())],
+                                         ["part", "rows", "pairs"])
+
+
+def summed_pairs(relation: DataFrame, parts: int, min_count: int, held_rows: int = HELD_ROWS) -> DataFrame:
+    """``left, right, f``: pairs of neighbours that occur ``min_count`` times in all blocks."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for counts in pair_counts(batches):
+            held.append(counts.select(_COUNTS))
+            rows += len(counts)
+            if rows >= held_rows:
+                sums = _sums(held)
+                if 2 * len(sums) > held_rows:
+                    yield from _by_part(sums, parts)
+                    held, rows = [], 0
+                else:
+                    held, rows = sums.to_batches(), len(sums)
+        if rows:
+            yield from _by_part(_sums(held), parts)
+
+    def total(table: pa.Table) -> pa.Table:
+        held, fresh = [], 0
+        for rows, data in zip(table.column("rows").to_pylist(), table.column("pairs")):
+            steps, right, n = unpacked(data.as_py(), rows, 3)
+            held.append(pa.RecordBatch.from_arrays([pa.array(np.cumsum(steps)), pa.array(right), pa.array(n)], _COUNTS))
+            fresh += rows
+            if fresh >= held_rows:
+                held, fresh = _sums(held).to_batches(), 0
+        return _sums(held).rename_columns({"n": "f"}).filter(pc.field("f") >= min_count)
+
+    return (relation.mapInArrow(gather, "part bigint, rows bigint, pairs binary").groupBy("part")
+            .applyInArrow(total, "left bigint, right bigint, f bigint"))
+
+
 class FrequentPairs:
     """Ids of pairs, looked up by both parts."""
 
@@ -198,11 +309,12 @@ def next_relation(key: tuple, relation: pa.Table, frequent: pa.Table) -> pa.Tabl
     return FrequentPairs(frequent).extend(key[0].as_py(), *(relation.column(c)[0].as_py() for c in _COLUMNS[1:]))
 
 
-def semi_joined(relation: DataFrame, pairs: DataFrame, grouped: DataFrame, send_rows: int) -> DataFrame:
+def semi_joined(relation: DataFrame, grouped: DataFrame, send_rows: int) -> DataFrame:
     """R_{k+1} from R_k. Few frequent pairs (stored, counted first) go to the tasks, which
     then read R_k where it is; many are joined with the pairs of each block and brought
     to the block."""
     if grouped.select(F.lit(1)).limit(send_rows + 1).count() > send_rows:
+        pairs = relation.mapInArrow(pair_counts, "block bigint, left bigint, right bigint, n bigint")
         of_block = pairs.join(grouped.select("left", "right", "id"), ["left", "right"])
         return (relation.groupBy("block").cogroup(of_block.select("block", "left", "right", "id").groupBy("block"))
                 .applyInArrow(next_relation, _RELATION))
@@ -217,12 +329,6 @@ def semi_joined(relation: DataFrame, pairs: DataFrame, grouped: DataFrame, send_
     return relation.mapInArrow(extend, _RELATION)
 
 
-def _small(groups: DataFrame, send_rows: int) -> DataFrame:
-    """Marked for sending to all executors if it has few rows. ``groups`` is stored."""
-    few = groups.select(F.lit(1)).limit(send_rows + 1).count() <= send_rows
-    return F.broadcast(groups) if few else groups
-
-
 def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS,
                      min_count: int = MIN_COUNT, block_bytes: int = BLOCK_BYTES,
                      send_rows: int = SEND_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -231,14 +337,32 @@ def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str =
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)), F.coalesce(F.col(text_col), F.lit("")))
     with batches_of(spark):
-        blocks = saved(word_blocks(texts, block_bytes), "blocks")
+        blocks = _Stored(word_blocks(texts, block_bytes), "blocks")
     with batches_of(spark, rows=SCAN_ROWS):
         return _levels(blocks, max_words, min_count, send_rows)
 
 
-def _levels(blocks: DataFrame, max_words: int, min_count: int, send_rows: int) -> tuple[DataFrame, DataFrame]:
+class _Stored:
+    """A table in the shared folder, until what follows from it is stored."""
+
+    def __init__(self, rows: DataFrame, purpose: str):
+        spark = rows.sparkSession
+        self.path = work_path(spark, f"llm-{purpose}")
+        rows.write.parquet(self.path)
+        self.rows = spark.read.schema(rows.schema).parquet(self.path)
+
+    def replaced_by(self, rows: DataFrame, purpose: str) -> _Stored:
+        """``rows``, made of this table, in its place."""
+        stored = _Stored(rows, purpose)
+        drop_path(rows.sparkSession, self.path)
+        return stored
+
+
+def _levels(stored: _Stored, max_words: int, min_count: int, send_rows: int) -> tuple[DataFrame, DataFrame]:
     """One level after the other, from words to phrases of ``max_words``."""
-    totals = blocks.groupBy("lang").agg(F.sum("total").alias("n")).where("n > 0")
+    blocks = stored.rows
+    totals = saved(blocks.groupBy("lang").agg(F.sum("total").alias("n")).where("n > 0"), "totals")
+    parts = (totals.agg(F.sum("n")).first()[0] or 0) // PART_WORDS + 1
     listed = (blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "w"))
               .select("block", "lang", (F.col("number") + 1).alias("number"), F.col("w.words").alias("phrase"),
                       F.col("w.counts").alias("n")))
@@ -246,13 +370,9 @@ def _levels(blocks: DataFrame, max_words: int, min_count: int, send_rows: int) -
     words = saved(words.select(F.monotonically_increasing_id().alias("id"), "lang", "phrase",
                                F.col("phrase").alias("last"), F.lit(1).alias("words"), "f"), "frequent")
     levels = [words]
-    of_block = listed.join(_small(words.select("lang", "phrase", "id"), send_rows), ["lang", "phrase"]).select(
-        F.col("block").alias("home"), "number", "id")
-    relation = saved(blocks.select("block", "codes").groupBy("block").cogroup(of_block.groupBy("home"))
-                     .applyInArrow(first_relation, _RELATION), "occurrences")
+    stored = stored.replaced_by(starts(blocks, listed, words, send_rows), "occurrences")
     for length in range(2, max_words + 1):
-        pairs = relation.mapInArrow(pair_counts, "block bigint, left bigint, right bigint, n bigint")
-        grouped = pairs.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+        grouped = summed_pairs(stored.rows, parts, min_count)
         grouped = saved(grouped.withColumn("id", F.monotonically_increasing_id()), "groups")
         if grouped.isEmpty():
             break
@@ -262,7 +382,8 @@ def _levels(blocks: DataFrame, max_words: int, min_count: int, send_rows: int) -
         levels.append(saved(named.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last",
                                          F.lit(length).alias("words"), "f"), "frequent"))
         if length < max_words:
-            relation = saved(semi_joined(relation, pairs, grouped, send_rows), "occurrences")
+            stored = stored.replaced_by(semi_joined(stored.rows, grouped, send_rows), "occurrences")
+    drop_path(stored.rows.sparkSession, stored.path)
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
