@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import random
 import re
@@ -9,6 +10,7 @@ import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +119,35 @@ def test_sums_of_pairs_by_part(spark):
         assert len(found) == sum(n >= 6 for n in sums.values())
 
 
+def test_blocks_that_are_given_away_leave_no_cycles():
+    gc.collect()
+    gc.disable()
+    try:
+        for _ in range(3):
+            block = collocations._Block()
+            block.add(b"some words of a block " * 50)
+            assert block.row(0, "en").column("total")[0].as_py() == 250
+        del block
+        assert gc.collect() == 0  # words of former blocks would wait here
+    finally:
+        gc.enable()
+
+
+def test_a_part_is_summed_up_slice_by_slice(monkeypatch):
+    rng, parts, held = np.random.default_rng(3), 3, 1000
+    pairs = pa.table([pa.array(rng.integers(0, 200, 30_000)) for _ in range(2)] + [pa.array(np.ones(30_000, np.int64))],
+                     names=["left", "right", "n"])
+    segments = [s for k in range(0, 30_000, 500) for s in collocations._by_part(pairs.slice(k, 500), parts)]
+    one = pa.Table.from_batches([s for s in segments if s.column("part")[0].as_py() == 1])
+    seen, sums = [], collocations._sums
+    monkeypatch.setattr(collocations, "_sums", lambda counts: seen.append(sum(map(len, counts))) or sums(counts))
+    got = [tuple(row.values()) for part in collocations.sliced_sums(one, parts, held) for row in part.to_pylist()]
+    assert sum(seen) == sum(one.column("rows").to_pylist()) > 8 * held and max(seen) < 1.5 * held
+    own = collocations.part_of(pairs["left"].to_numpy(), pairs["right"].to_numpy(), parts) == 1
+    wanted = Counter(zip(*(pairs[c].to_numpy()[own].tolist() for c in ("left", "right"))))
+    assert dict(((left, right), n) for left, right, n in got) == wanted and len(got) == len(wanted)
+
+
 def test_packed_pairs_take_few_bytes():
     rng = np.random.default_rng(2)
     left, right, n = np.sort(rng.integers(0, 20_000, 50_000)), rng.integers(0, 20_000, 50_000), rng.integers(1, 4, 50_000)

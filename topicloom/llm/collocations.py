@@ -57,6 +57,8 @@ HELD_ROWS = 1 << 19
 PART_WORDS = 1 << 21
 # Blocks that a scan decodes at a time.
 SCAN_ROWS = 8
+# Bytes of an Arrow batch, a row at least.
+HANDED_BYTES = 2 << 20
 
 BOUNDARY = b"."
 _PLAIN = bytes(range(256)).lower()
@@ -80,6 +82,8 @@ class _Block:
         self.codes.append(np.zeros(1, np.int32))
 
     def row(self, number: int, lang: str) -> pa.RecordBatch:
+        # The factory holds the words that hold it: left so, they stay until cycles are searched.
+        self.words.default_factory = None
         codes = np.concatenate(self.codes)
         counts = np.bincount(codes, minlength=len(self.words))[1:]
         words = pa.array(list(self.words)[1:], pa.binary()).cast(pa.string())
@@ -229,9 +233,12 @@ def part_of(left: np.ndarray, right: np.ndarray, parts: int) -> np.ndarray:
 
 def _sums(counts: list[pa.RecordBatch]) -> pa.Table:
     """``left, right, n`` of each different pair."""
-    table = pa.Table.from_batches(counts)
-    summed = table.group_by(["left", "right"], use_threads=False).aggregate([("n", "sum")])
-    return summed.rename_columns({"n_sum": "n"})
+    left, right, n = (np.concatenate([batch.column(k).to_numpy() for batch in counts]) for k in range(3))
+    order = np.lexsort((right, left))
+    left, right = left[order], right[order]
+    first = np.flatnonzero((np.diff(left, prepend=-1) != 0) | (np.diff(right, prepend=-1) != 0))
+    summed = np.add.reduceat(n[order], first) if len(n) else n
+    return pa.table([pa.array(left[first]), pa.array(right[first]), pa.array(summed)], names=_COUNTS)
 
 
 def _by_part(sums: pa.Table, parts: int) -> Iterator[pa.RecordBatch]:
@@ -246,6 +253,21 @@ def _by_part(sums: pa.Table, parts: int) -> Iterator[pa.RecordBatch]:
                                          ["part", "rows", "pairs"])
 
 
+def sliced_sums(table: pa.Table, parts: int, held_rows: int) -> Iterator[pa.Table]:
+    """``left, right, n`` of each different pair of a part. The part is unpacked several times,
+    each time for the pairs of one slice, so that about ``held_rows`` counts are held."""
+    rows = table.column("rows").to_pylist()
+    passes = sum(rows) // held_rows + 1
+    for one in range(passes):
+        held = []
+        for count, data in zip(rows, table.column("pairs")):
+            steps, right, n = unpacked(data.as_py(), count, 3)
+            left = np.cumsum(steps)
+            own = part_of(left, right, parts * passes) // parts == one
+            held.append(pa.RecordBatch.from_arrays([pa.array(column[own]) for column in (left, right, n)], _COUNTS))
+        yield _sums(held)
+
+
 def summed_pairs(relation: DataFrame, parts: int, min_count: int, held_rows: int = HELD_ROWS) -> DataFrame:
     """``left, right, f``: pairs of neighbours that occur ``min_count`` times in all blocks."""
 
@@ -256,23 +278,16 @@ def summed_pairs(relation: DataFrame, parts: int, min_count: int, held_rows: int
             rows += len(counts)
             if rows >= held_rows:
                 sums = _sums(held)
-                if 2 * len(sums) > held_rows:
-                    yield from _by_part(sums, parts)
+                held, rows = sums.to_batches(), len(sums)
+                if 2 * rows > held_rows:
                     held, rows = [], 0
-                else:
-                    held, rows = sums.to_batches(), len(sums)
+                    yield from _by_part(sums, parts)
         if rows:
             yield from _by_part(_sums(held), parts)
 
     def total(table: pa.Table) -> pa.Table:
-        held, fresh = [], 0
-        for rows, data in zip(table.column("rows").to_pylist(), table.column("pairs")):
-            steps, right, n = unpacked(data.as_py(), rows, 3)
-            held.append(pa.RecordBatch.from_arrays([pa.array(np.cumsum(steps)), pa.array(right), pa.array(n)], _COUNTS))
-            fresh += rows
-            if fresh >= held_rows:
-                held, fresh = _sums(held).to_batches(), 0
-        return _sums(held).rename_columns({"n": "f"}).filter(pc.field("f") >= min_count)
+        found = [slice.filter(pc.field("n") >= min_count) for slice in sliced_sums(table, parts, held_rows)]
+        return pa.concat_tables(found).rename_columns({"n": "f"})
 
     return (relation.mapInArrow(gather, "part bigint, rows bigint, pairs binary").groupBy("part")
             .applyInArrow(total, "left bigint, right bigint, f bigint"))
@@ -336,9 +351,9 @@ def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str =
     to ``max_words`` words that occur at least ``min_count`` times."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)), F.coalesce(F.col(text_col), F.lit("")))
-    with batches_of(spark):
+    with batches_of(spark, HANDED_BYTES):
         blocks = _Stored(word_blocks(texts, block_bytes), "blocks")
-    with batches_of(spark, rows=SCAN_ROWS):
+    with batches_of(spark, HANDED_BYTES, SCAN_ROWS):
         return _levels(blocks, max_words, min_count, send_rows)
 
 
