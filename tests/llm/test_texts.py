@@ -227,6 +227,18 @@ def test_both_agendas_merge_alike():
         assert model.merged(chunk) == model.merged_long(list(chunk))
 
 
+def test_short_chunks_are_encoded_side_by_side(monkeypatch):
+    model, rng = pieces.Pieces(piece_model()), random.Random(6)
+    chunks = list({"".join(rng.choice("theinaor▁\n.,%\x00é☃𝔘的是") for _ in range(rng.randrange(pieces.SHORT)))
+                   for _ in range(2000)})
+    assert model.cache.encode_all(chunks) == list(map(model.chunk_ids, chunks)) and model.cache.encode_all([]) == []
+    monkeypatch.setattr(model.cache, "encode", None)  # one by one is for longer ones only
+    texts = [" ".join(rng.choices(chunks, k=5)) for _ in range(50)]
+    texts = [text for text in texts if max(map(len, model.chunks(text)), default=0) < pieces.SHORT]
+    monkeypatch.setattr(pieces, "CACHE_CHUNKS", 100)
+    assert len(texts) > 10 and all(model.checked(texts, 7)[2]) and len(model.cache) <= 100
+
+
 # --- languages ----------------------------------------------------------------------------
 
 STEMS = {"aa": "bola kude mira tonu", "bb": "strex flanz grumb wrelt", "cc": "ñandé çoué éàri ôlum"}
